@@ -1,0 +1,89 @@
+"""Cutting texts where a byte-level BPE tokenizer certainly starts a new word.
+
+The split pattern never lets a match run from a character that is not white
+space into white space, and what it matches from a position on depends on the
+text to the right only.  So a cut before a white-space character that follows a
+character of another kind changes no token, wherever the pieces are encoded.
+Pieces repeat a great deal, so each worker encodes a piece once and keeps it.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+#: Entries a worker keeps before it starts anew: about 150 MB.
+CACHE_PIECES = 700_000
+#: Longer pieces are encoded, not kept.
+KEPT_CHARS = 48
+
+_two_spaces = re.compile(r"\s\s")
+_word_start = re.compile(r"(?<=\S)(?=\s)")
+
+
+def split_safely(text: str) -> list[str]:
+    """Keys of the pieces of ``text``; ``piece_text`` gives a key's characters.
+
+    A key that starts with a line feed or U+0000 stands for itself (without the
+    U+0000), any other for a space and itself.
+    """
+    if "\0" in text or _two_spaces.search(text):
+        return ["\0" + x for x in _word_start.split(text)] if text else []
+    keys = text.replace("\n", " \n").split(" ")
+    keys[0] = "\0" + keys[0]
+    return keys
+
+
+def piece_text(key: str) -> str:
+    if key[:1] == "\0":
+        return key[1:]
+    return key if key[:1] == "\n" else " " + key
+
+
+class PieceCache(dict):
+    """Encoded pieces by key; ``encode`` turns piece texts into values, in order."""
+
+    def __init__(self, encode: Callable[[list[str]], list], most: int = CACHE_PIECES):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def encode_texts(self, texts: list[str], added: tuple[str, ...] = ()) -> list[list]:
+        """For each text the values of its pieces, in order.
+
+        A text with one of the ``added`` tokens of the tokenizer stays whole,
+        as such a token is cut out before the pattern applies.
+        """
+        if len(self) > self.most:
+            self.clear()
+        cut = [
+            ["\0" + t] if added and any(a in t for a in added) else split_safely(t) for t in texts
+        ]
+        unknown: dict[str, None] = {}
+        for keys in cut:
+            unknown.update(dict.fromkeys(k for k in keys if k not in self))
+        new = list(unknown)
+        self.update(zip(new, self.encode([piece_text(k) for k in new])))
+        found = [list(map(self.__getitem__, keys)) for keys in cut]
+        for k in new:
+            if len(k) > KEPT_CHARS:
+                del self[k]
+        return found
+
+
+def balanced(texts: list[str], most_bytes: int) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``most_bytes`` characters each, one text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most_bytes:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """Python strings of an Arrow column; null is the empty text."""
+    return [t or "" for t in column.to_pylist()]
