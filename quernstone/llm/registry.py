@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, exact_dedup, language_id, token_counts, token_files
+from . import bpe_codec, exact_dedup, language_id, mixing, token_counts, token_files
 from .base import table
 
 
@@ -33,14 +33,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op5_token_files": op5_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op10_source_mix": mixing.OP10_SQL,
 }
