@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, exact_dedup, language_id, mixing, token_counts, token_files
+from . import bpe_codec, exact_dedup, language_id, mixing, pivot_search, token_counts, token_files
 from .base import table
 
 
@@ -21,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.fit_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -40,6 +45,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_pivot_search": op3_pivot_search,
     "op5_token_files": op5_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
@@ -48,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_pivot_search": pivot_search.OP3_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }
