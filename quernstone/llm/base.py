@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,5 +57,21 @@ def release_stages() -> None:
 atexit.register(release_stages)
 
 
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, share: int = 500) -> DataFrame:
+    """``rows`` inner-joined with one row of ``groups`` for each value of ``keys``.
+
+    Groups of more than one in ``share`` of all rows, of which there are fewer
+    than ``share``, go to every task; the rest is joined by a shuffle in which
+    no key has many rows.  ``size_col`` counts the rows of a group.
+    """
+    large = groups.filter(F.col(size_col) * share > rows.count()).limit(share)
+    if large.isEmpty():
+        return rows.join(groups, keys)
+    flagged = rows.join(F.broadcast(large.select(*keys).withColumn("__large", F.lit(True))), keys, "left")
+    plain = flagged.filter("__large is null").drop("__large").join(groups.join(large.select(*keys), keys, "left_anti"), keys)
+    direct = rows.join(F.broadcast(large), keys)
+    return plain.unionByName(direct)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

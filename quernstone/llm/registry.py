@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, exact_dedup, language_id, mixing, pivot_search, token_counts, token_files
+from . import bpe_codec, exact_dedup, language_id, mixing, pivot_search, simhash, token_counts, token_files
 from .base import table
 
 
@@ -30,6 +30,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_pivot_search": op3_pivot_search,
     "op5_token_files": op5_token_files,
+    "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op10_source_mix": op10_source_mix,
