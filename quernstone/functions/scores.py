@@ -52,7 +52,9 @@ def half_life(base: Column, age: Column, half: Column) -> Column:
 
 def trust(confidence: Column, reliability: Column) -> Column:
     """Product with defaults 0.5 and 0.7, clamped to 0..1, three decimal places."""
-    return F.round(clamp(F.coalesce(confidence, F.lit(0.5)) * F.coalesce(reliability, F.lit(0.7)), 0, 1), 3)
+    # to nine places first: products such as 0.0585 are not exact
+    product = F.round(F.coalesce(confidence, F.lit(0.5)) * F.coalesce(reliability, F.lit(0.7)), 9)
+    return F.round(clamp(product, 0, 1), 3)
 
 
 def source_trust(base: Column) -> Column:

@@ -21,16 +21,18 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            used = [v for v in VIEWS if v in sql]
-            for v in list(used):
-                used += [w for w in VIEWS if w != v and w in VIEWS[v]]
+            used, text = set(), sql
+            for v in reversed(VIEWS):  # a view uses views above it only
+                if v in text:
+                    used.add(v)
+                    text += VIEWS[v]
             ordered = [v for v in VIEWS if v in used]
             ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in ordered)
             body = sql.strip()
-            if ctes and body[:5].upper() == "WITH ":
-                body = f"WITH {ctes},\n{body[5:]}"
-            elif ctes and body[:15].upper() == "WITH RECURSIVE ":
+            if ctes and body[:15].upper() == "WITH RECURSIVE ":
                 body = f"WITH RECURSIVE {ctes},\n{body[15:]}"
+            elif ctes and body[:5].upper() == "WITH ":
+                body = f"WITH {ctes},\n{body[5:]}"
             elif ctes:
                 body = f"WITH {ctes}\n{body}"
             ORACLE_SQL[name] = body
