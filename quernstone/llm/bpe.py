@@ -19,6 +19,8 @@ from functools import cache
 
 import numpy as np
 
+from .piece_table import gathered
+
 _EMPTY = np.int64(-1)
 
 
@@ -63,6 +65,9 @@ class RankBpe:
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self._bytes = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
+        self._size = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
+        self._first = np.cumsum(self._size) - self._size
         keys, merged = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -220,6 +225,10 @@ class RankBpe:
             filled.add(r)
         return at[now]
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after the other, and where each id's bytes end."""
+        return gathered(self._bytes, self._first, self._size, ids)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 

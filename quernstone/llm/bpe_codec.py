@@ -13,33 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .pieces import PieceCache, balanced, texts_of
-
-#: Characters encoded at once.
-BATCH_CHARS = 8_000_000
+from .piece_table import PieceTable, gathered, slices
 
 
 @cache
-def _encoder(path: str, pattern: str):
-    """A function from texts to arrays of ids, kept by the worker."""
+def _encoder(path: str, pattern: str) -> PieceTable:
+    """Ids of text columns, kept by the worker."""
     codec = bpe.load(path)
     find = regex.compile(pattern).findall
-    words: dict[bytes, bytes] = {}
 
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
+    def encode_pieces(pieces: list[str]) -> tuple[range, np.ndarray, np.ndarray]:
         split = [[w.encode() for w in find(p)] for p in pieces]
-        if len(words) > 400_000:
-            words.clear()
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in words))
-        words.update(zip(new, (x.astype("<u4").tobytes() for x in codec.encode(new))))
-        done = [b"".join(map(words.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > 64:
-                del words[w]
-        return done
+        words = list(dict.fromkeys(w for ws in split for w in ws))
+        found = codec.encode(words)
+        number = {w: i for i, w in enumerate(words)}
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        flat = np.concatenate([np.empty(0, dtype=np.int64), *found])
+        numbers = np.array([number[w] for ws in split for w in ws], dtype=np.int64)
+        ids, _ = gathered(flat, np.cumsum(size) - size, size, numbers)
+        total = np.concatenate([[0], np.cumsum(size[numbers])])
+        ends = np.cumsum([len(ws) for ws in split], dtype=np.int64) if split else np.empty(0, dtype=np.int64)
+        return range(len(pieces)), ids.astype("<u4"), np.diff(total[ends], prepend=0)
 
-    pieces = PieceCache(encode_pieces)
-    return lambda texts: [np.frombuffer(b"".join(x), dtype="<u4") for x in pieces.encode_texts(texts)]
+    return PieceTable(encode_pieces, "<u4")
 
 
 def _whole_pattern(pattern: str) -> bool:
@@ -70,20 +66,23 @@ def encode(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, codec = _encoder(ranks_path, pattern), bpe.load(ranks_path)
+        table, codec = _encoder(ranks_path, pattern), bpe.load(ranks_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for part in balanced(texts, BATCH_CHARS):
-                ids = to_ids(texts[part])
+            for start, stop in slices(batch.column(1)):
+                ids, ends = table.all_ids(batch.column(1).slice(start, stop - start))
+                data, byte_ends = codec.decode_all(ids)
+                cuts = [0, *ends.tolist()]
+                at = np.concatenate([[0], byte_ends])[cuts].tolist()
+                raw = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 columns = [
-                    batch.column(0)[part],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]),
+                    batch.column(0).slice(start, stop - start),
+                    pa.array(np.diff(cuts), pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
+                    pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:])]),
                 ]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+                    columns.append(pa.array(raw, pa.binary()))
                     names.append("ids")
                 yield pa.record_batch(columns, names=names)
 

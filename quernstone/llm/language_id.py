@@ -15,8 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .pieces import texts_of
+from .piece_table import texts_of
 
 #: Bytes of a language's dictionary; also what the driver collects for each.
 DICTIONARY_BYTES = 65_536
@@ -144,40 +145,45 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_margin: float = MIN_MARGIN,
+    with_rows: bool = False,
 ) -> DataFrame:
     """``id_col``, lang_pred, score, rejected for every row of ``docs``.
 
     ``score`` is the relative margin, 0 to 1.  Null text and text without a
     letter are ``und`` with score 0 and rejected; so is everything if nothing
     was learned.  Equal sizes go to the more frequent language.  Repeated rows
-    are predicted each; other columns are ignored; no rows give no rows.
+    are predicted each; no rows give no rows.  Other columns are ignored, unless
+    ``with_rows`` keeps all of them: then the result's own names must be free.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = ["lang_pred", "score"]
+    if with_rows and (clash := {*own, "rejected", "held_out"} & set(docs.columns)):
+        raise ValueError(f"columns of the result are taken: {sorted(clash)}")
+    rows = docs if with_rows else docs.select(id_col, text_col)
+    rows = rows.withColumn(text_col, F.col(text_col).cast("string"))
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _classifier(dictionaries).predict
         for batch in batches:
-            found = [predict(t) for t in texts_of(batch.column(1))]
+            found = [predict(t) for t in texts_of(batch.column(at))]
+            columns = list(batch.columns) if with_rows else [batch.column(0)]
+            names = list(batch.schema.names) if with_rows else [id_col]
             yield pa.record_batch(
                 [
-                    batch.column(0),
+                    *columns,
                     pa.array([lang for lang, _ in found], pa.string()),
                     pa.array([score for _, score in found], pa.float64()),
                 ],
-                names=["id", "lang_pred", "score"],
+                names=[*names, *own],
             )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    predicted = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
-    return predicted.select(
-        F.col("id").alias(id_col),
-        "lang_pred",
-        "score",
-        ((F.col("lang_pred") == "und") | (F.col("score") < min_margin)).alias("rejected"),
-    )
+    kept = [f for f in rows.schema if with_rows or f.name == id_col]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rejected = (F.col("lang_pred") == "und") | (F.col("score") < min_margin)
+    return rows.mapInArrow(run, schema).withColumn("rejected", rejected)
 
 
 def fit_and_identify(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``identify`` with dictionaries from the rows that are not held out."""
+    """``identify`` with dictionaries from the rows that are not held out, which are marked."""
     dictionaries = fit(docs.filter(~held_out(F.col(id_col))), id_col=id_col)
     return identify(docs, dictionaries, id_col=id_col, **options).withColumn("held_out", held_out(F.col(id_col)))

@@ -22,8 +22,10 @@ MOST_PIECES, MOST_IDS = 700_000, 8_000_000
 #: Bytes of text handled at once.
 BATCH_BYTES = 16_000_000
 
-# A space or line feed after any white space: a cut there would not be safe.
-_unsafe = r"\x00|\x01|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
+# Where the cuts would not be safe: a space or line feed after any white space, a
+# comma or full stop after what is no letter or number.  Such texts are cut at
+# spaces only, in Python.
+_unsafe = r"\x00|\x01|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|[^\pL\pN][.,]|^[.,]"
 _word_start = re.compile(r"(?<=\S)(?=\s)")
 _begins, _bare = "\0", "\1"
 
@@ -47,10 +49,31 @@ def slices(column: pa.Array, most_bytes: int = BATCH_BYTES) -> Iterator[tuple[in
         start = stop
 
 
+def texts_of(column: pa.Array) -> list[str]:
+    """Python strings of an Arrow column; null is the empty text."""
+    return [t or "" for t in column.to_pylist()]
+
+
+def balanced(texts: list[str], most_chars: int) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``most_chars`` characters each, one text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most_chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 class PieceTable:
-    """Ids of pieces by key; ``encode`` turns texts into arrays of ids, in order."""
+    """Ids of pieces by key.
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], kind: str, added: tuple[str, ...] = ()):
+    ``encode`` takes texts and gives an order of them, their ids in that order,
+    one after the other, and the number of ids of each.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[int], np.ndarray, np.ndarray]], kind: str, added: tuple[str, ...] = ()):
         self.encode, self.kind, self.added = encode, np.dtype(kind), added
         self._start_anew()
 
@@ -61,42 +84,39 @@ class PieceTable:
         self.ids = np.zeros(1 << 18, dtype=self.kind)
         self.pieces = self.used = 0
 
-    def _append(self, found: list[np.ndarray]) -> None:
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        n, total = self.pieces + len(found), self.used + int(sizes.sum())
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = self.pieces + len(sizes), self.used + len(ids)
         while n > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.size[self.pieces : n] = sizes
         self.start[self.pieces : n] = self.used + np.cumsum(sizes) - sizes
-        if found:
-            self.ids[self.used : total] = np.concatenate(found)
+        self.ids[self.used : total] = ids
         self.pieces, self.used = n, total
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
         found = list(map(self.number.get, keys))
-        new = dict.fromkeys(k for k, i in zip(keys, found) if i is None)
-        if new:
+        if None in found:
+            new = list(dict.fromkeys(k for k, i in zip(keys, found) if i is None))
             first = self.pieces
-            self._append(self.encode([piece_text(k) for k in new]))
-            self.number.update(zip(new, range(first, self.pieces)))
+            order, ids, sizes = self.encode([piece_text(k) for k in new])
+            self._append(ids, sizes)
+            self.number.update(zip((new[i] for i in order), range(first, self.pieces)))
             found = list(map(self.number.__getitem__, keys))
         return np.array(found, dtype=np.int64)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece of ``texts``, and where each text's pieces end."""
-        unsafe = pc.match_substring_regex(texts, _unsafe)
-        for token in self.added:
-            # an added token is cut out before the pattern applies: such a text stays whole
-            unsafe = pc.or_(unsafe, pc.match_substring(texts, token))
+        # an added token is cut out before the pattern applies: such a text stays whole
+        unsafe = pc.match_substring_regex(texts, "|".join([_unsafe, *map(re.escape, self.added)]))
         marked = pc.binary_join_element_wise(pa.scalar(_begins, texts.type), texts, pa.scalar("", texts.type))
-        marked = pc.replace_substring(marked, "\n", " \n")
-        marked = pc.replace_substring_regex(marked, r"([\pL\pN])([.,])", r"\1 " + _bare + r"\2")
+        for char, key in (("\n", "\n"), (",", _bare + ","), (".", _bare + ".")):
+            marked = pc.replace_substring(marked, char, " " + key)
         marked = pc.if_else(unsafe, pa.scalar("", texts.type), marked)
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         ends = lists.offsets.to_numpy()[1:].astype(np.int64)
         rows = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
         if not len(rows):
@@ -129,7 +149,8 @@ class PieceTable:
         numbers, ends = self._pieces(column)
         sizes = self.size[numbers]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.start[numbers] - total[:-1], sizes) + np.arange(total[-1])
+        # of a batch and of what a worker keeps, both far below 2**31
+        at = np.repeat((self.start[numbers] - total[:-1]).astype(np.int32), sizes) + np.arange(total[-1], dtype=np.int32)
         return self.ids[at], total[ends]
 
 
@@ -137,5 +158,61 @@ def gathered(parts: np.ndarray, start: np.ndarray, size: np.ndarray, numbers: np
     """The stretches of ``parts`` with these numbers, joined, and where each ends."""
     sizes = size[numbers]
     ends = np.cumsum(sizes)
-    at = np.repeat(start[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(len(parts), total) < 1 << 31 else np.int64
+    at = np.repeat((start[numbers] - ends + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
     return parts[at], ends
+
+
+#: Pieces that go to the tokenizer as one text.
+JOINED = 100
+
+
+class JoinedEncoder:
+    """Encodes many short pieces through few calls of a byte-level tokenizer.
+
+    Pieces that begin with a space or line feed and end in no white space are
+    put one after the other, which is safe for the reasons above, and the ids
+    are dealt out again by the bytes that each id stands for.  A piece that
+    begins with a comma or full stop gets a letter before it, whose ids are left
+    out.  All others, and all with added tokens, are encoded alone.
+    """
+
+    def __init__(self, tokenizer, added: tuple[str, ...], kind: str):
+        self.tokenizer, self.added, self.kind = tokenizer, added, kind
+        sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            sizes[i] = len(token)  # one character of the byte alphabet for each byte
+        self.bytes_of = sizes
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=self.kind) for x in encoded]
+
+    def __call__(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        spaced, bare, alone = [], [], []
+        for i, p in enumerate(pieces):
+            if 1 < len(p) < 100 and not p[-1].isspace() and not p[1].isspace() and p[0] in " \n,.":
+                (bare if p[0] in ",." else spaced).append(i)
+            else:
+                alone.append(i)
+        stretches = [[pieces[i] for i in spaced], [s for i in bare for s in (" x", pieces[i])]]
+        texts = ["".join(s[k : k + JOINED]) for s in stretches for k in range(0, len(s), JOINED)]
+        if any(a in t for t in texts for a in self.added):
+            alone, spaced, bare, texts, stretches = list(range(len(pieces))), [], [], [], [[], []]
+        ids = np.concatenate([np.empty(0, dtype=self.kind), *self._ids(texts)])
+        ends = np.cumsum([len(p.encode()) for s in stretches for p in s])
+        stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+        sizes = np.diff(stops, prepend=0)
+        if bare:
+            keep = np.ones(len(sizes), dtype=bool)
+            keep[len(spaced) :: 2] = False
+            ids, sizes = ids[np.repeat(keep, sizes)], sizes[keep]
+        rest: list[np.ndarray] = []
+        for part in balanced([pieces[i] for i in alone], 1_000_000):
+            rest += self._ids([pieces[i] for i in alone[part]])
+        return (
+            [*spaced, *bare, *alone],
+            np.concatenate([ids, *rest]),
+            np.concatenate([sizes, np.array([len(r) for r in rest], dtype=np.int64)]).astype(np.int64),
+        )

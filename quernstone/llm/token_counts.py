@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceCache, balanced, texts_of
+from .piece_table import JoinedEncoder, PieceTable, balanced, slices, texts_of
 
 #: Characters that one call of the tokenizer gets.
 BATCH_CHARS = 1_000_000
@@ -25,31 +26,36 @@ def _load_json(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    if hasattr(tokenizer.model, "_resize_cache"):
+        # pieces come once, so the library need not remember them
+        model = tokenizer.model
+        model._resize_cache(0)
+        tokenizer.model = model
     added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     return tokenizer, added
 
 
 @cache
 def _counter(path: str):
-    """A function from texts to token counts, kept by the worker."""
+    """A function from a text column to token counts, kept by the worker."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        return lambda column: [len(x) for x in model.encode(texts_of(column), num_threads=1)]
     tokenizer, added = _load_json(path)
+    if _splits_like_byte_level(tokenizer):
+        kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        return PieceTable(JoinedEncoder(tokenizer, added, kind), kind, added).lengths
 
-    def lengths(texts: list[str]) -> list[int]:
-        found: list[int] = []
+    def lengths(column: pa.Array) -> list[int]:
+        texts, found = texts_of(column), []
         for part in balanced(texts, BATCH_CHARS):
             encoded = tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)
             found += [len(x) for x in encoded]
         return found
 
-    if not _splits_like_byte_level(tokenizer):
-        return lengths
-    pieces = PieceCache(lengths)
-    return lambda texts: [sum(x) for x in pieces.encode_texts(texts, added)]
+    return lengths
 
 
 def _splits_like_byte_level(tokenizer) -> bool:
@@ -83,13 +89,13 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _counter(tokenizer_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = batch.column(1)
             tokens: list[int] = []
-            for part in balanced(texts, 8 * BATCH_CHARS):
-                tokens += lengths(texts[part])
-            sizes = [len(t.encode()) for t in texts]
+            for start, stop in slices(texts):
+                tokens.extend(lengths(texts.slice(start, stop - start)))
+            sizes = pc.fill_null(pc.binary_length(texts), 0)
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())],
+                [batch.column(0), sizes.cast(pa.int64()), pa.array(tokens, pa.int64())],
                 names=["id", "n_bytes", "n_tokens"],
             )
 

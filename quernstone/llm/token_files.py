@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .base import shared_dir, staged
-from .pieces import PieceCache, balanced, texts_of
-from .token_counts import BATCH_CHARS, _load_json
+from .piece_table import JoinedEncoder, PieceTable, slices
+from .token_counts import _load_json
 
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 19
@@ -38,18 +37,12 @@ END_ID = 0
 
 
 @cache
-def _encoder(path: str):
+def _encoder(path: str) -> PieceTable:
+    """Ids of text columns, kept by the worker."""
     tokenizer, added = _load_json(path)
-    kind = "H" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+    kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
-    def encode(texts: list[str]) -> list[bytes]:
-        found: list[bytes] = []
-        for part in balanced(texts, BATCH_CHARS):
-            encoded = tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)
-            found += [array(kind, x.ids).tobytes() for x in encoded]
-        return found
-
-    return PieceCache(encode), added, np.dtype(f"<u{array(kind).itemsize}")
+    return PieceTable(JoinedEncoder(tokenizer, added, kind), kind, added)
 
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_ids: int, end_id: int) -> DataFrame:
@@ -62,14 +55,14 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, added, kind = _encoder(tokenizer_path)
-        end = np.array([end_id], dtype=kind).tobytes()
+        table = _encoder(tokenizer_path)
+        end = np.array([end_id], dtype=table.kind).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         parts: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(p) // kind.itemsize for p in parts]
+            lengths = [len(p) // table.kind.itemsize for p in parts]
             return pa.record_batch(
                 [
                     pa.array([shard], pa.int32()),
@@ -84,18 +77,20 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
         size = 0
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = batch.column(1)
             doc_ids = batch.column(0).to_pylist()
-            for part in balanced(texts, 4 * BATCH_CHARS):
-                for i, values in zip(doc_ids[part], pieces.encode_texts(texts[part], added)):
-                    coded = b"".join(values) + end
-                    n = len(coded) // kind.itemsize
+            for start, stop in slices(texts):
+                values, ends = table.all_ids(texts.slice(start, stop - start))
+                before = 0
+                for i, after in zip(doc_ids[start:stop], ends.tolist()):
+                    n = after - before + 1
                     if parts and size + n > block_ids:
                         yield flush()
                         ids, parts, size, block = [], [], 0, block + 1
                     ids.append(i)
-                    parts.append(coded)
+                    parts.append(values[before:after].tobytes() + end)
                     size += n
+                    before = after
         if parts:
             yield flush()
 
