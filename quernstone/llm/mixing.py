@@ -14,6 +14,10 @@ for each source, or for each shard of a source.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +107,11 @@ def source_targets(sources: DataFrame, weights: tuple, share: float, most: int)
     )
 
 
-def mix(
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+
+
+def allotments(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -114,19 +122,17 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row for each row of ``docs``: how many of its words the mix takes.
+    """Where each row's words lie in its shard, and what the shard gets.
 
-    Returns ``id_col``, size, source, source_size, target, taken.  ``taken`` is
-    at most ``most`` times ``size``.  Words are runs of characters other than
-    space and U+0009 to U+000D; null text has none.  A null source is a source.
-    Rows with one id are told apart by size only, so equal rows fare alike or
-    share what one place gets.  No rows, or no words, take nothing.
+    Returns id, size, source, source_size, target, stop (place of the row's last
+    word), words and blocks and quota of the shard, turn (where its permutation
+    begins).
     """
     sizes = staged(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
+            word_count(F.col(text_col)).alias("size"),
         ),
         "mix-sizes",
     )
@@ -163,28 +169,112 @@ def mix(
     )
     in_shard = Window.partitionBy("source", "shard").orderBy(F.col("id").asc_nulls_first(), "size")
     laid = placed.withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = (
+    return (
         laid.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.shard") == F.col("p.shard")))
-        .select("id", "size", "d.source", "d.shard", "end", "words", "blocks", "source_size", "target", "quota")
+        .select("id", "size", "d.source", "d.shard", F.col("end").alias("stop"), "words", "blocks", "source_size", "target", "quota")
         .withColumn("turn", _hash(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("shard").cast("string"))))
     )
-    # block i of n is words floor(i * words / n) to floor((i + 1) * words / n)
-    first_block = "cast(floor(((end - size) * blocks) div words) as bigint)"
-    last_block = "least(blocks - 1, (end * blocks) div words)"
+
+
+def _times(i: str) -> str:
+    """How often block ``i`` is taken."""
+    return f"(quota div blocks + if(({i} * {STEP} + turn) % blocks < quota % blocks, 1, 0))"
+
+
+# block i of n is words floor(i * words / n) to floor((i + 1) * words / n)
+_FIRST = "greatest(0, cast(floor(((stop - size) * blocks) div words) as bigint) - 1)"
+_LAST = "least(blocks - 1, (stop * blocks) div words)"
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row for each row of ``docs``: how many of its words the mix takes.
+
+    Returns ``id_col``, size, source, source_size, target, taken.  ``taken`` is
+    at most ``most`` times ``size``.  Words are runs of characters other than
+    space and U+0009 to U+000D; null text has none.  A null source is a source.
+    Rows with one id are told apart by size only, so equal rows fare alike or
+    share what one place gets.  No rows, or no words, take nothing.
+    """
     taken = f"""
         case when size = 0 then 0 else aggregate(
-            sequence(greatest(0, {first_block} - 1), {last_block}),
+            sequence({_FIRST}, {_LAST}),
             cast(0 as bigint),
             (sum, i) -> sum
-                + greatest(0, least(end, ((i + 1) * words) div blocks) - greatest(end - size, (i * words) div blocks))
-                * (quota div blocks + if((i * {STEP} + turn) % blocks < quota % blocks, 1, 0))
+                + greatest(0, least(stop, ((i + 1) * words) div blocks) - greatest(stop - size, (i * words) div blocks))
+                * {_times("i")}
         ) end"""
-    return joined.select(
+    return allotments(docs, id_col, **options).select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", F.expr(taken).cast("bigint").alias("taken")
     )
 
 
+_word = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _words_between(text: str, ranges: list[tuple[int, int]], size: int) -> str:
+    """The words of the ranges, with what stands between words of one range."""
+    if ranges == [(0, size)]:
+        return text
+    spans = [m.span() for m in _word.finditer(text)]
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in ranges)
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix itself: for each pass the rows of ``docs`` with the words it takes.
+
+    A row comes once for each pass that takes any of its words, with all of its
+    text if the pass takes all; else neighbouring blocks keep what stands
+    between their words and stretches are joined by line feeds.  ``chars_col``
+    is set to the new length.  Other columns stay.
+    """
+    pieces = f"""
+        transform(
+            filter(sequence({_FIRST}, {_LAST}), i -> {_times("i")} > 0 and
+                least(stop, ((i + 1) * words) div blocks) > greatest(stop - size, (i * words) div blocks)),
+            i -> struct(
+                cast(greatest(0, (i * words) div blocks - (stop - size)) as int) as a,
+                cast(least(size, ((i + 1) * words) div blocks - (stop - size)) as int) as b,
+                cast({_times("i")} as int) as times))"""
+    plan = allotments(docs, id_col, source_col, text_col, **options).filter("size > 0").select("id", "source", "size", "stop", F.expr(pieces).alias("__pieces"))
+    same = ["__id", "__source", "__size"]
+    keys = {"__id": F.col("id"), "__source": F.col("source"), "__size": F.col("size")}
+    # rows alike in all three are numbered, so that each gets one place
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    plan = plan.withColumns(keys).withColumn("__nth", nth("stop")).select(*same, "__nth", "__pieces")
+    rows = docs.withColumns(
+        {"__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}
+    ).withColumn("__nth", nth(F.col(text_col)))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*same, "__nth"]]
+    joined = rows.alias("d").join(plan.alias("p"), on).select("d.*", "p.__pieces").filter("size(__pieces) > 0")
+    joined = joined.select(*docs.columns, "__size", "__pieces")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_, texts = [], []
+            sizes, pieces_ = batch.column("__size").to_pylist(), batch.column("__pieces").to_pylist()
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                for number in range(1, max(p["times"] for p in pieces_[i]) + 1):
+                    ranges: list[tuple[int, int]] = []
+                    for p in pieces_[i]:
+                        if p["times"] >= number:
+                            if ranges and ranges[-1][1] == p["a"]:
+                                ranges[-1] = (ranges[-1][0], p["b"])
+                            else:
+                                ranges.append((p["a"], p["b"]))
+                    rows_.append(i)
+                    texts.append(_words_between(text, ranges, sizes[i]))
+            picked = batch.select(names).take(pa.array(rows_, pa.int32()))
+            yield picked.set_column(at, text_col, pa.array(texts, picked.column(at).type))
+
+    mixed = joined.mapInArrow(run, docs.schema)
+    if chars_col in docs.columns:
+        mixed = mixed.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return mixed
+
+
 OP10_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source,
