@@ -28,9 +28,9 @@ MOST_LANGUAGES = 500
 #: Texts are coded in stretches of this many bytes, so that a long text does not
 #: become its own dictionary.
 STRETCH = 2_048
-#: Shorter texts are also coded at a slower level, and by their last words too,
-#: as whole bytes are too coarse a measure for them.
-SHORT, ENDINGS = 256, 8
+#: Shorter texts are also coded at a slower level, by their last words too, and
+#: with parts of the dictionaries, as whole bytes are too coarse a measure for them.
+SHORT, ENDINGS, PARTS = 256, 6, 4
 #: A smaller relative margin rejects a text.
 MIN_MARGIN = 0.002
 LEVEL, SHORT_LEVEL = 7, 12
@@ -57,6 +57,11 @@ def _compressors(dictionary: bytes, level: int, min_match: int) -> zstandard.Zst
     return zstandard.ZstdCompressor(dict_data=content, compression_params=params)
 
 
+def _parts(dictionary: bytes) -> list[bytes]:
+    step = -(-len(dictionary) // PARTS)
+    return [dictionary[i : i + step] for i in range(0, len(dictionary), step)]
+
+
 class Classifier:
     """``dictionaries``: (language, dictionary), the most frequent language first."""
 
@@ -64,7 +69,9 @@ class Classifier:
         usable = [(lang, d) for lang, d in dictionaries if len(d) >= 8]
         self.languages = [lang for lang, _ in usable]
         self.fast = [_compressors(d, LEVEL, 4).compress for _, d in usable]
-        self.slow = [_compressors(d, SHORT_LEVEL, 3).compress for _, d in usable]
+        self.slow = [
+            [_compressors(x, SHORT_LEVEL, 3).compress for x in (d, *_parts(d)) if len(x) >= 8] for _, d in usable
+        ]
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and relative margin; ``und`` without letters or languages."""
@@ -80,7 +87,7 @@ class Classifier:
             step = -(-len(words) // ENDINGS)
             parts = [b" ".join(words[i:]) for i in range(0, len(words), step)]
             sizes = [
-                sum(len(fast(p)) + len(slow(p)) for p in parts) for fast, slow in zip(self.fast, self.slow)
+                sum(len(code(p)) for code in (fast, *slow) for p in parts) for fast, slow in zip(self.fast, self.slow)
             ]
         if len(sizes) == 1:
             return self.languages[0], 1.0

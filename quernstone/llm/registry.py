@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, exact_dedup, language_id, mixing, pivot_search, simhash, token_counts, token_files
+from . import bpe_codec, chat_format, exact_dedup, language_id, license_scan, mixing, pivot_search, simhash, token_counts, token_files
 from .base import table
 
 
@@ -26,6 +26,10 @@ def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -42,6 +46,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,15 +58,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_pivot_search": op3_pivot_search,
+    "op4_perspectives": op4_perspectives,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_pivot_search": pivot_search.OP3_SQL,
+    "op4_perspectives": chat_format.OP4_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }
