@@ -100,31 +100,33 @@ def edge_cost(edges: DataFrame, status: str, penalties: dict[str, float], confid
     return edges.withColumn("cost", F.when((F.col(status) == "closed") | F.col("forbidden"), F.lit(None)).otherwise(cost))
 
 
-def shortest_paths(edges: DataFrame, source: int, most_hops: int = 64, checkpoint_every: int = 8) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: int, most_hops: int = 64) -> DataFrame:
     """(node, cost, hops) of the cheapest way from ``source``; edges (src, dst, cost), NULL costs closed.
 
     Relaxation round by round over the whole graph: a join on the frontier and a
-    minimum per node.  It ends when no node gets cheaper.
+    minimum per node.  It ends when no node gets cheaper.  Each round is
+    checkpointed in the folder that the session names, which keeps plans short
+    and survives lost executors.
     """
     spark = edges.sparkSession
-    open_ = edges.filter("cost is not null").select("src", "dst", F.col("cost").cast("double").alias("c")).persist()
-    best = spark.createDataFrame([(source, 0.0, 0)], "node bigint, cost double, hops int")
-    frontier = best
-    for round_ in range(1, most_hops + 1):
-        reached = frontier.join(open_, frontier["node"] == open_["src"]).select(
-            F.col("dst").cast("bigint").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops")
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
+    open_ = edges.filter("cost is not null").groupBy("src", "dst").agg(F.min(F.col("cost").cast("double")).alias("c")).checkpoint()
+    best = spark.createDataFrame([(source, 0.0, 0, True)], "node bigint, cost double, hops int, fresh boolean").coalesce(1)
+    for _ in range(most_hops):
+        reached = best.filter("fresh").join(open_, F.col("node") == F.col("src")).select(
+            F.col("dst").cast("bigint").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("fresh")
         )
-        merged = best.unionByName(reached).groupBy("node").agg(F.min(F.struct("cost", "hops")).alias("m")).select("node", "m.cost", "m.hops")
-        better = merged.alias("n").join(best.alias("o"), "node", "left").filter(F.col("o.cost").isNull() | (F.col("n.cost") < F.col("o.cost")))
-        frontier = better.select("node", F.col("n.cost").alias("cost"), F.col("n.hops").alias("hops"))
-        if spark.sparkContext.getCheckpointDir() and round_ % checkpoint_every == 0:
-            merged, frontier = merged.checkpoint(), frontier.checkpoint()
-        else:
-            merged, frontier = merged.persist(), frontier.persist()
-        if frontier.isEmpty():
+        # on equal costs the known way stays, as false comes before true
+        least = F.min(F.struct("cost", "fresh", "hops")).alias("m")
+        known = best.withColumn("fresh", F.lit(False))
+        best = known.unionByName(reached).groupBy("node").agg(least).select("node", "m.cost", "m.hops", "m.fresh").checkpoint()
+        if best.filter("fresh").isEmpty():
             break
-        best = merged
-    return best
+    return best.select("node", "cost", "hops")
 
 
 def severity_of_gates(gates: DataFrame, live: DataFrame, edge: str, gate: str, ranks: dict[str, int]) -> DataFrame:

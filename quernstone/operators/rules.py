@@ -117,11 +117,12 @@ def longest_matches(text: Column, names: list[str]) -> Column:
 
     pattern = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def find(column: pd.Series) -> pd.Series:
+    def find(column):
         return column.map(lambda t: None if t is None else pattern.findall(t))
 
-    return find(text)
+    # annotations here would be strings, which Spark cannot resolve inside a function
+    find.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(find, T.ArrayType(T.StringType()))(text)
 
 
 def latest_in_group(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
