@@ -135,3 +135,23 @@ def recent_partners(pairs: DataFrame, key: str, order: list[Column], most: int =
     """The first ``most`` partners of each probe."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return pairs.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def count_either(left: DataFrame, right: DataFrame, key: str, a: str, b: str, date: str, days: int) -> DataFrame:
+    """(key, n): right rows with equal ``a`` or equal ``b`` and a date within ``days``.
+
+    Pairs are not made: daily counts of the right side by a, by b and by both
+    are summed over the days around, and those equal in both are taken off once.
+    """
+    total = left.select(key, a, b, date)
+    parts = []
+    for i, keys in enumerate(([a], [b], [a, b])):
+        ours = left.select(*keys, F.unix_date(date).alias("__d")).distinct().withColumn("__n", F.lit(0).cast("bigint"))
+        theirs = right.groupBy(*keys, F.unix_date(date).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+        around = Window.partitionBy(*keys).orderBy("__d").rangeBetween(-days, days)
+        counted = ours.unionByName(theirs).withColumn("__s", F.sum("__n").over(around))
+        name = f"__n{i}"
+        sums = counted.groupBy(*keys, "__d").agg(F.max("__s").alias(name)).withColumnRenamed("__d", f"__d{i}")
+        total = total.withColumn(f"__d{i}", F.unix_date(date)).join(sums, [*keys, f"__d{i}"], "left")
+        parts.append(F.coalesce(F.col(name), F.lit(0)))
+    return total.select(key, (parts[0] + parts[1] - parts[2]).alias("n"))

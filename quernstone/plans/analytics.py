@@ -198,13 +198,13 @@ def first_last(spark, d):
     return econ(spark, d).groupBy("indicator").agg(F.when(F.count(F.lit(1)) >= 2, F.when(change > 5, "increasing").when(change < -5, "decreasing").otherwise("stable")).alias("trend"))
 
 
-_GAPS = """WITH q AS (SELECT DISTINCT nation, date FROM v_orders WHERE customer % 40 = 0), s AS (SELECT nation, date, lag(date) OVER (PARTITION BY nation ORDER BY date) AS p FROM q),
+_GAPS = """WITH q AS (SELECT DISTINCT nation, date FROM v_orders WHERE status = 'P' AND priority = '1-URGENT'), s AS (SELECT nation, date, lag(date) OVER (PARTITION BY nation ORDER BY date) AS p FROM q),
 f AS (SELECT nation, count(*) AS n, avg(date_diff('day', p, date)) AS m FROM s GROUP BY 1),
 k AS (SELECT nation, CASE WHEN n < 3 THEN 'unknown' WHEN m <= 2 THEN 'daily' WHEN m <= 10 THEN 'weekly' WHEN m <= 40 THEN 'monthly' WHEN m <= 100 THEN 'quarterly' ELSE 'yearly' END AS frequency FROM f)"""
 
 
 def _sparse(spark, d):
-    return orders(spark, d).filter("customer % 40 = 0").select("nation", "date").distinct()
+    return orders(spark, d).filter("status = 'P' and priority = '1-URGENT'").select("nation", "date").distinct()
 
 
 @query("t18_frequency", _GAPS + " SELECT nation, frequency FROM k")
@@ -310,11 +310,11 @@ def context(spark, d):
 
 
 @query("k09_freshness", """
-WITH a AS (SELECT id, key, status, round(greatest(0, (epoch(TIMESTAMP '2024-01-30') - floor(epoch(ts))) / 3600.0::DOUBLE), 1) AS age FROM v_updates WHERE ts >= TIMESTAMP '2024-01-29')
+WITH a AS (SELECT id, key, status, round(greatest(0, (epoch(TIMESTAMP '2024-01-30') - floor(epoch(ts))) / 3600.0::DOUBLE), 1) AS age FROM v_updates)
 SELECT id, age, CASE WHEN age <= 1 THEN 'live' WHEN age <= 6 THEN 'recent' ELSE 'stale' END AS band, round(pow(0.5, age / 6), 3) AS score, CASE WHEN key = 'cp3' THEN 'closed' WHEN age > 6 THEN 'unknown' ELSE status END AS effective FROM a""")
 def freshness(spark, d):
     age = dates.age_hours(F.col("ts"), F.lit("2024-01-30").cast("timestamp_ntz"))
-    rows = updates(spark, d).filter(F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz")).withColumn("age", age)
+    rows = updates(spark, d).withColumn("age", age)
     permanent = F.when(F.col("key") == "cp3", "closed")
     return rows.select("id", "age", dates.freshness_band(F.col("age")).alias("band"), dates.freshness_score(F.col("age")).alias("score"), dates.effective_status(F.col("status"), F.col("age"), permanent).alias("effective"))
 
@@ -326,23 +326,23 @@ def excel_dates(spark, d):
 
 
 @query("g01_haversine", """
-SELECT id, round(2 * 6371.0::DOUBLE * atan2(sqrt(a), sqrt(1 - a)), 4) AS km FROM (SELECT id, pow(sin(radians(31.5::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(31.5::DOUBLE)) * pow(sin(radians(34.45::DOUBLE - lon) / 2), 2) AS a FROM v_records WHERE k < 20)""")
+SELECT id, round(2 * 6371.0::DOUBLE * atan2(sqrt(a), sqrt(1 - a)), 4) AS km FROM (SELECT id, pow(sin(radians(31.5::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(31.5::DOUBLE)) * pow(sin(radians(34.45::DOUBLE - lon) / 2), 2) AS a FROM v_records)""")
 def haversine(spark, d):
-    return records(spark, d).filter("k < 20").select("id", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(31.5), F.lit(34.45)), 4).alias("km"))
+    return records(spark, d).select("id", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(31.5), F.lit(34.45)), 4).alias("km"))
 
 
 @query("g04_border_distance", """
-SELECT id, round(CASE WHEN lat BETWEEN 31.2 AND 31.6 AND lon BETWEEN 34.2 AND 34.6 THEN least(abs(lat - 31.2::DOUBLE), abs(lat - 31.6::DOUBLE), abs(lon - 34.2::DOUBLE), abs(lon - 34.6::DOUBLE)) * 111000 END, 4) AS metres FROM v_records WHERE k < 20""")
+SELECT id, round(CASE WHEN lat BETWEEN 31.2 AND 31.6 AND lon BETWEEN 34.2 AND 34.6 THEN least(abs(lat - 31.2::DOUBLE), abs(lat - 31.6::DOUBLE), abs(lon - 34.2::DOUBLE), abs(lon - 34.6::DOUBLE)) * 111000 END, 4) AS metres FROM v_records""")
 def border_distance(spark, d):
-    return records(spark, d).filter("k < 20").select("id", F.round(geo.border_distance_m(F.col("lat"), F.col("lon"), ((31.2, 34.2, 31.6, 34.6),)), 4).alias("metres"))
+    return records(spark, d).select("id", F.round(geo.border_distance_m(F.col("lat"), F.col("lon"), ((31.2, 34.2, 31.6, 34.6),)), 4).alias("metres"))
 
 
 @query("g07_segment_distance", """
-WITH p AS (SELECT id, lat, 111320.0::DOUBLE * cos(radians(lat)) AS px, lon FROM v_records WHERE k < 20), q AS (SELECT id, (34.3::DOUBLE - lon) * px AS ax, (31.3::DOUBLE - lat) * 111320.0::DOUBLE AS ay, (35.0::DOUBLE - 34.3::DOUBLE) * px AS dx, (32.0::DOUBLE - 31.3::DOUBLE) * 111320.0::DOUBLE AS dy FROM p),
+WITH p AS (SELECT id, lat, 111320.0::DOUBLE * cos(radians(lat)) AS px, lon FROM v_records), q AS (SELECT id, (34.3::DOUBLE - lon) * px AS ax, (31.3::DOUBLE - lat) * 111320.0::DOUBLE AS ay, (35.0::DOUBLE - 34.3::DOUBLE) * px AS dx, (32.0::DOUBLE - 31.3::DOUBLE) * 111320.0::DOUBLE AS dy FROM p),
 t AS (SELECT *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM q) SELECT id, round(sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy)), 3) AS metres FROM t""")
 def segment_distance(spark, d):
     m = geo.segment_distance_m(F.col("lat"), F.col("lon"), F.lit(31.3), F.lit(34.3), F.lit(32.0), F.lit(35.0))
-    return records(spark, d).filter("k < 20").select("id", F.round(m, 3).alias("metres"))
+    return records(spark, d).select("id", F.round(m, 3).alias("metres"))
 
 
 @query("g11_severity", """
@@ -351,10 +351,10 @@ def severity(spark, d):
     return records(spark, d).select("id", scores.severity_index(F.col("fatalities"), F.col("injuries"), F.when(F.col("event_type") == "error", 1.5).otherwise(1.0)).alias("severity_index"))
 
 
-@query("g13_half_life", "SELECT id, round(0.85::DOUBLE * pow(0.5, date_diff('day', date, DATE '2024-03-01') / 120.0::DOUBLE), 4) AS confidence FROM v_records WHERE k < 10")
+@query("g13_half_life", "SELECT id, round(0.85::DOUBLE * pow(0.5, date_diff('day', date, DATE '2024-03-01') / 120.0::DOUBLE), 4) AS confidence FROM v_records")
 def half_life(spark, d):
     age = F.datediff(F.lit("2024-03-01").cast("date"), "date")
-    return records(spark, d).filter("k < 10").select("id", F.round(scores.half_life(F.lit(0.85), age, F.lit(120.0)), 4).alias("confidence"))
+    return records(spark, d).select("id", F.round(scores.half_life(F.lit(0.85), age, F.lit(120.0)), 4).alias("confidence"))
 
 
 @query("g14_trust", "SELECT id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(coalesce(confidence, 0.5) * reliability, 9))), 3) AS trust FROM v_alerts")

@@ -98,10 +98,10 @@ def license_anti(spark, d):
 
 
 @query("f12_interval_overlap", """
-WITH c AS (SELECT place, event_type, min(date) AS first, max(date) AS last, count(*) AS n FROM v_records WHERE k > 90 GROUP BY 1, 2)
+WITH c AS (SELECT place, event_type, min(date) AS first, max(date) AS last, count(*) AS n FROM v_records GROUP BY 1, 2)
 SELECT place, event_type, n FROM c WHERE last >= DATE '2024-01-10' AND first <= DATE '2024-01-12' AND n >= 2""")
 def interval_overlap(spark, d):
-    clusters = records(spark, d).filter("k > 90").groupBy("place", "event_type").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"))
+    clusters = records(spark, d).groupBy("place", "event_type").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"))
     return clusters.filter(f.overlaps(F.col("first"), F.col("last"), "2024-01-10", "2024-01-12") & (F.col("n") >= 2)).select("place", "event_type", "n")
 
 
@@ -159,21 +159,21 @@ def known_keys(spark, d):
 
 @query("p02_timeline_row", """
 SELECT id, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon, substr(place || ' ' || event_type || ' ' || coalesce(region, '?'), 1, 12) AS description, source AS attribution
-FROM v_records WHERE k = 7""")
+FROM v_records""")
 def timeline_row(spark, d):
     text = F.concat_ws(" ", "place", "event_type", F.coalesce("region", F.lit("?")))
-    return records(spark, d).filter("k = 7").select(
+    return records(spark, d).select(
         "id", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"),
         F.substring(text, 1, 12).alias("description"), F.array_join(F.array("source"), ", ").alias("attribution"),
     )
 
 
 @query("p04_canonical", """
-SELECT id, CAST(fatalities AS DOUBLE) AS killed, CAST(0 AS DOUBLE) AS displaced, coalesce(region, 'none') AS region, '3.0.0' AS version FROM v_records WHERE k < 5""")
+SELECT id, CAST(fatalities AS DOUBLE) AS killed, CAST(0 AS DOUBLE) AS displaced, coalesce(region, 'none') AS region, '3.0.0' AS version FROM v_records""")
 def canonical(spark, d):
     from ..schema import LOCATION, METRICS, SCHEMA_VERSION, with_defaults
 
-    rows = records(spark, d).filter("k < 5")
+    rows = records(spark, d)
     rows = with_defaults(rows, "metrics", METRICS, {"killed": F.col("fatalities"), "injured": F.col("injuries")})
     rows = with_defaults(rows, "location", LOCATION, {"name": F.col("place"), "region": F.col("region"), "lat": F.col("lat"), "lon": F.col("lon")})
     return rows.select(
@@ -289,10 +289,10 @@ def pruned(spark, d):
 
 
 @query("s18_geojson", """
-SELECT id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || '0' || ']}}' AS shape FROM v_records WHERE k = 3""")
+SELECT id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || '0' || ']}}' AS shape FROM v_records""")
 def geojson(spark, d):
     text = geo.feature(F.lit(0.0), F.lit(0.0), id=F.col("id"))
-    return records(spark, d).filter("k = 3 and lat is not null").select("id", F.when(F.get_json_object(text, "$.geometry.type") == "Point", '{"type":"Feature","geometry":{"type":"Point","coordinates":[0]}}').alias("shape"))
+    return records(spark, d).filter("lat is not null").select("id", F.when(F.get_json_object(text, "$.geometry.type") == "Point", '{"type":"Feature","geometry":{"type":"Point","coordinates":[0]}}').alias("shape"))
 
 
 @query("s19_ordered_export", "SELECT id, ts, type FROM v_alerts WHERE severity = 'high'")
@@ -319,10 +319,10 @@ def map_of_counts(spark, d):
 
 
 @query("m08_derived_counts", """
-SELECT id, greatest(0, fatalities - CAST(floor(fatalities / 3) AS INTEGER) - CAST(floor(injuries / 4) AS INTEGER)) AS men FROM v_records WHERE k % 9 = 0""")
+SELECT id, greatest(0, fatalities - CAST(floor(fatalities / 3) AS INTEGER) - CAST(floor(injuries / 4) AS INTEGER)) AS men FROM v_records""")
 def derived_counts(spark, d):
     c, w = F.floor(F.col("fatalities") / 3).cast("int"), F.floor(F.col("injuries") / 4).cast("int")
-    return records(spark, d).filter("k % 9 = 0").select("id", F.greatest(F.lit(0), F.col("fatalities") - c - w).alias("men"))
+    return records(spark, d).select("id", F.greatest(F.lit(0), F.col("fatalities") - c - w).alias("men"))
 
 
 @query("w10_top_per_group", """

@@ -54,12 +54,12 @@ def _km(lat1, lon1, lat2, lon2):
 
 
 @query("j05_spatiotemporal", f"""
-WITH c AS (SELECT * FROM v_records WHERE category = 'conflict' AND k >= 80), o AS (SELECT * FROM v_records WHERE category = 'other' AND k >= 90)
+WITH c AS (SELECT * FROM v_records WHERE category = 'conflict'), o AS (SELECT * FROM v_records WHERE category = 'other')
 SELECT c.id, count(o.id) AS n, string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id) AS ids FROM c JOIN o ON abs(date_diff('day', c.date, o.date)) <= 7 AND {_km('c.lat', 'c.lon', 'o.lat', 'o.lon')} <= 1 GROUP BY c.id""")
 def spatiotemporal(spark, d):
     r = records(spark, d).select("id", "date", "lat", "lon", "category", "k")
-    a = r.filter("category = 'conflict' and k >= 80")
-    b = r.filter("category = 'other' and k >= 90")
+    a = r.filter("category = 'conflict'")
+    b = r.filter("category = 'other'")
     pairs = j.grid_join(a, b, 1.0, days=7)
     ids = F.array_join(F.sort_array(F.collect_list("r_id")).cast("array<string>"), ",")
     return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
@@ -102,14 +102,12 @@ def boost(spark, d):
 
 
 @query("j08_or_join", """
-WITH a AS (SELECT * FROM v_records WHERE k = 11), b AS (SELECT * FROM v_records WHERE k = 12)
-SELECT a.id, count(DISTINCT b.id) AS n FROM a JOIN b ON (a.place = b.place OR a.region = b.region) AND abs(date_diff('day', a.date, b.date)) <= 7 GROUP BY a.id""")
+WITH a AS (SELECT * FROM v_records WHERE category = 'conflict'), b AS (SELECT * FROM v_records WHERE category = 'other')
+SELECT a.id, count(*) AS n FROM a JOIN b ON (a.place = b.place OR a.region = b.region) AND abs(date_diff('day', a.date, b.date)) <= 7 GROUP BY a.id""")
 def or_join(spark, d):
-    r = records(spark, d).select("id", "place", "region", "date", "k")
-    a, b = r.filter("k = 11").drop("k"), r.filter("k = 12").select(F.col("id").alias("r_id"), "place", "region", F.col("date").alias("r_date"))
-    pair = lambda c: a.join(b.select(c, "r_id", "r_date"), c).select("id", "r_id", "date", "r_date")
-    both = pair("place").unionAll(pair("region")).filter(F.abs(F.datediff("date", "r_date")) <= 7)
-    return both.select("id", "r_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    r = records(spark, d).select("id", "place", "region", "date", "category")
+    a, b = r.filter("category = 'conflict'"), r.filter("category = 'other'")
+    return j.count_either(a, b, "id", "place", "region", "date", 7).filter("n > 0")
 
 
 @query("j09_year_join", """
@@ -195,10 +193,10 @@ def registry(spark, d):
 
 
 @query("j18_siblings", """
-WITH m AS (SELECT DISTINCT id AS record, place || '|' || CAST(date AS VARCHAR) AS cluster FROM v_records WHERE k > 85)
+WITH m AS (SELECT DISTINCT id AS record, place || '|' || CAST(date AS VARCHAR) || '|' || event_type AS cluster FROM v_records)
 SELECT a.record, count(*) AS n FROM m a JOIN m b ON a.cluster = b.cluster AND a.record <> b.record GROUP BY 1""")
 def siblings(spark, d):
-    m = records(spark, d).filter("k > 85").select(F.col("id").alias("record"), F.concat_ws("|", "place", F.col("date").cast("string")).alias("cluster"))
+    m = records(spark, d).select(F.col("id").alias("record"), F.concat_ws("|", "place", F.col("date").cast("string"), "event_type").alias("cluster"))
     return j.siblings(m).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -232,14 +230,15 @@ def base_rate(spark, d):
 
 
 @query("j22_obstacles", """
-WITH f AS (SELECT id, place, lat, lon FROM v_records WHERE k BETWEEN 40 AND 60), e AS (SELECT id, place, lat, lon FROM v_records WHERE k BETWEEN 55 AND 57)
-SELECT f.id FROM f WHERE f.id NOT IN (SELECT id FROM e) AND NOT EXISTS (SELECT 1 FROM e WHERE e.place = f.place AND e.id % 7 = 0) AND NOT EXISTS (SELECT 1 FROM e WHERE e.id % 3 = 0 AND """ + _km("f.lat", "f.lon", "e.lat", "e.lon") + " <= 0.3)")
+WITH f AS (SELECT DISTINCT place || governorate AS name, lat, lon FROM v_records WHERE event_type = 'view'), e AS (SELECT DISTINCT place || governorate AS name, lat, lon FROM v_records WHERE event_type = 'purchase' AND value > 480)
+SELECT f.name, round(f.lat, 3) AS lat, round(f.lon, 3) AS lon FROM f WHERE f.name NOT IN (SELECT name FROM e) AND NOT EXISTS (SELECT 1 FROM e WHERE """ + _km("f.lat", "f.lon", "e.lat", "e.lon") + " <= 3)")
 def obstacles(spark, d):
-    r = records(spark, d).select("id", "place", "lat", "lon", "k")
-    fresh, known = r.filter("k between 40 and 60").drop("k"), r.filter("k between 55 and 57").drop("k")
-    left = fresh.join(known.select("id"), "id", "left_anti").join(known.filter("id % 7 = 0").select("place"), "place", "left_anti")
-    near = j.grid_join(left, known.filter("id % 3 = 0"), 0.3).select("id").distinct()
-    return left.join(near, "id", "left_anti").select("id")
+    r = records(spark, d).select(F.concat("place", "governorate").alias("name"), "lat", "lon", "event_type", "value")
+    fresh = r.filter("event_type = 'view'").select("name", "lat", "lon").distinct()
+    known = r.filter("event_type = 'purchase' and value > 480").select("name", "lat", "lon").distinct()
+    left = fresh.join(known.select("name"), "name", "left_anti")
+    near = j.grid_join(left, known, 3.0).select("name", "lat", "lon").distinct()
+    return left.join(near, ["name", "lat", "lon"], "left_anti").select("name", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 
 @query("j23_crosswalk", """
@@ -330,15 +329,15 @@ def message_dedupe(spark, d):
     return table(spark, d, "conversations").dropDuplicates(["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
 
 
-_MESSAGES = """m AS (SELECT doc_id, TIMESTAMP '2024-01-01' + INTERVAL (doc_id * 20) SECOND AS ts, substr(text, 1, 400) AS body FROM documents WHERE doc_id < 600),
+_MESSAGES = """m AS (SELECT doc_id, TIMESTAMP '2024-01-01' + INTERVAL (doc_id * 60) SECOND AS ts, text AS body FROM documents),
 w AS (SELECT doc_id, ts, f, list_distinct(list_filter(regexp_split_to_array(lower(f), ' +'), lambda x: x <> '')) AS ws FROM (SELECT doc_id, ts, trim(regexp_replace(regexp_replace(body, '[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}]|https?://[^ \\n]+', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS f FROM m)),
 p AS (SELECT a.doc_id, b.doc_id AS other, a.f AS fa, b.f AS fb, len(list_intersect(a.ws, b.ws)) AS n_both, len(a.ws) AS na, len(b.ws) AS nb, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.ts DESC, b.doc_id DESC) AS i FROM w a JOIN w b ON epoch(a.ts) - epoch(b.ts) BETWEEN 0 AND 1800 AND (b.ts < a.ts OR b.doc_id < a.doc_id))"""
 
 
 @query("u15_near_duplicates", f"WITH {_MESSAGES} SELECT doc_id, other, round(n_both::DOUBLE / (na + nb - n_both), 4) AS similarity FROM p WHERE i <= 50 AND length(fa) >= 15 AND length(fb) >= 15 AND round(n_both::DOUBLE / (na + nb - n_both), 4) > 0.6")
 def near_duplicates(spark, d):
-    rows = table(spark, d, "documents").filter("doc_id < 600").select(
-        "doc_id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("doc_id") * 20))).alias("ts"), F.substring("text", 1, 400).alias("body")
+    rows = table(spark, d, "documents").select(
+        "doc_id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("doc_id") * 60))).alias("ts"), F.col("text").alias("body")
     )
     return idn.near_duplicates(rows, "doc_id", "body", "ts")
 
@@ -359,11 +358,11 @@ def canonical_merge(spark, d):
 
 
 @query("u20_archive", """
-WITH e AS (SELECT doc_id, source FROM documents WHERE doc_id < 300), f AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) AS i, doc_id % 500 AS key FROM documents)
-SELECT doc_id, source FROM e UNION ALL SELECT doc_id, source FROM f WHERE i = 1 AND key NOT IN (SELECT doc_id % 500 FROM e)""")
+WITH e AS (SELECT doc_id, source, n_chars FROM documents WHERE source = 'src0'), f AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS i FROM documents)
+SELECT doc_id, source FROM e UNION ALL SELECT doc_id, source FROM f WHERE i = 1 AND n_chars NOT IN (SELECT n_chars FROM e)""")
 def archive(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source")
-    return idn.archive(rows.filter("doc_id < 300"), rows, F.col("doc_id") % 500, "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return idn.archive(rows.filter("source = 'src0'"), rows, F.col("n_chars"), "doc_id").select("doc_id", "source")
 
 
 @query("r06_history_boost", """
@@ -441,10 +440,10 @@ def user_reports(spark, d):
 
 
 @query("r21_promotion", """
-SELECT place, count(*) AS mentions FROM v_records GROUP BY place HAVING count(*) >= 5 AND count(lat) > 0 AND max(CASE WHEN k >= 90 THEN 1 ELSE 0 END) = 1 AND avg(value) >= 200""")
+SELECT place, count(*) AS mentions FROM v_records GROUP BY place HAVING count(*) >= 5 AND count(lat) > 0 AND max(CASE WHEN k >= 90 THEN 1 ELSE 0 END) = 1 AND avg(value) >= 50""")
 def promotion(spark, d):
     g = records(spark, d).groupBy("place").agg(F.count(F.lit(1)).alias("mentions"), F.count("lat").alias("geo"), F.max((F.col("k") >= 90).cast("int")).alias("real"), F.avg("value").alias("v"))
-    return g.filter("mentions >= 5 and geo > 0 and real = 1 and v >= 200").select("place", "mentions")
+    return g.filter("mentions >= 5 and geo > 0 and real = 1 and v >= 50").select("place", "mentions")
 
 
 _FACTS = """facts AS (SELECT c_custkey AS fact_id, 'e' || CAST(c_custkey % 60 AS VARCHAR) AS entity, 's' || CAST(c_custkey % 3 AS VARCHAR) AS slot, c_mktsegment AS value,
@@ -520,14 +519,14 @@ def gateways(spark, d):
 
 @query("x16_parse_statuses")
 def parse_statuses(spark, d):
-    messages = updates(spark, d).filter("id < 4000").select("id", F.concat(F.col("key"), F.lit(": "), F.col("status"), F.lit(" "), F.col("direction"), F.lit("\n"), F.lit("hello there")).alias("text"))
+    messages = updates(spark, d).select("id", F.concat(F.col("key"), F.lit(": "), F.col("status"), F.lit(" "), F.col("direction"), F.lit("\n"), F.lit("hello there")).alias("text"))
     words = {"open": "open", "closed": "closed", "congested": "congested", "idf": "idf", "inspection": "inspection"}
     return ru.parse_statuses(messages, "id", "text", words, {"inbound": "inbound", "outbound": "outbound"})
 
 
 @query("x01_normalised_names")
 def normalised_names(spark, d):
-    return table(spark, d, "documents").select(tx.normalised_name(F.substring("text", 1, 30)).alias("name")).distinct()
+    return table(spark, d, "part").select(tx.normalised_name(F.col("p_name")).alias("name")).distinct()
 
 
 @query("x11_longest_matches")
@@ -538,9 +537,9 @@ def longest_matches(spark, d):
 
 @query("u18_route_dedup")
 def route_dedup(spark, d):
-    on = j.on_route(records(spark, d).filter("k = 5"), [(31.3, 34.3), (31.6, 34.7), (32.0, 35.1)], 5000.0, "id")
-    rows = on.join(records(spark, d).filter("k = 5").select("id", F.col("place").alias("name"), "lat", "lon", F.when(F.col("severity") > 5, "closed").otherwise("open").alias("status")), "id")
-    rows = rows.select(F.lit("r1").alias("route"), "id", "name", "status", "metres", "lat", "lon")
+    places = records(spark, d).groupBy(F.col("place").alias("name"), "lat", "lon").agg(F.min("id").alias("id"), F.max("severity").alias("severity"))
+    on = j.on_route(places, [(31.3, 34.3), (31.6, 34.7), (32.0, 35.1)], 5000.0, "id")
+    rows = on.join(places, "id").withColumn("status", F.when(F.col("severity") > 8, "closed").otherwise("open")).select(F.lit("r1").alias("route"), "id", "name", "status", "metres", "lat", "lon")
     return idn.greedy_route_dedup(rows, "route").select("route", "id", "name")
 
 
