@@ -117,13 +117,15 @@ def _bucket_links(distinct: DataFrame, bits: int) -> DataFrame:
 
         def close(key: np.ndarray, fp: np.ndarray) -> list[pa.RecordBatch]:
             """Links of whole buckets."""
-            nonlocal too_large
-            done = []
+            done: list[pa.RecordBatch] = []
             if not len(key):
                 return done
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
-            small = np.repeat(sizes <= SMALL_BUCKET, sizes)
+            # what is left of a bucket that was passed on follows its other rows
+            split = (sizes > BUCKET_ROWS) | (key[starts] == (-1 if too_large is None else too_large))
+            little = (sizes <= SMALL_BUCKET) & ~split
+            small = np.repeat(little, sizes)
             k, f = key[small], fp[small]
             u = f.view(np.uint64)
             firsts, seconds = [], []
@@ -137,9 +139,9 @@ def _bucket_links(distinct: DataFrame, bits: int) -> DataFrame:
             if firsts:
                 pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)]), axis=1)
                 done.append(out(pairs[0], pairs[1], np.zeros(pairs.shape[1], dtype=np.int64)))
-            for at, size in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
+            for at, size, pass_on in zip(starts[~little].tolist(), sizes[~little].tolist(), split[~little].tolist()):
                 own = fp[at : at + size]
-                if size > BUCKET_ROWS or key[at] == too_large:
+                if pass_on:
                     done.append(out(own, [None] * size, key[at : at + size]))
                 elif edges := _forest(own, bits):
                     done.append(out([a for a, _ in edges], [b for _, b in edges], [0] * len(edges)))

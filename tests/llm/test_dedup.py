@@ -110,6 +110,8 @@ def test_link_fingerprints(spark, monkeypatch, small, cap):
     """Near fingerprints in chains and crowds, with buckets of any size split."""
     monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(simhash, "BUCKET_ROWS", cap)
+    # small batches, so that buckets go on over several
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if cap == 4 else "10000")
     rng = random.Random(5)
     prints = set()
     for _ in range(6):
