@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -97,7 +97,7 @@ class Classifier:
         return self.languages[best], (second - sizes[best]) / second
 
 
-@cache
+@lru_cache(maxsize=1)
 def _classifier(dictionaries: tuple[tuple[str, bytes], ...]) -> Classifier:
     """Kept by the worker."""
     return Classifier(dictionaries)
@@ -111,13 +111,14 @@ def held_out(id_column: Column, fold: int = 1, folds: int = 3) -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple:
     """Dictionaries from a bounded sample of the labelled rows of ``docs``.
 
-    All rows are counted; about ``SAMPLE_ROWS`` of each language are drawn by a
-    hash of their id.  Rows without text, language or id are not used.
+    All rows are counted; about ``SAMPLE_ROWS`` texts of each language are drawn
+    by their hash, so equal texts are drawn once.  Rows without text, language
+    or id are not used.
     """
     labelled = docs.select(
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("draw"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("draw"),
         F.col(id_col).isNotNull().alias("has_id"),
     ).filter("text is not null and lang is not null and has_id")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
@@ -133,7 +134,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     order = Window.partitionBy("lang").orderBy("draw", "text")
     drawn = (
         labelled.filter(F.col("draw").cast("double") <= bound)
-        .select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .groupBy("lang", "draw")
+        .agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
         .withColumn("nth", F.row_number().over(order))
         .filter(F.col("nth") <= SAMPLE_ROWS)
         .orderBy("lang", "nth")
