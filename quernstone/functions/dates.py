@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BASELINE_DATE = "2023-10-07"
-#: Phases by first day, oldest first.
-PHASES = (
-    ("1900-01-01", "historical"),
-    ("2000-09-28", "second-intifada"),
-    ("2005-02-08", "post-intifada"),
-    (BASELINE_DATE, "current"),
-)
+from .fixed import ESCALATION_PHASES, LAST_ESCALATION_PHASE, LAST_PHASE, PHASES
 
+BASELINE_DATE = "2023-10-07"
 
 def iso_week(date: Column) -> Column:
     """``YYYY-Www`` with the ISO year."""
@@ -92,12 +86,21 @@ def season(date: Column) -> Column:
     return F.when(month.isin(12, 1, 2), "winter").when(month.between(3, 5), "spring").when(month.between(6, 8), "summer").when(month.between(9, 11), "autumn")
 
 
-def phase(date: Column, phases: tuple = PHASES) -> Column:
-    """Name of the last phase that has begun."""
-    found = F.lit(None).cast("string")
-    for first, name in phases:
-        found = F.when(date >= F.lit(first).cast("date"), name).otherwise(found)
-    return found
+def _until(date: Column, ends: tuple, last: str) -> Column:
+    found = F.lit(last)
+    for end, name in reversed(ends):
+        found = F.when(date < F.lit(end).cast("date"), name).otherwise(found)
+    return F.when(date.isNotNull(), found)
+
+
+def phase(date: Column) -> Column:
+    """The phase of the conflict that a date is in; NULL without a date."""
+    return _until(date, PHASES, LAST_PHASE)
+
+
+def escalation_phase(date: Column) -> Column:
+    """before, during and after the first months since the baseline date."""
+    return _until(date, ESCALATION_PHASES, LAST_ESCALATION_PHASE)
 
 
 def age_hours(at: Column, as_of: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import EVENT_FACTORS, LATITUDES, LONGITUDES, OFFICIAL_ORGANISATIONS, RIGHTS_ORGANISATIONS
+
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
@@ -37,9 +39,23 @@ def consistency(penalties: list[tuple[Column, float]]) -> Column:
     return F.greatest(F.lit(0.0), score)
 
 
-def source_accuracy(kind: Column) -> Column:
-    """Official sources 1.0, non-governmental ones 0.9, others 0.8."""
-    return F.when(kind == "official", 1.0).when(kind == "ngo", 0.9).otherwise(0.8)
+def record_consistency(date: Column, lat: Column, lon: Column, as_of: Column) -> Column:
+    """``consistency`` of a canonical record: a date to come, coordinates out of bounds."""
+    outside = lambda c, bounds: (c < bounds[0]) | (c > bounds[1])
+    return consistency([(date > as_of, 0.2), (outside(lat, LATITUDES), 0.3), (outside(lon, LONGITUDES), 0.3)])
+
+
+def source_accuracy(organisation: Column) -> Column:
+    """1.0 for official organisations, 0.9 for rights groups, else 0.8, by parts of the name."""
+    low = F.lower(F.coalesce(organisation, F.lit("")))
+    of = lambda names: low.rlike("|".join(names))
+    return F.when(of(OFFICIAL_ORGANISATIONS), 1.0).when(of(RIGHTS_ORGANISATIONS), 0.9).otherwise(0.8)
+
+
+def event_factor(event_type: Column) -> Column:
+    """Factor of the severity index."""
+    pairs = F.create_map(*(F.lit(x) for kv in EVENT_FACTORS.items() for x in kv))
+    return F.coalesce(F.try_element_at(pairs, event_type), F.lit(1.0))
 
 
 def quality_band(score: Column) -> Column:

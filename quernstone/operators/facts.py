@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import FACT_HALF_LIVES, FACT_SOURCES, STATUS_PENALTIES, STATUS_SEVERITY
 from ..functions.scores import half_life
 
-#: Base confidence and rank of a fact's source.
-AUTHORITY = {
-    "human": (0.98, 6), "live": (0.90, 5), "official": (0.85, 4), "rights": (0.75, 3), "osm": (0.70, 2), "model": (0.30, 1),
-}
 STALE = 0.40
 
 
 def _by_source(source: Column, index: int) -> Column:
-    value = F.lit(None).cast("double")
-    for name, both in AUTHORITY.items():
+    value = F.lit((0.30, 0.0)[index])
+    for name, both in FACT_SOURCES.items():
         value = F.when(source == name, float(both[index])).otherwise(value)
     return value
 
 
+def fact_half_life(kind: Column) -> Column:
+    """Days by kind of fact, 120 for others."""
+    pairs = F.create_map(*(F.lit(x) for kv in FACT_HALF_LIVES.items() for x in kv))
+    return F.coalesce(F.try_element_at(pairs, kind), F.lit(120.0))
+
+
 def effective_confidence(facts: DataFrame, as_of: Column, half_days: Column | float = 120.0) -> DataFrame:
     """``facts`` with rank and with base confidence halved every ``half_days`` since last_verified."""
     age = F.datediff(as_of, F.col("last_verified"))
@@ -91,10 +94,10 @@ def corroboration_boost(sources: Column, each: float = 0.10, most: float = 0.30)
     return F.least(F.lit(most), sources * each)
 
 
-def edge_cost(edges: DataFrame, status: str, penalties: dict[str, float], confidence: str, residents: str) -> DataFrame:
+def edge_cost(edges: DataFrame, status: str, confidence: str, residents: str, penalties: dict[str, float] | None = None) -> DataFrame:
     """``edges`` with ``cost``: base minutes and penalties; NULL if closed or forbidden."""
     penalty = F.lit(0.0)
-    for name, value in penalties.items():
+    for name, value in (penalties or STATUS_PENALTIES).items():
         penalty = F.when(F.col(status) == name, value).otherwise(penalty)
     cost = F.col("base_minutes") + penalty + F.when(F.col(residents), 30.0).otherwise(0.0) + F.when(F.col(confidence) < STALE, 15.0).otherwise(0.0)
     return edges.withColumn("cost", F.when((F.col(status) == "closed") | F.col("forbidden"), F.lit(None)).otherwise(cost))
@@ -129,13 +132,14 @@ def shortest_paths(edges: DataFrame, source: int, most_hops: int = 64) -> DataFr
     return best.select("node", "cost", "hops")
 
 
-def severity_of_gates(gates: DataFrame, live: DataFrame, edge: str, gate: str, ranks: dict[str, int]) -> DataFrame:
-    """The worst live status over each edge's gates; a gate without one is partial."""
+def severity_of_gates(gates: DataFrame, live: DataFrame, edge: str, gate: str) -> DataFrame:
+    """The worst live status over each edge's gates; a gate without one is partial, an odd one unknown."""
     joined = gates.join(live, gate, "left").withColumn("status", F.coalesce("status", F.lit("partial")))
-    rank = F.lit(0)
-    for name, value in ranks.items():
-        rank = F.when(F.col("status") == name, value).otherwise(rank)
-    return joined.withColumn("rank", rank).groupBy(edge).agg(F.max("rank").alias("worst"))
+    order = F.array(*map(F.lit, STATUS_SEVERITY))
+    known = F.when(F.array_contains(order, F.col("status")), F.col("status")).otherwise("unknown")
+    rank = F.array_position(order, known) - 1
+    worst = joined.withColumn("rank", rank).groupBy(edge).agg(F.max("rank").cast("int").alias("worst"))
+    return worst.withColumn("status", F.element_at(order, F.col("worst") + 1))
 
 
 def safety_violations(path_edges: DataFrame, edges: DataFrame) -> DataFrame:

@@ -301,7 +301,7 @@ def week_keys(spark, d):
 @query("k07_context", """
 SELECT date, CAST(date_diff('day', DATE '2000-01-01', date) AS INTEGER) AS days, CASE WHEN date < DATE '2000-01-01' THEN 'before' WHEN date = DATE '2000-01-01' THEN 'baseline' ELSE 'after' END AS side,
  CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) <= 5 THEN 'spring' WHEN month(date) <= 8 THEN 'summer' ELSE 'autumn' END AS season,
- CASE WHEN date >= DATE '2000-09-28' THEN 'second-intifada' ELSE 'historical' END AS phase FROM (SELECT DISTINCT date FROM v_orders)""")
+ CASE WHEN date >= DATE '2001-01-01' THEN 'second-intifada' ELSE 'oslo-period' END AS phase FROM (SELECT DISTINCT date FROM v_orders)""")
 def context(spark, d):
     c = F.col("date")
     return orders(spark, d).select("date").distinct().select(
@@ -346,9 +346,10 @@ def segment_distance(spark, d):
 
 
 @query("g11_severity", """
-SELECT id, least(10.0::DOUBLE, floor((3 * fatalities + injuries) * CASE WHEN event_type = 'error' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / 10 + 0.5)) AS severity_index FROM v_records""")
+SELECT id, least(10.0::DOUBLE, floor((3 * fatalities + injuries) * CASE event_type WHEN 'error' THEN 1.5::DOUBLE WHEN 'view' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END / 10 + 0.5)) AS severity_index FROM v_records""")
 def severity(spark, d):
-    return records(spark, d).select("id", scores.severity_index(F.col("fatalities"), F.col("injuries"), F.when(F.col("event_type") == "error", 1.5).otherwise(1.0)).alias("severity_index"))
+    kind = F.when(F.col("event_type") == "error", "airstrike").when(F.col("event_type") == "view", "raid").otherwise(F.col("event_type"))
+    return records(spark, d).select("id", scores.severity_index(F.col("fatalities"), F.col("injuries"), scores.event_factor(kind)).alias("severity_index"))
 
 
 @query("g13_half_life", "SELECT id, round(0.85::DOUBLE * pow(0.5, date_diff('day', date, DATE '2024-03-01') / 120.0::DOUBLE), 4) AS confidence FROM v_records")

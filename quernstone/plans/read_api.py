@@ -182,9 +182,13 @@ def canonical(spark, d):
 
 
 @query("p06_enum_map", """
-SELECT CASE event_type WHEN 'click' THEN 'airstrike' WHEN 'view' THEN 'raid' WHEN 'error' THEN 'raid' ELSE event_type END AS kind, count(*) AS n FROM v_records GROUP BY 1""")
+SELECT CASE event_type WHEN 'click' THEN 'airstrike' WHEN 'view' THEN 'raid' WHEN 'error' THEN 'armed clash' ELSE event_type END AS kind, count(*) AS n FROM v_records GROUP BY 1""")
 def enum_map(spark, d):
-    kind = mapped(F.col("event_type"), {"click": "airstrike", "view": "raid", "error": "raid"})
+    from ..functions.fixed import EVENT_TYPES
+
+    t = F.col("event_type")
+    reported = F.when(t == "click", " Aerial Bombardment").when(t == "view", "Incursion").when(t == "error", "CLASH").otherwise(t)
+    kind = mapped(reported, EVENT_TYPES)
     return records(spark, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -209,12 +213,12 @@ def column_rollup(spark, d):
 SELECT id, round((c + s + a) / 3, 4) AS score, CASE WHEN (c + s + a) / 3 >= 0.8 THEN 'high' WHEN (c + s + a) / 3 >= 0.5 THEN 'medium' ELSE 'low' END AS band
 FROM (SELECT id,
   CAST(2 + 2 + 2 + CASE WHEN region IS NOT NULL THEN 1 ELSE 0 END + 1 AS DOUBLE) / 8 AS c,
-  CASE WHEN fatalities > injuries THEN CAST(0.7 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS s,
+  CAST(1 AS DOUBLE) - CASE WHEN date > DATE '2024-01-20' THEN CAST(0.2 AS DOUBLE) ELSE 0 END - CASE WHEN lat + CASE WHEN source = 'src5' THEN 3 ELSE 0 END > 34 THEN CAST(0.3 AS DOUBLE) ELSE 0 END - CASE WHEN lon < 33 OR lon > 36.5 THEN CAST(0.3 AS DOUBLE) ELSE 0 END AS s,
   CASE WHEN source = 'src0' THEN CAST(1 AS DOUBLE) WHEN source = 'src1' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS a FROM v_records)""")
 def quality(spark, d):
     c = scores.completeness([F.col("id"), F.col("date"), F.col("category")], [F.col("region"), F.col("place")])
-    s = scores.consistency([(F.col("fatalities") > F.col("injuries"), 0.3)])
-    a = scores.source_accuracy(F.when(F.col("source") == "src0", "official").when(F.col("source") == "src1", "ngo"))
+    s = scores.record_consistency(F.col("date"), F.col("lat") + F.when(F.col("source") == "src5", 3.0).otherwise(0.0), F.col("lon"), F.lit("2024-01-20").cast("date"))
+    a = scores.source_accuracy(F.when(F.col("source") == "src0", "UN OCHA").when(F.col("source") == "src1", "Amnesty").otherwise("press"))
     score = (c + s + a) / 3
     return records(spark, d).select("id", F.round(score, 4).alias("score"), scores.quality_band(score).alias("band"))
 

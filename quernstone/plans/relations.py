@@ -447,19 +447,20 @@ def promotion(spark, d):
 
 
 _FACTS = """facts AS (SELECT c_custkey AS fact_id, 'e' || CAST(c_custkey % 60 AS VARCHAR) AS entity, 's' || CAST(c_custkey % 3 AS VARCHAR) AS slot, c_mktsegment AS value,
- (['human', 'live', 'official', 'rights', 'osm', 'model'])[CAST(c_custkey % 6 AS INTEGER) + 1] AS source, DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS last_verified FROM customer),
-eff AS (SELECT *, CAST((7 - list_position(['human', 'live', 'official', 'rights', 'osm', 'model'], source)) AS INTEGER) AS r0, round((map(['human', 'live', 'official', 'rights', 'osm', 'model'], [0.98::DOUBLE, 0.90::DOUBLE, 0.85::DOUBLE, 0.75::DOUBLE, 0.70::DOUBLE, 0.30::DOUBLE]))[source] * pow(0.5, date_diff('day', last_verified, DATE '2024-11-01') / 120.0::DOUBLE), 4) AS confidence FROM facts),
-ranked AS (SELECT *, CASE source WHEN 'model' THEN 1 WHEN 'osm' THEN 2 WHEN 'rights' THEN 3 WHEN 'official' THEN 4 WHEN 'live' THEN 5 ELSE 6 END AS rank FROM eff)"""
+ (['human_local', 'live_feed', 'ocha_hdx', 'rights_doc', 'osm', 'model_inferred'])[CAST(c_custkey % 6 AS INTEGER) + 1] AS source, DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS last_verified FROM customer),
+eff AS (SELECT *, round((map(['human_local', 'live_feed', 'ocha_hdx', 'rights_doc', 'osm', 'model_inferred'], [0.98::DOUBLE, 0.90::DOUBLE, 0.85::DOUBLE, 0.75::DOUBLE, 0.70::DOUBLE, 0.30::DOUBLE]))[source] * pow(0.5, date_diff('day', last_verified, DATE '2024-11-01') / CASE slot WHEN 's0' THEN 700.0::DOUBLE WHEN 's1' THEN 30.0::DOUBLE ELSE 120.0::DOUBLE END), 4) AS confidence FROM facts),
+ranked AS (SELECT *, CASE source WHEN 'model_inferred' THEN 1 WHEN 'osm' THEN 2 WHEN 'rights_doc' THEN 3 WHEN 'ocha_hdx' THEN 4 WHEN 'live_feed' THEN 5 ELSE 6 END AS rank FROM eff)"""
 
 
 def _facts(spark, d):
     c = F.col("c_custkey")
-    names = F.array(*map(F.lit, ("human", "live", "official", "rights", "osm", "model")))
+    names = F.array(*map(F.lit, ("human_local", "live_feed", "ocha_hdx", "rights_doc", "osm", "model_inferred")))
     facts = table(spark, d, "customer").select(
         c.alias("fact_id"), F.concat(F.lit("e"), (c % 60).cast("string")).alias("entity"), F.concat(F.lit("s"), (c % 3).cast("string")).alias("slot"), F.col("c_mktsegment").alias("value"),
         F.element_at(names, (c % 6 + 1).cast("int")).alias("source"), F.date_add(F.lit("2024-01-01").cast("date"), (c % 300).cast("int")).alias("last_verified"),
     )
-    return fa.effective_confidence(facts, F.lit("2024-11-01").cast("date"))
+    kind = F.when(F.col("slot") == "s0", "edge_permission").when(F.col("slot") == "s1", "edge_gating").otherwise("other")
+    return fa.effective_confidence(facts, F.lit("2024-11-01").cast("date"), fa.fact_half_life(kind))
 
 
 @query("q01_current_fact", f"WITH {_FACTS} SELECT entity, slot, value, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity, slot ORDER BY rank DESC, confidence DESC, last_verified DESC, fact_id DESC) AS i FROM ranked) WHERE i = 1")
@@ -474,23 +475,23 @@ def worklist(spark, d):
 
 @query("q03_gate_severity", """
 WITH g AS (SELECT src, dst, 'cp' || CAST(src AS VARCHAR) AS key FROM v_edges UNION ALL SELECT src, dst, 'cp' || CAST(dst + 20 AS VARCHAR) FROM v_edges), l AS (SELECT key, arg_max(status, struct_pack(t := ts, i := id)) AS status FROM v_updates GROUP BY 1)
-SELECT CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR) AS edge, max(CASE coalesce(status, 'partial') WHEN 'partial' THEN 1 WHEN 'congested' THEN 1 WHEN 'inspection' THEN 2 WHEN 'idf' THEN 3 WHEN 'closed' THEN 4 ELSE 0 END) AS worst FROM g LEFT JOIN l USING (key) GROUP BY 1""")
+SELECT CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR) AS edge, CAST(max(CASE coalesce(status, 'partial') WHEN 'partial' THEN 2 WHEN 'inspection' THEN 4 WHEN 'congested' THEN 7 WHEN 'idf' THEN 8 WHEN 'closed' THEN 10 ELSE 0 END) AS INTEGER) AS worst FROM g LEFT JOIN l USING (key) GROUP BY 1""")
 def gate_severity(spark, d):
     e = edges(spark, d).select(F.concat(F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string")).alias("edge"), "src", "dst")
     gates = e.select("edge", F.explode(F.array(F.concat(F.lit("cp"), F.col("src").cast("string")), F.concat(F.lit("cp"), (F.col("dst") + 20).cast("string")))).alias("key"))
     live = j.latest_per_key(updates(spark, d), ["key"], ["ts", "id"]).select("key", "status")
-    return fa.severity_of_gates(gates, live, "edge", "key", {"partial": 1, "congested": 1, "inspection": 2, "idf": 3, "closed": 4})
+    return fa.severity_of_gates(gates, live, "edge", "key").select("edge", "worst")
 
 
 @query("q04_edge_cost", """
-SELECT src, dst, CASE WHEN src % 6 = 5 OR src % 9 = 8 THEN NULL ELSE cost + CASE src % 6 WHEN 1 THEN 10.0 WHEN 2 THEN 20.0 ELSE 0 END + CASE WHEN dst % 4 = 0 THEN 30.0 ELSE 0 END + CASE WHEN dst % 5 = 0 THEN 15.0 ELSE 0 END END::DOUBLE AS cost FROM v_edges""")
+SELECT src, dst, CASE WHEN src % 6 = 5 OR src % 9 = 8 THEN NULL ELSE cost + CASE src % 6 WHEN 1 THEN 12.0 WHEN 2 THEN 20.0 ELSE 0 END + CASE WHEN dst % 4 = 0 THEN 30.0 ELSE 0 END + CASE WHEN dst % 5 = 0 THEN 15.0 ELSE 0 END END::DOUBLE AS cost FROM v_edges""")
 def edge_cost(spark, d):
     s = F.col("src")
     e = edges(spark, d).select(
-        "src", "dst", F.col("cost").alias("base_minutes"), F.when(s % 6 == 5, "closed").when(s % 6 == 1, "slow").when(s % 6 == 2, "check").otherwise("open").alias("status"),
+        "src", "dst", F.col("cost").alias("base_minutes"), F.when(s % 6 == 5, "closed").when(s % 6 == 1, "slow").when(s % 6 == 2, "congested").otherwise("open").alias("status"),
         (s % 9 == 8).alias("forbidden"), (F.col("dst") % 4 == 0).alias("residents"), F.when(F.col("dst") % 5 == 0, 0.3).otherwise(0.9).alias("confidence"),
     )
-    return fa.edge_cost(e, "status", {"slow": 10.0, "check": 20.0}, "confidence", "residents").select("src", "dst", "cost")
+    return fa.edge_cost(e, "status", "confidence", "residents").select("src", "dst", "cost")
 
 
 @query("q05_route", """
