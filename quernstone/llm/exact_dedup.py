@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import attach, staged
 
 #: Bytes of a block.  Most documents are a few blocks; names take a row each.
 BLOCK_BYTES = 4096
@@ -133,12 +133,15 @@ def exact_dedup(
     named = identities(keyed, block_bytes, route).select(
         F.col("rid.rid").alias("rid"), F.col("rid.doc").alias("doc"), "level", "name", "sha"
     )
-    groups = named.groupBy("level", "name").agg(
-        F.max("doc").alias("keep_id"),
-        F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("doc", "rid")).getField("rid").alias("keep_rid"),
+    groups = staged(
+        named.groupBy("level", "name").agg(
+            F.max("doc").alias("keep_id"),
+            F.count(F.lit(1)).alias("group_size"),
+            F.max(F.struct("doc", "rid")).getField("rid").alias("keep_rid"),
+        ),
+        "groups",
     )
-    return named.join(groups, ["level", "name"]).select(
+    return attach(named, groups, ["level", "name"], "group_size").select(
         F.col("doc").alias(id_col),
         "keep_id",
         "group_size",
