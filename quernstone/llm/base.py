@@ -57,6 +57,16 @@ def release_stages() -> None:
 atexit.register(release_stages)
 
 
+def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df``; from now on its session hands Python workers batches of about ``size``.
+
+    Batches of 10,000 rows, as by default, are a hundred megabytes and more where
+    documents are long, several times over in the JVM, in Arrow and in Python.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, share: int = 500) -> DataFrame:
     """``rows`` inner-joined with one row of ``groups`` for each value of ``keys``.
 

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .base import bounded_batches
 from .piece_table import PieceTable, gathered, slices
 
 
+#: Bytes of text handled at once; ids, digests and decoded bytes are many times that.
+SLICE_BYTES = 4_000_000
+
+
 @cache
 def _encoder(path: str, pattern: str) -> PieceTable:
     """Ids of text columns, kept by the worker."""
@@ -63,12 +68,12 @@ def encode(
     """
     if not _whole_pattern(pattern):
         raise ValueError("texts are cut where public_tokenizers.PATTERN starts words")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, codec = _encoder(ranks_path, pattern), bpe.load(ranks_path)
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), SLICE_BYTES):
                 ids, ends = table.all_ids(batch.column(1).slice(start, stop - start))
                 data, byte_ends = codec.decode_all(ids)
                 cuts = [0, *ends.tolist()]
@@ -93,7 +98,7 @@ def encode(
 
 def decode(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``text`` from little-endian 32-bit ids; null ids give null."""
-    picked = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    picked = bounded_batches(rows).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.load(ranks_path)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import bounded_batches
 from .piece_table import texts_of
 
 #: Bytes of a language's dictionary; also what the driver collects for each.
@@ -167,7 +168,7 @@ def identify(
     own = ["lang_pred", "score"]
     if with_rows and (clash := {*own, "rejected", "held_out"} & set(docs.columns)):
         raise ValueError(f"columns of the result are taken: {sorted(clash)}")
-    rows = docs if with_rows else docs.select(id_col, text_col)
+    rows = bounded_batches(docs if with_rows else docs.select(id_col, text_col))
     rows = rows.withColumn(text_col, F.col(text_col).cast("string"))
     at = rows.columns.index(text_col)
 

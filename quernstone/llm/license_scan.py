@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
 from .piece_table import texts_of
 
 #: Notices by name, in their common one-line forms; ``scan`` takes any others,
@@ -171,7 +172,7 @@ def scan(
     no finds; repeated rows are scanned each; other columns are ignored.
     """
     given = tuple((templates or TEMPLATES).items())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(given)

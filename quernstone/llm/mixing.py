@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import bounded_batches, staged
 
 #: Weights of the sources, in code point order of their names, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -248,7 +248,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*same, "__nth"]]
     joined = rows.alias("d").join(plan.alias("p"), on).select("d.*", "p.__pieces").filter("size(__pieces) > 0")
     joined = joined.select(*docs.columns, "__size", "__pieces")
-    names = docs.columns
+    names = bounded_batches(docs).columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .base import attach, staged
+from .base import attach, bounded_batches, staged
 from .components import connected_components
 from .simhash import majority, shingle_hashes
 
@@ -114,7 +114,7 @@ def clusters(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:

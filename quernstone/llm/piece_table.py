@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and ids of pieces, that a worker keeps before it starts anew.
-MOST_PIECES, MOST_IDS = 700_000, 8_000_000
+MOST_PIECES, MOST_IDS = 400_000, 5_000_000
 #: Bytes of text handled at once.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 
 # Where the cuts would not be safe: a space or line feed after any white space, a
 # comma or full stop after what is no letter or number.  Such texts are cut at
@@ -47,6 +47,8 @@ def slices(column: pa.Array, most_bytes: int = BATCH_BYTES) -> Iterator[tuple[in
         stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
         yield start, stop
         start = stop
+    # Arrow keeps what it freed; a worker lives on through stages that need it elsewhere
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(column: pa.Array) -> list[str]:

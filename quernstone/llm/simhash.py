@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .base import attach, staged
+from .base import attach, bounded_batches, staged
 from .components import connected_components
 
 #: Words of a shingle, seed of its XXH64, and most differing bits of a link.
@@ -61,7 +61,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): the fingerprint's 64 bits as a signed integer; null text is empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
 from .piece_table import JoinedEncoder, PieceTable, balanced, slices, texts_of
 
 #: Characters that one call of the tokenizer gets.
@@ -84,7 +85,7 @@ def token_counts(
     Null text has 0 bytes and 0 tokens; repeated rows are counted each; other
     columns, whatever their names, are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _counter(tokenizer_path)

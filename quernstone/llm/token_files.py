@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .base import shared_dir, staged
+from .base import bounded_batches, shared_dir, staged
 from .piece_table import JoinedEncoder, PieceTable, slices
 from .token_counts import _load_json
 
@@ -48,7 +48,7 @@ def _encoder(path: str) -> PieceTable:
 def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_ids: int, end_id: int) -> DataFrame:
     """Blocks of plain ids, in id order over (shard, block)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()
@@ -217,7 +217,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.record_batch(columns, names=names)
 
     schema = "shard int, block int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
-    pieces = spark.read.schema(_BLOCK).parquet(f"{path}/blocks").mapInArrow(run, schema + ", ids binary" * with_ids)
+    pieces = bounded_batches(spark.read.schema(_BLOCK).parquet(f"{path}/blocks")).mapInArrow(run, schema + ", ids binary" * with_ids)
     index = spark.read.parquet(f"{path}/index").select("shard", "block", F.col("start").alias("block_start"))
     return pieces.join(index, ["shard", "block"]).select(
         "doc_id",
