@@ -268,11 +268,11 @@ def seasonal_adjustment(spark, d):
     return series(spark, d).select("idx", (F.col("value") / 1.0).alias("adjusted"))
 
 
-@query("t31_comprehensive_analysis", _FIT_ECON + ", s AS (SELECT indicator, round(avg(value), 2) AS mean, round(median(value), 2) AS median FROM v_econ GROUP BY 1) SELECT indicator, n, round(slope, 2) AS slope, mean, median FROM f JOIN s USING (indicator)")
+@query("t31_comprehensive_analysis", _FIT_ECON + ", s AS (SELECT indicator, round(avg(value), 4) AS mean, round(median(value), 4) AS median FROM v_econ GROUP BY 1) SELECT indicator, n, round(slope, 3) AS slope, mean, median FROM f JOIN s USING (indicator)")
 def comprehensive_analysis(spark, d):
     e = econ(spark, d)
-    t = ts.linear_trend(ts.indexed(e, "year", "value", ["indicator"]), ["indicator"], 9).select("indicator", "n", F.round("slope", 2).alias("slope"))
-    s = st.comprehensive(e, "value", ["indicator"]).select("indicator", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"))
+    t = ts.linear_trend(ts.indexed(e, "year", "value", ["indicator"]), ["indicator"], 3).select("indicator", "n", "slope")
+    s = st.comprehensive(e, "value", ["indicator"]).select("indicator", "mean", "median")
     return t.join(s, "indicator")
 
 
