@@ -5,6 +5,11 @@ longest run of anchors that rise in both is kept, and the gaps between
 neighbouring anchors are aligned in the same way, with what is unique inside
 them.  Where a gap has no such words, its equal words from either end are
 matched.  The coverage is the share of a template's words that are aligned.
+
+Words that tell licenses apart (names, versions, variants such as NC or Lesser)
+must agree: a short template is found only where all of its own are aligned and
+no other stands in between.  Of finds that overlap, whatever their templates,
+the one that explains the most words best is kept.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,15 +38,35 @@ TEMPLATES = {
 }
 #: Least coverage that counts as a find.
 COVERAGE = 0.8
-#: Most words by which a find's stretch of text may exceed its template.
+#: Most words of a find's stretch of text, as a multiple of its template.
 SLACK = 1.5
+#: Templates of up to so many words are aligned from each of their words; longer
+#: ones in windows that overlap by all but a ``STEPS``-th of the template.
+LINE, STEPS = 24, 8
+#: Templates of up to so many words must agree in identifying words; in longer
+#: ones, such as whole texts, the wording itself tells them apart.
+HEADER = 150
+#: Names and variants of licenses.  Words of a template's name and words with
+#: digits are identifying, too.
+IDENTIFYING = frozenset(
+    "affero agpl apache apsl artistic boost bsd bsl cc cc0 cddl ecl eclipse epl eupl gfdl gnu gpl isc lesser lgpl mit"
+    " mozilla mpl nc nd noncommercial noderivatives noderivs openssl postgresql psf sa sharealike unlicense wtfpl zlib".split()
+)
+
+_word = re.compile(r"v?\d+(?:\.\d+)+|[^\W_]+")
+_version = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
-_word = re.compile(r"[^\W_]+")
+
+def _plain(word: str) -> str:
+    """Versions alike: v2, 2.0 and 2 are one word, 2.1 another."""
+    if word[-1] in "0123456789" and (found := _version.fullmatch(word)):
+        return found.group(1)
+    return word
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Lower-case words of letters and digits, and where they are."""
-    found = [(m.group().lower(), m.span()) for m in _word.finditer(text)]
+    """Lower-case words of letters and digits, or versions, and where they are."""
+    found = [(_plain(m.group().lower()), m.span()) for m in _word.finditer(text)]
     return [w for w, _ in found], [s for _, s in found]
 
 
@@ -91,14 +117,58 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(done)
 
 
+def tight(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of pairs with the most words aligned, less half of those in between that are not."""
+    best, total, first, cut = 0.0, 0.0, 0, (0, 0)
+    for k, (_, b) in enumerate(pairs):
+        total -= 0.5 * (b - pairs[k - 1][1] - 1) if k else 0.0
+        if total <= 0:
+            total, first = 0.0, k
+        total += 1
+        if total > best:
+            best, cut = total, (first, k + 1)
+    return pairs[cut[0] : cut[1]]
+
+
+class Template:
+    def __init__(self, name: str, notice: str):
+        self.name, self.words = name, words_of(notice)[0]
+        self.counts = Counter(self.words)
+        own = IDENTIFYING | set(words_of(name)[0])
+        named = {w for w in self.counts if w in own or any(map(str.isdigit, w))}
+        self.marks = frozenset(named if len(self.words) <= HEADER else ())
+        #: other licenses' words that may not stand within a find
+        self.foreign = IDENTIFYING - self.counts.keys() if len(self.words) <= HEADER else frozenset()
+        #: the word to look for first
+        self.key = max(self.marks, key=lambda w: (w in IDENTIFYING, len(w), w), default=None)
+
+    def possible(self, have: set[str] | dict[str, int], missing: int) -> bool:
+        """Whether at most ``missing`` positions have words that are not there."""
+        return self.marks <= have and sum(n for w, n in self.counts.items() if w not in have) <= missing
+
+    def agrees(self, pairs: list[tuple[int, int]], words: list[str], at: int) -> bool:
+        """Whether identifying words are aligned, and no others are between; pairs count from ``at``."""
+        if not self.marks <= {self.words[i] for i, _ in pairs}:
+            return False
+        first, last = at + pairs[0][1], at + pairs[-1][1]
+        stretch = words[first : last + 1]
+        if not self.foreign.isdisjoint(stretch):
+            return False
+        # GNU's Library license is the older name of the Lesser one
+        return not self.foreign or "library" in self.counts or ("gnu", "library") not in zip(stretch, stretch[1:])
+
+
 class Scanner:
-    """``templates``: (name, notice) pairs."""
+    """``templates``: (name, notice) pairs; a name may come several times."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.templates = [(name, words_of(notice)[0]) for name, notice in templates]
-        # the rarest-looking word of each template says where to look at all
-        shared = Counter(w for _, ws in self.templates for w in set(ws))
-        self.keys = [sorted(set(ws), key=lambda w: (shared[w], -len(w), w)) for _, ws in self.templates]
+        self.templates = [t for t in (Template(*pair) for pair in templates) if t.words]
+        self.places = {name: i for i, name in enumerate(dict.fromkeys(name for name, _ in templates))}
+        self.by_key: dict[str, list[Template]] = {}
+        for t in self.templates:
+            if t.key:
+                self.by_key.setdefault(t.key, []).append(t)
+        self.others = sorted((t for t in self.templates if not t.key), key=lambda t: len(t.words))
 
     def scan(self, text: str, least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
         """(name, coverage, start, end in characters) of every find, templates in order.
@@ -107,49 +177,91 @@ class Scanner:
         the other, so a text of any length is looked through and a notice that
         comes several times is found each time.
         """
-        found: list[tuple[str, float, int, int]] = []
-        low = text.lower()
-        if not any(all(w in low for w in keys[: max(1, len(keys) // 4)]) for keys in self.keys) and not any(
-            sum(w in low for w in keys) >= least * len(keys) for keys in self.keys
-        ):
-            return found
+        plain = [_plain(w) for w in _word.findall(text.lower())]
+        have = set(plain)
+        possible = [
+            t
+            for group in (*(self.by_key[w] for w in have & self.by_key.keys()), self.others)
+            for t in group
+            if len(plain) >= self._need(t, least) and t.possible(have, len(t.words) - self._need(t, least))
+        ]
+        if not possible:
+            return []
         words, spans = words_of(text)
-        have = set(words)
-        for (name, notice), keys in zip(self.templates, self.keys):
-            if sum(w in have for w in keys) < least * len(keys) - 1e-9:
-                continue
-            wanted = set(notice)
-            hits = [i for i, w in enumerate(words) if w in wanted]
-            window = int(len(notice) * SLACK) + 1
-            best: tuple[int, int, int] | None = None  # -(words aligned), first and last word
-            for i in self._starts(words, hits, notice, window, least):
-                if best and i > best[2]:
-                    found.append(self._find(name, notice, best, spans))
-                    best = None
-                pairs = align(notice, words[i : i + window])
-                if len(pairs) >= least * len(notice) - 1e-9:
-                    this = (-len(pairs), i + pairs[0][1], i + pairs[-1][1])
-                    # of stretches that overlap, the fullest, then the shortest
-                    if not best or (this[0], this[2] - this[1]) < (best[0], best[2] - best[1]):
-                        best = this
-            if best:
-                found.append(self._find(name, notice, best, spans))
-        return found
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        found = []
+        for t in possible:
+            found += self._finds(t, words, places, self._need(t, least))
+        # of finds that overlap, the most words, weighted by the share of both sides that is aligned
+        found.sort(key=lambda f: (-2 * f[1] ** 2 / (len(f[0].words) + f[3] - f[2] + 1), f[2], f[3], self.places[f[0].name]))
+        taken: list[tuple[int, int]] = []
+        kept = []
+        for t, aligned, first, last in found:
+            k = bisect_left(taken, (first, -1))
+            if (k == len(taken) or taken[k][0] > last) and (k == 0 or taken[k - 1][1] < first):
+                taken.insert(k, (first, last))
+                kept.append((self.places[t.name], first, t, aligned, last))
+        kept.sort(key=lambda f: f[:2])
+        return [(t.name, round(n / len(t.words), 4), spans[first][0], spans[last][1]) for _, first, t, n, last in kept]
 
     @staticmethod
-    def _find(name: str, notice: list[str], best: tuple[int, int, int], spans: list[tuple[int, int]]) -> tuple[str, float, int, int]:
-        return name, round(-best[0] / len(notice), 4), spans[best[1]][0], spans[best[2]][1]
+    def _need(t: Template, least: float) -> int:
+        """Words that must be aligned."""
+        return max(1, ceil(least * len(t.words) - 1e-9))
+
+    @classmethod
+    def _finds(cls, t: Template, words: list[str], places: dict[str, list[int]], need: int) -> list[tuple[Template, int, int, int]]:
+        """(template, words aligned, first and last word) of finds that do not overlap."""
+        found = []
+        best: tuple[int, int, int] | None = None  # -(words aligned), first and last word
+        line = len(t.words) <= LINE
+        for i, stop in (cls._starts if line else cls._windows)(t, words, places, need):
+            if best and i > best[2]:
+                found.append((t, -best[0], best[1], best[2]))
+                best = None
+            pairs = align(t.words, words[i:stop])
+            if not line:
+                pairs = tight(pairs)
+            if len(pairs) >= need and t.agrees(pairs, words, i):
+                this = (-len(pairs), i + pairs[0][1], i + pairs[-1][1])
+                # of stretches that overlap, the fullest, then the shortest
+                if best and this[1] > best[2]:
+                    found.append((t, -best[0], best[1], best[2]))
+                    best = this
+                elif not best or (this[0], this[2] - this[1]) < (best[0], best[2] - best[1]):
+                    best = this
+        if best:
+            found.append((t, -best[0], best[1], best[2]))
+        return found
 
     @staticmethod
-    def _starts(words: list[str], hits: list[int], notice: list[str], window: int, least: float) -> Iterator[int]:
-        """Hits from which enough words of the notice follow within the window."""
-        need = least * len(notice) - 1e-9
+    def _starts(t: Template, words: list[str], places: dict[str, list[int]], need: int) -> Iterator[tuple[int, int]]:
+        """Stretches from a word of the template on that have its marks and enough of its words."""
+        window = int(len(t.words) * SLACK) + 1
+        hits = sorted(i for w in t.counts for i in places.get(w, ()))
+        marks = [places.get(w, []) for w in t.marks]
+        early = set(t.words[: len(t.words) - need + 1])
         stop = 0
         for k, i in enumerate(hits):
             while stop < len(hits) and hits[stop] < i + window:
                 stop += 1
-            if stop - k >= need and words[i] in notice[: max(1, len(notice) - int(need) + 1)]:
-                yield i
+            if stop - k < need or words[i] not in early:
+                continue
+            at = [bisect_left(m, i) for m in marks]
+            if all(a < len(m) and m[a] < i + window for a, m in zip(at, marks)):
+                yield i, i + window
+
+    @staticmethod
+    def _windows(t: Template, words: list[str], places: dict[str, list[int]], need: int) -> Iterator[tuple[int, int]]:
+        """Windows in which enough words of the template are; each stretch within the slack is in one."""
+        step = max(1, len(t.words) // STEPS)
+        window = int(len(t.words) * SLACK) + 1 + step
+        for i in range(0, max(1, len(words) - need + 1), step):
+            there = Counter(words[i : i + window])
+            if t.marks <= there.keys() and sum(min(n, there[w]) for w, n in t.counts.items() if w in there) >= need:
+                yield i, i + window
 
 
 @cache
@@ -166,7 +278,7 @@ def scan(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, licenses, best, coverage, n_finds, spans.
 
-    ``licenses`` are the names found, in order, without repeats; ``best`` is the
+    ``licenses`` are the names found, in order of the templates, without repeats; ``best`` is the
     one with the largest coverage, the first of equals, NULL if none is found;
     ``spans`` are (license, start, end in characters).  Null and empty texts have
     no finds; repeated rows are scanned each; other columns are ignored.

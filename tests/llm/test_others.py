@@ -205,3 +205,25 @@ def test_license_scan(spark):
     assert got[8].best == "GPL-3.0" and got[8].coverage < 1.0
     assert license_scan.scan(empty(spark)).count() == 0
     assert license_scan.scan(awkward(spark)).count() == 11
+
+
+def test_license_names_and_versions_must_agree():
+    scanner = license_scan.Scanner(tuple(license_scan.TEMPLATES.items()))
+    for text in (
+        "This is released under the BSD license.", "It was released under the new license.", "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU General Public License, version 3.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Library General Public License, version 3.",
+    ):
+        assert scanner.scan(text) == [], text
+    assert [f[0] for f in scanner.scan("licensed under the Apache License v2")] == ["Apache-2.0"]
+
+
+def test_overlapping_licenses_and_repeated_words():
+    templates = (("BY", "licensed under cc by 4.0"), ("BY-NC", "licensed under cc by nc 4.0"), ("X", "a b a b a b a b c d"))
+    scanner = license_scan.Scanner(templates)
+    assert [f[0] for f in scanner.scan("Licensed under CC BY-NC 4.0, or licensed under CC BY 4.0")] == ["BY", "BY-NC"]
+    # 8 of 10 words, but 2 of 4 different ones
+    assert scanner.scan("a b a b a b a b") == [("X", 0.8, 0, 15)]
