@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import licenses
 from .base import bounded_batches
 from .piece_table import texts_of
 
-#: Notices by name, in their common one-line forms; ``scan`` takes any others,
-#: whole license texts as well.
+#: Plain notices by name; those of ``licenses.notices`` are looked for as well.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -52,6 +52,8 @@ IDENTIFYING = frozenset(
     "affero agpl apache apsl artistic boost bsd bsl cc cc0 cddl ecl eclipse epl eupl gfdl gnu gpl isc lesser lgpl mit"
     " mozilla mpl nc nd noncommercial noderivatives noderivs openssl postgresql psf sa sharealike unlicense wtfpl zlib".split()
 )
+#: Further words that a one-line form must share, though they mean nothing elsewhere.
+QUALIFIERS = frozenset("development documentation european expat freebsd modified new original public revised simplified".split())
 
 _word = re.compile(r"v?\d+(?:\.\d+)+|[^\W_]+")
 _version = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
@@ -134,7 +136,7 @@ class Template:
     def __init__(self, name: str, notice: str):
         self.name, self.words = name, words_of(notice)[0]
         self.counts = Counter(self.words)
-        own = IDENTIFYING | set(words_of(name)[0])
+        own = IDENTIFYING | set(words_of(name)[0]) | (QUALIFIERS if len(self.words) <= LINE else set())
         named = {w for w in self.counts if w in own or any(map(str.isdigit, w))}
         self.marks = frozenset(named if len(self.words) <= HEADER else ())
         #: other licenses' words that may not stand within a find
@@ -264,6 +266,11 @@ class Scanner:
                 yield i, i + window
 
 
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """One-line forms, headers and whole texts of common licenses."""
+    return (*TEMPLATES.items(), *licenses.notices())
+
+
 @cache
 def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
     return Scanner(templates)
@@ -278,12 +285,13 @@ def scan(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, licenses, best, coverage, n_finds, spans.
 
+    ``templates`` are notices by name, ``default_templates`` if none are given.
     ``licenses`` are the names found, in order of the templates, without repeats; ``best`` is the
     one with the largest coverage, the first of equals, NULL if none is found;
     ``spans`` are (license, start, end in characters).  Null and empty texts have
     no finds; repeated rows are scanned each; other columns are ignored.
     """
-    given = tuple((templates or TEMPLATES).items())
+    given = tuple(templates.items()) if templates else default_templates()
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

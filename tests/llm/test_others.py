@@ -227,3 +227,35 @@ def test_overlapping_licenses_and_repeated_words():
     assert [f[0] for f in scanner.scan("Licensed under CC BY-NC 4.0, or licensed under CC BY 4.0")] == ["BY", "BY-NC"]
     # 8 of 10 words, but 2 of 4 different ones
     assert scanner.scan("a b a b a b a b") == [("X", 0.8, 0, 15)]
+
+
+def test_default_licenses(spark):
+    texts = {
+        # not taken from the module: as in other people's files
+        "MIT": """Copyright (c) 2019 Jane Roe. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+            associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+            rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+            whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+            notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+            WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+            PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL JANE ROE BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+            IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE.""",
+        "BSD-3-Clause": open("/usr/share/common-licenses/BSD").read(),
+        "GPL-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation; either version 2, or (at your option)\n# any later version.",
+        "GPL-3.0": "You can redistribute Foo and modify it; Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+        " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "LGPL-3.0": "It may be used under the terms of the GNU Lesser General Public License, version 3.",
+        "CC-BY-SA-4.0": "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "BSD": "Foo is released under the BSD license.",
+        "CC-BY-4.0": "Licensed under CC BY 4.0.",
+        "ISC": "Foo is available under the ISC license",
+    }
+    whole = {n: open(f"/usr/share/common-licenses/{f}").read() for n, f in (("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("Apache-2.0", "Apache-2.0"))}
+    prose = ["It was released under the new license.", "They live under the terms of the old king's law, version 3.", "Er kam mit der Lizenz."]
+    rows = [*texts.items(), *(("whole " + n, "preface " * 50 + t) for n, t in whole.items()), *(("", t) for t in prose)]
+    df = spark.createDataFrame([(n, t) for n, t in rows], "doc_id string, text string")
+    got = [(r.doc_id, r.licenses, r.n_finds) for r in license_scan.scan(df).collect()]
+    assert sorted(got) == sorted((n, [n.removeprefix("whole ")] if n else [], int(n != "")) for n, _ in rows)
