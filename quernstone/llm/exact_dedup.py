@@ -150,10 +150,48 @@ def exact_dedup(
     )
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the text as ``exact_dedup`` sees it."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def one_of_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, sha, n) of ``chosen``, of which ``docs`` has n rows.
+
+    Rows are met by id, null or not, and digest, so neither ids nor rows need be unique.
+    """
+    taken = set(docs.columns)
+    sha, copy, its_id, its_sha = (next(c for i in range(len(taken) + 1) if (c := f"__{w}{i}") not in taken) for w in ("sha", "copy", "id", "same"))
+    marked = docs.withColumn(sha, digest_of(F.col(text_col)))
+    same = (F.col(sha) == F.col(its_sha)) & F.col(id_col).eqNullSafe(F.col(its_id))
+    alone, repeated = (
+        chosen.filter(c).select(F.col("id").alias(its_id), F.col("sha").alias(its_sha)) for c in ("n = 1", "n > 1")
+    )
+    kept = marked.join(alone, same, "left_semi").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    # combined before the shuffle, so that a row that repeats very often is no load
+    firsts = (
+        marked.join(repeated, same, "left_semi")
+        .groupBy(id_col, sha)
+        .agg(F.first(F.struct(*docs.columns)).alias(copy))
+        .select(*(F.col(copy).getField(c).alias(c) for c in docs.columns))
+    )
+    return kept.unionByName(firsts)
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; ids must be unique."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """``docs`` with one row of each group of equal texts, one with the largest id.
+
+    Ids may repeat or be null; of rows that repeat the id and the text, any one stays.
+    """
+    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col)
+    chosen = (
+        found.filter(F.col(id_col).eqNullSafe(F.col("keep_id")))
+        .groupBy(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return one_of_each(docs, staged(chosen, "exact-chosen"), id_col, text_col)
 
 
 OP1_SQL = """

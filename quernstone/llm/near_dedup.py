@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import golay
 from .base import attach, bounded_batches, staged
 from .components import connected_components
+from .exact_dedup import digest_of, one_of_each
 from .simhash import majority, shingle_hashes
 
 #: Words of a shingle, and least similarity (Jaccard) of near copies.
@@ -114,11 +115,13 @@ def clusters(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs).select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), digest_of(F.col(text_col)).alias("sha")
+    )
 
 
 def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:
-    """(id, c1, c2, keys): a 128-bit digest of the shingle set, and its bucket keys."""
+    """(id, sha, c1, c2, keys): a 128-bit digest of the shingle set, and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +134,18 @@ def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:
             flat = np.concatenate([np.empty(0, dtype=np.int64), *keys])
             offsets = np.arange(len(keys) + 1, dtype=np.int32) * rounds
             yield pa.record_batch(
-                [batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "c1", "c2", "keys"],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(halves[:, 0]),
+                    pa.array(halves[:, 1]),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                names=["id", "sha", "c1", "c2", "keys"],
             )
 
-    return rows.mapInArrow(run, "id bigint, c1 bigint, c2 bigint, keys array<bigint>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, sha binary, c1 bigint, c2 bigint, keys array<bigint>")
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
@@ -219,40 +229,32 @@ def _clustered(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def near_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = SHINGLE_WORDS,
-    similarity: float = SIMILARITY,
-    rounds: int = ROUNDS,
-) -> DataFrame:
-    """``id_col``, keep_id, kept, n_links for every row of ``docs``.
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(id, sha, c1, c2) of every row; (c1, c2, copies, root, n_links) of every shingle set.
 
-    Documents are near copies if the sets of their shingles of ``words`` words
-    (of all words, if there are fewer) have a Jaccard similarity of at least
-    ``similarity``; groups are what such links join.  The smallest id of a group
-    stays.  Texts without words, null among them, are one group.  Rows that
-    repeat the id that stays are all ``kept``; ids are whole numbers and rows with
-    a null id are in no group but that of their content.  No rows give no rows.
+    Shingle sets are numbered, and the text of one is looked up by its digest, so
+    ids take no part in this.
     """
     texts = _texts(docs, id_col, text_col)
     found = staged(_contents(texts, words, rounds), "near-contents")
     contents = staged(
-        found.groupBy("c1", "c2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "near-nodes"
+        found.groupBy("c1", "c2")
+        .agg(F.min("sha").alias("sha"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "near-nodes",
     )
-    nodes = contents.filter("node is not null")
-    candidates = staged(_candidates(nodes.select(F.explode("keys").alias("key"), "node")), "near-candidates")
+    candidates = staged(_candidates(contents.select(F.explode("keys").alias("key"), "node")), "near-candidates")
     pairs = candidates.filter("b is not null").select("a", "b").distinct()
     members = candidates.filter("b is null").select("key", F.col("a").alias("node"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    wanted = contents.select("node", "sha").join(wanted, "node")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_set_of(t.as_py() or "", words).tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    chosen = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
+    chosen = texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["node"]).select("node", "text")
     sets = staged(chosen.mapInArrow(to_sets, "node bigint, s binary"), "near-sets")
     edges = _verified_pairs(pairs, sets, similarity)
     if not members.isEmpty():
@@ -264,14 +266,54 @@ def near_dedup(
         contents.select("c1", "c2", "node", "copies")
         .join(roots.withColumnRenamed("a", "node"), "node", "left")
         .join(degree, "node", "left")
-        .select("c1", "c2", "copies", F.coalesce("root", "node").alias("keep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("c1", "c2", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    return attach(found.select("id", "c1", "c2"), labelled, ["c1", "c2"], "copies").select(
+    return found.select("id", "sha", "c1", "c2"), staged(labelled, "near-labels")
+
+
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``id_col``, keep_id, kept, n_links for every row of ``docs``.
+
+    Documents are near copies if the sets of their shingles of ``words`` words
+    (of all words, if there are fewer) have a Jaccard similarity of at least
+    ``similarity``; groups are what such links join.  The smallest id of a group
+    stays, a null id only if the group has no other.  Texts without words, null
+    among them, are one group.  Rows that repeat the id that stays are all
+    ``kept``, unlike in ``drop_near_copies``.  No rows give no rows.
+    """
+    found, labelled = _labelled(docs, id_col, text_col, words, similarity, rounds)
+    least = found.groupBy("c1", "c2").agg(F.min("id").alias("id"))
+    keep = labelled.join(least, ["c1", "c2"]).groupBy("root").agg(F.min("id").alias("keep_id"))
+    placed = labelled.join(keep, "root")
+    return attach(found.select("id", "c1", "c2"), placed.drop("root"), ["c1", "c2"], "copies").select(
         F.col("id").alias(id_col), "keep_id", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "n_links"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies."""
-    kept = near_dedup(docs, id_col, **options).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, one with the smallest id.
+
+    Ids may repeat or be null; a null id stays only if the group has no other.
+    """
+    found, labelled = _labelled(docs, id_col, text_col, words, similarity, rounds)
+    # combined before their shuffles: no group is a load for a task
+    rows = found.groupBy("c1", "c2", "id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "n"))
+    least = rows.groupBy("c1", "c2").agg(first.alias("least"))
+    best = least.join(labelled.select("c1", "c2", "root"), ["c1", "c2"]).groupBy("root").agg(F.min("least").alias("least"))
+    chosen = best.select("least.id", "least.sha", "least.n")
+    return one_of_each(docs, staged(chosen, "near-chosen"), id_col, text_col)

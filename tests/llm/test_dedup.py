@@ -181,3 +181,27 @@ def test_near_dedup_awkward(spark):
     assert (keep[1], keep[2], keep[3], keep[4], keep[5], keep[6], keep[7]) == (1, 1, 3, 3, 3, 6, 6)
     assert near_dedup.near_dedup(empty(spark)).count() == 0
     assert near_dedup.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    """Repeated rows, ids that several texts share, and null ids."""
+    rnd = random.Random(5)
+    long = [" ".join(rnd.choice("abcdefghijkl") + str(rnd.randrange(99)) for _ in range(60)) for _ in range(6)]
+    near = [t + " end" for t in long]
+    rows = [
+        (1, long[0], "a"), (1, long[0], "b"), (None, long[0], "c"), (None, long[0], "c"),  # one group
+        (7, long[1], "a"), (7, long[2], "b"), (7, near[2], "b"),  # one id, two groups
+        (None, long[3], "a"), (None, long[3], "a"), (None, near[3], "b"),  # null ids only
+        (2, near[4], "a"), (None, long[4], "b"), (2, long[5], "c"),
+        (5, None, "n"), (5, "", "n"), (5, None, "n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n string").repartition(3)
+    exact = exact_dedup.drop_exact_copies(df)
+    assert exact.columns == df.columns
+    got = sorted(((r.doc_id, r.text or "") for r in exact.collect()), key=repr)
+    want = [(1, long[0]), (7, long[1]), (7, long[2]), (7, near[2]), (None, long[3]), (None, near[3]), (2, near[4]), (None, long[4]), (2, long[5]), (5, "")]
+    assert got == sorted(want, key=repr)
+    for docs in (exact, df):
+        got = [(r.doc_id, next((i for i in range(6) if r.text in (long[i], near[i])), None)) for r in near_dedup.drop_near_copies(docs).collect()]
+        assert sorted(got, key=repr) == sorted([(1, 0), (7, 1), (7, 2), (None, 3), (2, 4), (2, 5), (5, None)], key=repr)
+    assert [len(exact_dedup.drop_exact_copies(awkward(spark)).collect()), len(near_dedup.drop_near_copies(awkward(spark)).collect())] == [7, 6]
