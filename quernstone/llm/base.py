@@ -74,13 +74,11 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, s
     than ``share``, go to every task; the rest is joined by a shuffle in which
     no key has many rows.  ``size_col`` counts the rows of a group.
     """
-    large = groups.filter(F.col(size_col) * share > rows.count()).limit(share)
-    if large.isEmpty():
+    large = groups.filter(F.col(size_col) * share > rows.count()).limit(share).collect()  # bounded
+    if not large:
         return rows.join(groups, keys)
-    flagged = rows.join(F.broadcast(large.select(*keys).withColumn("__large", F.lit(True))), keys, "left")
-    plain = flagged.filter("__large is null").drop("__large").join(groups.join(large.select(*keys), keys, "left_anti"), keys)
-    direct = rows.join(F.broadcast(large), keys)
-    return plain.unionByName(direct)
+    large = F.broadcast(rows.sparkSession.createDataFrame(large, groups.schema))
+    return rows.join(large, keys, "left_anti").join(groups, keys).unionByName(rows.join(large, keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,21 +9,32 @@ segments is decoded to the index of its nearest Golay codeword, and texts that
 share all three indices of one fingerprint are candidates.  Candidates are
 verified on their whole shingle sets.
 
-Buckets of candidates with few texts give pairs.  In larger ones, pairs within a
-cluster need no comparison once the cluster is known, so they are clustered block
-by block instead: no task compares, or emits, all pairs of a large group of
-copies, and no candidate is left out.
+Short texts are found without a miss: with a similarity of 0.8, the shingles that
+are least by one order common to all texts agree in at least three of the first
+n - ceil(0.8 n) + 3, so every triple of these is sampled instead.
+
+Buckets of candidates with few texts give pairs.  In larger ones pairs within a
+cluster need no comparison once the cluster is known.  All texts of a bucket are
+compared with one of them, its leader.  As one minus the similarity is a metric,
+a text that is far from the leader has no link to those near it; so only texts at
+a middling distance meet them, and the others go on with a leader of their own.
+What is left when that stops to help is compared block by block.  No task
+compares, or emits, all pairs of a large group of copies, and no candidate is
+left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -37,10 +48,18 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints of a text, and shingles that each samples.  At a similarity of
 #: 0.8 a pair is missed with probability (1 - 0.8**3)**12 = 0.0002.
 ROUNDS, SAMPLED = 12, 3
+#: Two texts of up to so many shingles are found without a miss.
+SHORT = 24
 #: Buckets of up to so many texts give pairs at once.
 PAIR_BUCKET = 24
-#: Texts of a block when a larger bucket is split.
-BLOCK = 256
+#: Texts of a block when a larger bucket is split, and bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 256, 16_000_000
+#: Larger shares of all candidates than one in so many make a bucket hot.
+HOT_SHARE = 500
+#: Texts that meet one copy of their leader's shingles.
+LED = 1_024
+#: A round of leaders that takes a smaller share of the texts is the last.
+LEAST_TAKEN = 0.2
 
 _mixers = np.random.default_rng(7).integers(1, 1 << 63, size=(64, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,25 +72,69 @@ def _mixed(hashes: np.ndarray, round_: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """SimHashes of three shingles each: the bits that are set in two of them."""
+    return (a & b) | (a & c) | (b & c)
+
+
 def sketches(hashes: np.ndarray, rounds: int = ROUNDS, sampled: int = SAMPLED) -> np.ndarray:
     """A SimHash of the ``sampled`` least shingles by each of ``rounds`` hashes."""
     out = np.zeros(rounds, dtype=np.uint64)
     for r in range(rounds):
         mixed = _mixed(hashes, r)
         least = np.partition(mixed, sampled - 1)[:sampled] if len(mixed) > sampled else mixed
-        out[r] = majority(least)
+        out[r] = _three(*least) if len(least) == 3 else majority(least)
     return out
 
 
-def bucket_keys(prints: np.ndarray) -> np.ndarray:
-    """Round and nearest codewords of the three segments of each fingerprint."""
-    key = np.arange(len(prints), dtype=np.int64) << 36
+@cache
+def _triples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 3)), dtype=np.int64).reshape(-1, 3).T
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares with any set that is similar, at least."""
+    return ceil(similarity * n - 1e-9)
+
+
+def prefix_prints(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """SimHashes of the triples of a short text's least shingles; hashes are sorted.
+
+    Two similar texts share at least three of these shingles; those of fewer
+    than three shingles are similar to equal ones only and need none.
+    """
+    n = len(hashes)
+    if n < 3:
+        return np.empty(0, dtype=np.uint64)
+    return _three(*hashes[_triples(min(n, n - least_shared(n, similarity) + 3))])
+
+
+def bucket_keys(prints: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Tag and nearest codewords of the three segments of each fingerprint."""
+    key = tags.astype(np.int64) << 36
     for i, (at, size) in enumerate(golay.SEGMENTS):
         segment = ((prints >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64)
         key |= golay.codewords(segment)[:, 0] << (12 * i)
     return key
 
 
+def keys_of(hashes: np.ndarray, similarity: float, rounds: int) -> np.ndarray:
+    """The bucket keys of a text, from its different shingles' sorted hashes.
+
+    Short texts have keys of prefixes.  Those that may be similar to longer ones
+    have keys of samples, too, and longer ones these alone.  At a similarity of
+    2/3 or less two short texts may share fewer than three shingles, and all
+    have keys of samples.
+    """
+    parts = [np.empty(0, dtype=np.int64)]
+    if (short := 3 * similarity > 2) and len(hashes) <= SHORT:
+        prints = prefix_prints(hashes, similarity)
+        parts.append(bucket_keys(prints, np.full(len(prints), rounds)))
+    if not short or len(hashes) >= least_shared(SHORT + 1, similarity):
+        parts.append(bucket_keys(sketches(hashes, rounds), np.arange(rounds)))
+    return np.unique(np.concatenate(parts))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats; two empty ones are equal."""
     if not len(a) and not len(b):
@@ -86,6 +149,11 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return jaccard(a, b) >= least
 
 
+def near_leader(similarity: float) -> float:
+    """Texts less similar to a leader than this are not similar to any text that is similar to it."""
+    return 1.0 - 2.0 * (1.0 - similarity) - 1e-9
+
+
 def _set_of(text: str, words: int) -> np.ndarray:
     """The text's shingles as sorted 32-bit hashes."""
     return np.unique(shingle_hashes(text, words).astype(np.uint32))
@@ -120,7 +188,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:
+def _contents(rows: DataFrame, words: int, similarity: float, rounds: int) -> DataFrame:
     """(id, sha, c1, c2, keys): a 128-bit digest of the shingle set, and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +197,10 @@ def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:
             for text in batch.column(1):
                 found = np.unique(shingle_hashes(text.as_py() or "", words))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                keys.append(bucket_keys(sketches(found, rounds)))
+                keys.append(keys_of(found, similarity, rounds))
             halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             flat = np.concatenate([np.empty(0, dtype=np.int64), *keys])
-            offsets = np.arange(len(keys) + 1, dtype=np.int32) * rounds
+            offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -151,11 +219,17 @@ def _contents(rows: DataFrame, words: int, rounds: int) -> DataFrame:
 def _candidates(keyed: DataFrame) -> DataFrame:
     """(a, b, key): pairs of small buckets; the texts of larger ones with b null.
 
-    A larger bucket's rows pass through as they come, so a task holds no more
-    of a bucket than a batch.
+    Buckets with more than one in ``HOT_SHARE`` of all rows, of which there are
+    fewer than that, are known from counts and not dealt out by key.  The rows
+    of other large buckets pass through as they come, so a task holds no more of
+    a bucket than a batch.
     """
     shards = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(shards, "key").sortWithinPartitions("key", "node")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIR_BUCKET)
+    hot = staged(counts.filter(F.col("n") * HOT_SHARE > keyed.count()).select("key").limit(HOT_SHARE), "near-hot")
+    passed = keyed.join(F.broadcast(hot), "key").select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
+    rest = keyed.join(F.broadcast(hot), "key", "left_anti").select("key", "node")
+    dealt = rest.repartition(shards, "key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key = held = np.empty(0, dtype=np.int64)
@@ -193,7 +267,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
                 held_key, held = held_key[:0], held[:0]
         yield from close(held_key, held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint").unionByName(passed)
 
 
 def _verified_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -213,22 +287,113 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFram
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _clustered(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Edges within large buckets (key, node), one pair of blocks a group."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"
-    )
+def _led(active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``active`` (key, node, bytes) with the similarity ``s`` of each text to its bucket's least node, ``leader``.
+
+    ``s`` is NULL where there can be no link to a text that is near the leader.
+    """
+    heads = staged(active.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")), "near-heads")
+    led = staged(attach(active, heads, ["key"], "n").drop("n"), "near-led")
+    asked = led.filter("node <> leader").select("node", "leader").distinct()
+    counts = asked.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / LED).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+    counts = staged(counts, "near-leaders")
+    # a leader of many goes to several tasks, each with a part of those it leads
+    salted = attach(asked, counts, ["leader"], "n").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
+    leaders = sets.select(F.col("node").alias("leader"), F.col("s").alias("sb")).join(counts, "leader")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("leader", "salt", "sb")
+    met = salted.select("node", "leader", "salt").join(sets.withColumnRenamed("s", "sa"), "node").join(leaders, ["leader", "salt"])
+    least = near_leader(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [
+                jaccard(np.frombuffer(x.as_py(), dtype=np.uint32), np.frombuffer(y.as_py(), dtype=np.uint32))
+                for x, y in zip(batch.column("sa"), batch.column("sb"))
+            ]
+            found = pa.record_batch([batch.column("node"), batch.column("leader"), pa.array(s, pa.float64())], names=["node", "leader", "s"])
+            yield found.filter(pa.array([x >= least for x in s], pa.bool_()))
+
+    close = met.select("node", "leader", "sa", "sb").mapInArrow(run, "node bigint, leader bigint, s double")
+    alone = led.filter("node = leader").withColumn("s", F.lit(1.0))
+    return staged(led.filter("node <> leader").join(close, ["node", "leader"], "left").unionByName(alone), "near-round")
+
+
+def _block_counts(rows: DataFrame) -> DataFrame:
+    """(key, blocks, n) of buckets of ``rows`` (key, node, bytes, ...)."""
+    n, size = F.count(F.lit(1)), F.sum("bytes")
+    blocks = F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int").alias("blocks")
+    return staged(rows.groupBy("key").agg(blocks, n.alias("n")), "near-blocks")
+
+
+def _block(blocks: Column | str = "blocks") -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def _each(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _between(middling: DataFrame, near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges between texts at a middling distance of a leader and those near it, one pair of blocks a group.
+
+    Those near a leader are linked already, so the first that is similar will do.
+    """
+    few = _block_counts(middling).withColumnsRenamed({"blocks": "few", "n": "n_few"})
+    many = _block_counts(near).withColumnsRenamed({"blocks": "many", "n": "n_many"})
+    counts = staged(few.join(many, "key"), "near-meetings")
+    one = attach(middling, counts, ["key"], "n_few").select("key", _block("few").alias("i"), _each("many").alias("j"), "node", "s", F.lit(True).alias("asks"))
+    two = attach(near, counts, ["key"], "n_many").select("key", _each("few").alias("i"), _block("many").alias("j"), "node", "s", F.lit(False).alias("asks"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(n, s, np.frombuffer(x, dtype=np.uint32), asks) for n, s, x, asks in zip(group["node"], group["s"], group["set"], group["asks"])]
+        found = []
+        for n, s, mine, asks in rows:
+            if asks:
+                # distances to the leader that differ by more than a link's are of no link
+                able = (m for m, t, x, too in rows if not too and t - s <= 1.0 - similarity + 1e-9 and _similar(mine, x, similarity))
+                if (m := next(able, None)) is not None:
+                    found.append((n, m))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    both = one.unionByName(two).join(sets.withColumnRenamed("s", "set"), "node")
+    return both.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+
+def _within(members: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges within buckets (key, node, bytes), one pair of blocks a group."""
+    placed = attach(members, counts, ["key"], "n").withColumn("own", _block())
+    met = placed.withColumn("other", _each("blocks")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        found = clusters(group["node"].tolist(), [np.frombuffer(s, dtype=np.uint32) for s in group["s"]], least)
+        found = clusters(group["node"].tolist(), [np.frombuffer(s, dtype=np.uint32) for s in group["s"]], similarity)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return met.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
+def _clustered(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges within large buckets (key, node) that join what all their links would join."""
+    sized = staged(members.join(sets.select("node", F.octet_length("s").alias("bytes")), "node"), "near-members")
+    counts = _block_counts(sized)
+    small, large = counts.filter("blocks = 1"), counts.filter("blocks > 1")
+    edges = _within(sized, small, sets, similarity)
+    active = attach(sized, large, ["key"], "n").select("key", "node", "bytes")
+    before = active.count()
+    while before:
+        round_ = _led(active, sets, similarity)
+        near, middling = round_.filter(F.col("s") >= similarity), round_.filter(F.col("s") < similarity)
+        edges = edges.unionByName(near.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        if not middling.isEmpty():
+            edges = edges.unionByName(_between(middling, near, sets, similarity))
+        active = round_.filter(F.col("s").isNull() | (F.col("s") < similarity)).select("key", "node", "bytes")
+        after = active.count()
+        if after > (1.0 - LEAST_TAKEN) * before:
+            return edges.unionByName(_within(active, _block_counts(active), sets, similarity))
+        before = after
+    return edges
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(id, sha, c1, c2) of every row; (c1, c2, copies, root, n_links) of every shingle set.
 
@@ -236,7 +401,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
     ids take no part in this.
     """
     texts = _texts(docs, id_col, text_col)
-    found = staged(_contents(texts, words, rounds), "near-contents")
+    found = staged(_contents(texts, words, similarity, rounds), "near-contents")
     contents = staged(
         found.groupBy("c1", "c2")
         .agg(F.min("sha").alias("sha"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
