@@ -11,7 +11,6 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quernstone.llm import bpe_codec, exact_dedup, language_id, mixing, near_dedup
 from quernstone.llm.base import staged
@@ -21,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with that language."""
-    found = language_id.fit_and_identify(docs, with_rows=True)
-    return found.filter(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return language_id.keep_known(docs)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

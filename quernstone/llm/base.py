@@ -81,5 +81,11 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, s
     return rows.join(large, keys, "left_anti").join(groups, keys).unionByName(rows.join(large, keys))
 
 
+def free_names(df: DataFrame, *words: str) -> list[str]:
+    """A column name for each of ``words`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for i in range(len(taken) + 1) if (c := f"__{w}{i}") not in taken) for w in words]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import attach, staged
+from .base import attach, free_names, staged
 
 #: Bytes of a block.  Most documents are a few blocks; names take a row each.
 BLOCK_BYTES = 4096
@@ -160,8 +160,7 @@ def one_of_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str)
 
     Rows are met by id, null or not, and digest, so neither ids nor rows need be unique.
     """
-    taken = set(docs.columns)
-    sha, copy, its_id, its_sha = (next(c for i in range(len(taken) + 1) if (c := f"__{w}{i}") not in taken) for w in ("sha", "copy", "id", "same"))
+    sha, copy, its_id, its_sha = free_names(docs, "sha", "copy", "id", "same")
     marked = docs.withColumn(sha, digest_of(F.col(text_col)))
     same = (F.col(sha) == F.col(its_sha)) & F.col(id_col).eqNullSafe(F.col(its_id))
     alone, repeated = (

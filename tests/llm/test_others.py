@@ -33,8 +33,74 @@ def test_language_awkward(spark):
     assert language_id.fit_and_identify(empty(spark)).count() == 0
     unlabelled = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.fit_and_identify(unlabelled).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        language_id.fit_and_identify(awkward(spark).withColumn("score", F.lit(1)), with_rows=True)
+
+
+def test_known_languages_keep_their_rows(spark):
+    docs = awkward(spark).withColumns({c: F.lit(c) for c in ("score", "lang_pred", "rejected", "held_out", "__lang0", "__SCORE0")})
+    got = language_id.keep_known(docs, min_margin=0.0)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    # the two texts without a letter, the null and the empty one go
+    assert sorted(((r.doc_id, r.name) for r in rows), key=repr) == sorted([(1, "x"), (2, None), (2, None), (6, "y"), (7, "y"), (8, "z"), (None, "z")], key=repr)
+    assert {r.score for r in rows} == {"score"} and {r.lang for r in rows} <= {"en", "de"}
+    assert language_id.keep_known(empty(spark)).count() == 0
+
+
+def naive_sizes(data, dictionaries):
+    """Compressed bytes by the library alone: stretches of all but the tail, and the tail's average."""
+    import zstandard
+
+    def size(content, level, match, part):
+        params = zstandard.ZstdCompressionParameters.from_level(
+            level, dict_size=len(content), source_size=2048, min_match=match, write_checksum=0, write_content_size=0, write_dict_id=0
+        )
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=1), compression_params=params).compress(part))
+
+    at = max(0, len(data) - 256)
+    if at and b" " in data[at:-1]:
+        at = data.index(b" ", at) + 1
+    words = data[at:].split(b" ")
+    step = -(-len(words) // 3)
+    ends = [b" ".join(words[i:]) for i in range(0, len(words), step)]
+    out = []
+    for d in dictionaries:
+        quarter = -(-len(d) // 4)
+        bank = [(d, 7, 4), (d, 12, 3), *((d[i : i + quarter].ljust(8), 12, 3) for i in range(0, len(d), quarter))]
+        fine = [size(*b, e) / len(e) for b in bank for e in ends]
+        weight = [len(e) for _ in bank for e in ends]
+        tail = sum(f * w for f, w in zip(fine, weight)) / sum(weight) * (len(data) - at)
+        out.append(sum(size(d, 7, 4, data[:at][i : i + 2048]) for i in range(0, at, 2048)) + tail)
+    return out
+
+
+def test_language_equals_naive_compression():
+    rnd = random.Random(4)
+    makes = {x: ["".join(rnd.choice(a) for _ in range(rnd.randrange(2, 9))) for _ in range(400)] for x, a in (("xx", "abcdefgh"), ("yy", "ijklmnop"), ("zz", "aeioubcd"))}
+    prose = lambda x, n: " ".join(rnd.choice(makes[x]) for _ in range(n))
+    dictionaries = tuple((x, prose(x, 3000).encode()) for x in makes)
+    model = language_id.Classifier(dictionaries)
+    texts = [prose(x, n) for x in makes for n in (1, 2, 5, 30, 400, 3000)]
+    texts += [t[:n].strip() for t in (prose("xx", 200), prose("yy", 200)) for n in (254, 255, 256, 257, 258)] + ["abc" * 400, "é" * 300]
+    for text in texts:
+        sizes = naive_sizes(language_id.normalised(text).encode(), [d for _, d in dictionaries])
+        order = sorted(range(3), key=lambda i: sizes[i])
+        lang, score = model.predict(text)
+        assert score == pytest.approx((sizes[order[1]] - sizes[order[0]]) / sizes[order[1]], abs=1e-9)
+        assert lang == dictionaries[order[0]][0] or sizes[order[0]] == pytest.approx(sizes[order[1]])
+    for five in (texts[18:23], texts[23:28]):
+        scores = [model.predict(t)[1] for t in five]
+        assert max(scores) - min(scores) < 0.03  # alike on both sides of a tail's length
+    # equal sizes go to the first; a dictionary may be tiny
+    twins = language_id.Classifier((("b", b"same words"), ("a", b"same words"), ("c", b"x")))
+    assert twins.predict("same words") == ("b", 0.0)
+
+
+def test_stretches_of_whole_texts_are_learned(spark):
+    text = "anfang " * 600 + "mitte " * 600 + "ende " * 600
+    rows = [(i, t, "de") for i, t in enumerate([text] * 3 + [None, ""])] + [(i, "rare words of one text", "xx") for i in range(10, 40)]
+    learned = dict(language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert all(w in learned["de"] for w in (b"anfang", b"mitte", b"ende")) and len(learned["de"]) < 1.1 * len(text)
+    assert learned["xx"].count(b"rare") == 1  # copies are drawn once
 
 
 def test_learns_nothing_from_held_out(spark):
@@ -69,21 +135,43 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted(r["rank"] for r in pivot_search.top_k(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()) == [1, 2]
 
 
-def test_chat_parts(spark):
+def brute_rotation(rows):
+    """(conv, speaker): the whole rendering and its masks, for (conv, turn, speaker, text)."""
+    out = {}
+    first = lambda x: (x is not None, x or 0)
+    clean = [(c, t, s or "unknown", x or "") for c, t, s, x in rows]
+    for conv in {c for c, *_ in clean}:
+        turns = sorted((r for r in clean if r[0] == conv), key=lambda r: (first(r[1]), r[2], r[3]))
+        for me in {s for _, _, s, _ in turns} - {"system"}:
+            text, masks = "", []
+            for _, _, s, x in turns:
+                name = s.replace("%", "%25").replace("\n", "%0A").replace("<", "%3C").replace(">", "%3E").replace("|", "%7C")
+                text += "<|im_start|>" + ("system" if s == "system" else "assistant" if s == me else f"user name={name}") + "\n"
+                body = x.replace("<|", "< |") + "<|im_end|>"
+                if s == me:
+                    masks.append((len(text), len(text) + len(body)))
+                text += body + "\n"
+            out[conv, me] = text, masks
+    return out
+
+
+@pytest.mark.parametrize("part_turns, slice_", [(4, 3), (128, 64), (7, 1)])
+def test_chat_parts(spark, monkeypatch, part_turns, slice_):
+    """Parts in order are the whole rendering for every speaker, whatever their size."""
+    monkeypatch.setattr(chat_format, "SLICE", slice_)
     rows = [(1, t, f"s{t % 3}", f"t{t} <|im_end|>") for t in range(10)] + [(None, 0, None, None), (2, 0, "system", "rules"), (3, 1, "a", "x"), (3, 1, "a", "x"), (3, 0, "system", "s"), (3, 2, "b\n<|", "y")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit(9))
-    got = chat_format.rotate(df, part_turns=4).collect()
-    assert {(r.conv_id, r.part, r.speaker) for r in got if r.conv_id == 1} == {(1, p, f"s{s}") for p in (0, 1) for s in range(3)} | {(1, 2, "s2"), (1, 2, "s0")}
-    assert sum(len(r.masks) for r in got if r.conv_id == 1) == 10
-    assert not [r for r in got if r.conv_id == 2]
-    three = next(r for r in got if r.conv_id == 3 and r.speaker == "a")
-    assert three.rendered.count("<|im_start|>assistant\nx<|im_end|>") == 2 and "user name=b___\ny" in three.rendered
-    for r in got:
-        for m in r.masks:
-            assert r.rendered[m.start : m.end].endswith("<|im_end|>") and r.rendered[: m.start].endswith("assistant\n")
-    one = next(r for r in got if r.conv_id == 1 and r.part == 0 and r.speaker == "s0")
-    assert "t0 < |im_end|><|im_end|>" in one.rendered
-    assert next(r for r in got if r.conv_id is None).speaker == "unknown"
+    rows += [(4, 1, "a<b", "1"), (4, 2, "a_b", "2"), (4, 3, "a%3Cb", "3"), (4, None, "", None), (5, 0, "a", "word " * 100_000), (5, 1, "b", "w")]
+    rows += [(6, t, "late" if t == 900 else "system" if t == 0 else f"p{t % 5}", f"turn {t}") for t in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit(9)).repartition(5)
+    got = chat_format.rotate(df, part_turns=part_turns).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: r.part):
+        assert r.first_turn == r.part * part_turns and 0 < r.n_turns <= part_turns
+        text, masks = whole.setdefault((r.conv_id, r.speaker), ("", []))
+        whole[r.conv_id, r.speaker] = text + r.rendered, masks + [(len(text) + m.start, len(text) + m.end) for m in r.masks]
+    assert whole == brute_rotation(rows)
+    assert (2, "system") not in whole and len([k for k in whole if k[0] == 6]) == 6
+    assert len({name for t, _ in [whole[4, "unknown"]] for name in t.split("name=")}) == 4
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
