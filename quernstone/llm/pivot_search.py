@@ -7,14 +7,19 @@ largest difference of their distances to one pivot, and the inner product is
 looks at candidates in the order of their bounds and stops when no bound reaches
 its k-th best score.
 
-Queries and candidates meet in blocks: each block of queries with each block of
-candidates, so that a task holds one of each.  Before that every query gets a
-first k-th best score from a bounded sample of candidates.
+Queries and candidates meet in blocks, each of vectors with one nearest pivot, so
+that a task holds one of each.  Before that every query gets a first k-th best
+score from a bounded sample of candidates.  A pair of blocks meets only if the
+ranges of their pivot distances allow for a score that one of the queries needs.
+
+Components are integers of any size.  Scores go through floats or 64-bit integers
+where these are exact, and through Python's integers elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pandas as pd
@@ -28,39 +33,69 @@ from .base import staged
 PIVOTS, SAMPLE = 24, 1_024
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 8_192
+#: Blocks of queries whose ranges a task holds.
+MEETING = 256
 #: Candidates that a query evaluates before it looks at its bound again.
 STEP = 64
 SCALE = 256
-#: Larger components would not be exact; such a vector takes no part.
-MOST = float(1 << 40)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def _matrix(column: list, width: int) -> np.ndarray:
-    """Rows of int64 components, shorter vectors filled with zeros."""
-    out = np.zeros((len(column), width), dtype=np.int64)
+def _matrix(column, width: int) -> np.ndarray:
+    """Rows of components as given, shorter vectors filled with zeros."""
+    out = np.zeros((len(column), width))
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
 
 
+def _exact(value: float) -> int:
+    """floor(256 * value) without rounding or overflow."""
+    return int(value) * SCALE if abs(value) >= 2.0**53 else floor(value * SCALE)
+
+
+def _integers(vectors: np.ndarray) -> np.ndarray:
+    """The integer components as floats, which hold them exactly; too large ones are infinite."""
+    with np.errstate(over="ignore"):
+        return np.floor(vectors * SCALE)
+
+
 def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products as int64, through floats only where these are exact."""
+    """Exact inner products of the integer components: int64, or Python's integers if they may be larger."""
     if not queries.size or not candidates.size:
         return np.zeros((len(queries), len(candidates)), dtype=np.int64)
-    most = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * queries.shape[1]
+    q, x = _integers(queries), _integers(candidates)
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.abs(q).max() * np.abs(x).max() * queries.shape[1]
     if most < 2.0**53:
-        return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
-    if most < 2.0**62:
-        return queries @ candidates.T
-    raise ValueError("inner products exceed 64 bits")
+        return (q @ x.T).astype(np.int64)
+    if most < 2.0**62 and max(np.abs(q).max(), np.abs(x).max()) < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    exact_q, exact_x = ([[_exact(c) for c in row] for row in m.tolist()] for m in (queries, candidates))
+    out = np.empty((len(queries), len(candidates)), dtype=object)
+    for i, a in enumerate(exact_q):
+        for j, b in enumerate(exact_x):
+            out[i, j] = sum(c * d for c, d in zip(a, b) if c and d)
+    return out
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    if not len(pivots):
-        return np.zeros((len(vectors), 0))
-    v, p = vectors.astype(np.float64), pivots.astype(np.float64)
-    square = (v * v).sum(1)[:, None] + (p * p).sum(1)[None] - 2.0 * (v @ p.T)
-    return np.sqrt(np.maximum(square, 0.0))
+    """Of integer components as floats."""
+    out = np.zeros((len(vectors), len(pivots)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, p in enumerate(pivots):
+            # differences first: no digits of small vectors are lost beside a large pivot
+            out[:, i] = np.sqrt(((vectors - p) ** 2).sum(1))
+    return out
+
+
+def _upper(q2, x2, below, far):
+    """Bounds of scores from squared lengths, a least distance, and the largest pivot distance of either."""
+    # rounding of lengths and distances must not lower a bound, nor must overflow
+    with np.errstate(over="ignore", invalid="ignore"):
+        off = 1e-12 * far
+        bound = (q2 + x2 - np.maximum(below - off, 0.0) ** 2) / 2.0 + 1e-9 * (q2 + x2) + 1.0
+        return np.where(np.isfinite(bound), bound, np.inf)
 
 
 def _choose(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -78,49 +113,62 @@ def _choose(vectors: np.ndarray, count: int) -> np.ndarray:
     return vectors[chosen]
 
 
+def _needed(least: int | None) -> float:
+    """What a bound must reach for a score of ``least``; bounds have room for the rounding."""
+    if least is None:
+        return -np.inf
+    try:
+        return float(least)
+    except OverflowError:
+        return np.finfo(float).max if least > 0 else -np.inf
+
+
 def best_of_block(
-    q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floor: np.ndarray,
+    q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floors: list,
     ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int,
 ) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's best in one block of candidates.
 
-    ``floor`` is a score that k other candidates of the query are known to
-    reach, so lower ones need not be found.  ``q_far`` and ``far`` are rows of
-    the pivot table.
+    ``floors`` are scores that k other candidates of the query are known to reach,
+    so lower ones need not be found; None if there is no such score.  ``q_far``
+    and ``far`` are rows of the pivot table.
     """
     order = np.argsort(ids, kind="stable")
     ids, x, far = ids[order], x[order], far[order]
-    q2 = (q.astype(np.float64) ** 2).sum(1)
-    x2 = (x.astype(np.float64) ** 2).sum(1)
+    with np.errstate(over="ignore"):
+        q2, x2 = ((_integers(m) ** 2).sum(1) for m in (q, x))
+    farthest = far.max(1, initial=0.0)
     out: list[tuple[int, int, int]] = []
     for i in range(len(q)):
         below = np.zeros(len(x))
-        for p in range(far.shape[1]):
-            np.maximum(below, np.abs(far[:, p] - q_far[i, p]), out=below)
-        # rounding of the distances must not lower a bound
-        slack = 1e-6 * (q2[i] + x2) + 1.0
-        bound = (q2[i] + x2 - below * below) / 2.0 + slack
-        able = np.flatnonzero(bound >= floor[i])
+        with np.errstate(invalid="ignore"):
+            for p in range(far.shape[1]):
+                np.maximum(below, np.nan_to_num(np.abs(far[:, p] - q_far[i, p]), nan=0.0), out=below)
+        bound = _upper(q2[i], x2, below, np.maximum(farthest, q_far[i].max(initial=0.0)))
+        least: int | None = floors[i]
+        able = np.flatnonzero(bound >= _needed(least))
         able = able[np.argsort(-bound[able], kind="stable")]
-        best_score, best_id = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        least = int(floor[i])
+        best: list[tuple[int, int]] = []  # (-score, candidate)
         for start in range(0, len(able), STEP):
             part = able[start : start + STEP]
-            if bound[part[0]] < least:
+            if bound[part[0]] < _needed(least):
                 break
             score = _scores(q[i : i + 1], x[part])[0]
-            use = (score >= least) & (ids[part] != q_ids[i])
-            best_score = np.concatenate([best_score, score[use]])
-            best_id = np.concatenate([best_id, ids[part][use]])
-            if len(best_id) > k:
-                top = np.lexsort((best_id, -best_score))[:k]
-                best_score, best_id = best_score[top], best_id[top]
-            if len(best_id) >= k:
-                least = max(least, int(best_score.min()))
-        out += [(int(q_ids[i]), int(c), int(s)) for c, s in zip(best_id, best_score)]
+            use = ids[part] != q_ids[i]
+            if least is not None:
+                use &= (score >= least).astype(bool)
+            best = sorted([*best, *zip((-score[use]).tolist(), ids[part][use].tolist())])[:k]
+            if len(best) == k:
+                least = -best[-1][0] if least is None else max(least, -best[-1][0])
+        out += [(int(q_ids[i]), c, -s) for s, c in best]
     return out
 
 
+def _kth(scores: np.ndarray, k: int) -> int | None:
+    """The k-th largest, if there are so many."""
+    return int(sorted(scores.tolist(), reverse=True)[k - 1]) if len(scores) >= k else None
+
+
 def top_k(
     vectors: DataFrame,
     is_query,
@@ -130,100 +178,138 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, ``id_col``, score: each query's k best other rows.
 
-    Components become floor(256 * x) as 64-bit integers and the score is their
+    Components become floor(256 * x), integers of any size, and the score is their
     inner product; shorter vectors count as filled with zeros.  Equal scores go
-    to the smaller id.  A vector that is null, or has a null, non-finite or
-    absurdly large (2**40) component, is neither query nor candidate; nor is a
-    row without id.  A row is no candidate of a query with its id, so repeated
-    ids do not find each other; repeated rows of a query answer once.  An empty
-    table gives no rows.
+    to the smaller id.  A score beyond 64 bits is ranked by its value and shown
+    as the end of their range.  A vector that is null, or has a null or non-finite
+    component, is neither query nor candidate; nor is a row without id.  A row is
+    no candidate of a query with its id, so repeated ids do not find each other;
+    repeated rows of a query answer once.  An empty table gives no rows.
     """
     value = F.col("v").cast("array<double>")
-    usable = F.col("v").isNotNull() & F.forall(
-        value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < MOST / SCALE)
-    )
+    usable = F.col("v").isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = (
         vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
         .filter(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False)))
-        .select("id", "q", F.transform(value, lambda x: F.floor(x * SCALE).cast("bigint")).alias("v"))
+        .select("id", F.coalesce("q", F.lit(False)).alias("q"), value.alias("v"))
     )
     by_chance = F.xxhash64("id")
-    sample = rows.orderBy(by_chance, "id").limit(SAMPLE).collect()  # bounded
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq")).first()
-    width = shape.width or 0
+    sample = rows.orderBy(by_chance, "id", "v").limit(SAMPLE).collect()  # bounded
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     sample_ids = np.array([r.id for r in sample], dtype=np.int64)
     sample_x = _matrix([r.v for r in sample], width)
-    pivots = _choose(sample_x, PIVOTS)
+    pivots = _choose(_integers(sample_x)[np.isfinite(_integers(sample_x)).all(1)], PIVOTS)
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pivot table; for queries also the k-th best score in the sample."""
         for batch in batches:
-            v = batch.column("v").to_pylist()
-            x = _matrix(v, width)
-            ids = np.array(batch.column("id").to_pylist(), dtype=np.int64)
-            asks = np.array([bool(a) for a in batch.column("q").to_pylist()], dtype=bool)
-            floor = np.full(len(ids), np.iinfo(np.int64).min, dtype=np.int64)
-            if asks.any() and len(sample_ids) > k:
-                at = np.flatnonzero(asks)
-                score = _scores(x[at], sample_x).astype(np.float64)
-                score[ids[at][:, None] == sample_ids[None]] = -np.inf
-                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                floor[at] = np.where(np.isfinite(kth), kth, float(np.iinfo(np.int64).min)).astype(np.int64)
+            x = _matrix(batch.column("v").to_pylist(), width)
+            ids = batch.column("id").to_pylist()
+            far = _distances(_integers(x), pivots)
+            with np.errstate(over="ignore"):
+                length = (_integers(x) ** 2).sum(1)
+            finite = np.isfinite(far).all(1)
+            cell = np.where(finite, np.argmin(far, axis=1), -1) if far.shape[1] else np.zeros(len(ids))
+            floors: list[str | None] = [None] * len(ids)
+            for i, asks in enumerate(batch.column("q").to_pylist()):
+                if asks and (kth := _kth(_scores(x[i : i + 1], sample_x[sample_ids != ids[i]])[0], k)) is not None:
+                    floors[i] = str(kth)
             yield pa.record_batch(
                 [
-                    batch.column("id"),
-                    batch.column("q"),
-                    batch.column("v"),
-                    pa.array(list(_distances(x, pivots)), pa.list_(pa.float64())),
-                    pa.array(floor, pa.int64()),
+                    *(batch.column(c) for c in ("id", "q", "v")),
+                    pa.array(list(far), pa.list_(pa.float64())),
+                    pa.array(length, pa.float64()),
+                    pa.array(cell.astype(np.int32)),
+                    pa.array(floors, pa.string()),
                 ],
-                names=["id", "q", "v", "far", "floor"],
+                names=["id", "q", "v", "far", "length", "cell", "floor"],
             )
 
-    table = staged(
-        rows.mapInArrow(tabulate, "id bigint, q boolean, v array<bigint>, far array<double>, floor bigint"), "pivot-table"
-    )
-    n_c = max(1, -(-shape.n // CANDIDATE_BLOCK))
-    n_q = max(1, -(-shape.nq // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    candidates = table.select(block(n_c).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), "id", "v", "far")
-    queries = (
-        table.filter("q")
-        .dropDuplicates(["id", "v"])
-        .select(F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), block(n_q).alias("qb"), "id", "v", "far", "floor")
-    )
+    kinds = "id bigint, q boolean, v array<double>, far array<double>, length double, cell int, floor string"
+    table = staged(rows.mapInArrow(tabulate, kinds), "pivot-table")
+
+    def dealt(members: DataFrame, size: int) -> DataFrame:
+        """``members`` with their block: a part of those with one nearest pivot, which are few cells."""
+        cells = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+        # rows that repeat an id do not share a block for that
+        at = F.concat_ws("-", "cell", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts")))
+        return members.join(F.broadcast(cells.limit(PIVOTS + 1)), "cell").withColumn("block", at).drop("cell", "parts")
+
+    candidates = staged(dealt(table.select("id", "v", "far", "length", "cell"), CANDIDATE_BLOCK), "pivot-candidates")
+    queries = staged(dealt(table.filter("q").drop("q").dropDuplicates(["id", "v"]), QUERY_BLOCK), "pivot-queries")
+    meetings = staged(_meetings(queries, candidates, len(pivots)), "pivot-meetings")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        floors = [None if f is None else int(f) for f in left["floor"]]
         found = best_of_block(
-            left["id"].to_numpy(), _matrix(left["v"].tolist(), width), np.array(left["far"].tolist()).reshape(len(left), -1),
-            left["floor"].to_numpy(), right["id"].to_numpy(), _matrix(right["v"].tolist(), width),
-            np.array(right["far"].tolist()).reshape(len(right), -1), k,
+            left["id"].to_numpy(), _matrix(left["v"].tolist(), width), np.array(left["far"].tolist()).reshape(len(left), -1), floors,
+            right["id"].to_numpy(), _matrix(right["v"].tolist(), width), np.array(right["far"].tolist()).reshape(len(right), -1), k,
         )
-        return pd.DataFrame(found, columns=["query_id", "id", "score"]).astype("int64")
+        return pd.DataFrame([(q, c, str(s)) for q, c, s in found], columns=["query_id", "id", "score"])
 
-    found = (
-        queries.groupBy("cb", "qb")
-        .cogroup(candidates.groupBy("cb", "qb"))
-        .applyInPandas(meet, "query_id bigint, id bigint, score bigint")
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    asked = queries.withColumnRenamed("block", "qb").join(meetings, "qb").select("qb", "cb", "id", "v", "far", "floor")
+    given = candidates.withColumnRenamed("block", "cb").join(meetings, "cb").select("qb", "cb", "id", "v", "far")
+    found = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInPandas(meet, "query_id bigint, id bigint, score string")
+    # as text, scores beyond 64 bits keep their order: by sign, digits, then digit by digit
+    negative, digits = F.col("score").startswith("-"), F.length("score")
+    order = [
+        F.when(negative, -digits).otherwise(digits).desc(),
+        F.when(negative, F.lit(None)).otherwise(F.col("score")).desc(),
+        F.when(negative, F.col("score")).asc(),
+        F.col("id"),
+    ]
+    best = Window.partitionBy("query_id").orderBy(*order)
+    ends = F.when(negative, F.lit(LEAST)).otherwise(F.lit(MOST))
     return (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias(id_col), "score")
+        .select("query_id", "rank", F.col("id").alias(id_col), F.coalesce(F.expr("try_cast(score as bigint)"), ends).alias("score"))
     )
 
 
+def _meetings(queries: DataFrame, candidates: DataFrame, n_pivots: int) -> DataFrame:
+    """(qb, cb): blocks with a bound that reaches what one of the queries needs.
+
+    Each block is one row here: the ranges of its pivot distances, its largest
+    length, and its queries' least floor.
+    """
+    def ranges(rows: DataFrame, name: str, *more) -> DataFrame:
+        each = [f(F.get("far", F.lit(p))) for p in range(n_pivots) for f in (F.min, F.max)]
+        return rows.groupBy(F.col("block").alias(name)).agg(F.array(*each).cast("array<double>").alias(f"{name}_far"), F.max("length").alias(f"{name}_length"), *more)
+
+    # a query without a floor needs every candidate
+    need = F.when(F.count_if(F.col("floor").isNull()) == 0, F.min(F.col("floor").cast("double"))).alias("need")
+    asks, has = ranges(queries, "qb", need), ranges(candidates, "cb")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q, x = (np.array(b[c].tolist(), dtype=float).reshape(len(b), -1, 2) for c in ("qb_far", "cb_far"))
+            with np.errstate(invalid="ignore"):
+                gaps = np.nan_to_num(np.maximum(x[:, :, 0] - q[:, :, 1], q[:, :, 0] - x[:, :, 1]), nan=0.0, posinf=0.0, neginf=0.0)
+            far = np.maximum(q[:, :, 1].max(1, initial=0.0), x[:, :, 1].max(1, initial=0.0))
+            bound = _upper(b["qb_length"].to_numpy(float), b["cb_length"].to_numpy(float), gaps.max(1, initial=0.0), far)
+            need = b["need"].to_numpy(float)
+            # a floor as a float may be rounded up
+            yield b.loc[np.isnan(need) | (bound >= need - 1e-9 * np.abs(need)), ["qb", "cb"]]
+
+    # blocks of queries in groups; each candidate block goes to each group
+    asks = staged(asks, "pivot-asks")
+    groups = max(1, -(-asks.count() // MEETING))
+    asks = asks.withColumn("g", F.pmod(F.xxhash64("qb"), F.lit(groups)).cast("int"))
+    has = has.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asks.join(has, "g").mapInPandas(run, "qb string, cb string")
+
+
 OP3_SQL = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored

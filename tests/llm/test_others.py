@@ -111,7 +111,10 @@ def test_learns_nothing_from_held_out(spark):
 
 
 def brute_top(rows, k):
-    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    from fractions import Fraction
+    from math import floor
+
+    good = [(i, [floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in {(i, tuple(v)) for i, v in good if i % 50 == 0}:
         scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in good if c != q)[:k]
@@ -135,6 +138,33 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted(r["rank"] for r in pivot_search.top_k(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("scale", [2.0**12, 2.0**20, 2.0**30, 2.0**40, 1e300])
+def test_top_k_of_large_components(spark, monkeypatch, scale):
+    """Beyond floats and beyond 64 bits, beside vectors of ordinary size."""
+    monkeypatch.setattr(pivot_search, "CANDIDATE_BLOCK", 32)
+    rnd = random.Random(7)
+    rows = [(i, [rnd.uniform(-scale, scale) for _ in range(4)]) for i in range(60)] + [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(60, 120)]
+    rows += [(1000, [1.0, 2.0]), (1001, [2.0**33, 0.0]), (1002, [1.0, 1.0]), (1003, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    want = [(q, n, c, max(-(2**63), min(2**63 - 1, s))) for q, n, c, s in brute_top(rows, 5)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
+def test_blocks_that_cannot_reach_a_score_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(pivot_search, "QUERY_BLOCK", 2)
+    met = []
+    whole = pivot_search._meetings
+    monkeypatch.setattr(pivot_search, "_meetings", lambda q, c, n: met.append((whole(q, c, n).count(), q.select("block").distinct().count() * c.select("block").distinct().count())) or whole(q, c, n))
+    rnd = random.Random(8)
+    at = lambda c: [(9.0 if d == c else 0.0) + rnd.gauss(0, 0.01) for d in range(6)]
+    rows = [(i, at(i % 6)) for i in range(600)]
+    got = pivot_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 5)
+    assert met[0][0] < 0.5 * met[0][1]
+
+
 def brute_rotation(rows):
     """(conv, speaker): the whole rendering and its masks, for (conv, turn, speaker, text)."""
     out = {}
