@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FACT_HALF_LIVES, FACT_SOURCES, STATUS_PENALTIES, STATUS_SEVERITY
 from ..functions.scores import half_life
+from ..scratch import shared_folder
 
 STALE = 0.40
 
@@ -103,33 +104,49 @@ def edge_cost(edges: DataFrame, status: str, confidence: str, residents: str, pe
     return edges.withColumn("cost", F.when((F.col(status) == "closed") | F.col("forbidden"), F.lit(None)).otherwise(cost))
 
 
-def shortest_paths(edges: DataFrame, source: int, most_hops: int = 64) -> DataFrame:
-    """(node, cost, hops) of the cheapest way from ``source``; edges (src, dst, cost), NULL costs closed.
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """(node, cost, hops, via) of the cheapest way from ``source``; edges (src, dst, cost), NULL costs closed.
 
-    Relaxation round by round over the whole graph: a join on the frontier and a
-    minimum per node.  It ends when no node gets cheaper.  Each round is
-    checkpointed in the folder that the session names, which keeps plans short
-    and survives lost executors.
+    ``via`` is the node before, NULL at the source.  Relaxation round by round
+    over the whole graph: a join on the frontier and a minimum per node.  It ends
+    when no node gets cheaper, however long the ways are; costs below 0 are
+    refused, as a cycle of them would have no end.  Each round is checkpointed
+    in the folder that the session names, which keeps plans short and survives
+    lost executors.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
+    shared_folder(spark)
     open_ = edges.filter("cost is not null").groupBy("src", "dst").agg(F.min(F.col("cost").cast("double")).alias("c")).checkpoint()
-    best = spark.createDataFrame([(source, 0.0, 0, True)], "node bigint, cost double, hops int, fresh boolean").coalesce(1)
-    for _ in range(most_hops):
+    if not open_.filter("c < 0").isEmpty():
+        raise ValueError("costs must not be negative")
+    kind = "node bigint, cost double, hops int, via bigint, fresh boolean"
+    best = spark.createDataFrame([(source, 0.0, 0, None, True)], kind).coalesce(1)
+    while not best.filter("fresh").isEmpty():
         reached = best.filter("fresh").join(open_, F.col("node") == F.col("src")).select(
-            F.col("dst").cast("bigint").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("fresh")
+            F.col("dst").cast("bigint").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"),
+            F.col("src").cast("bigint").alias("via"), F.lit(True).alias("fresh"),
         )
         # on equal costs the known way stays, as false comes before true
-        least = F.min(F.struct("cost", "fresh", "hops")).alias("m")
+        least = F.min(F.struct("cost", "fresh", "hops", "via")).alias("m")
         known = best.withColumn("fresh", F.lit(False))
-        best = known.unionByName(reached).groupBy("node").agg(least).select("node", "m.cost", "m.hops", "m.fresh").checkpoint()
-        if best.filter("fresh").isEmpty():
-            break
-    return best.select("node", "cost", "hops")
+        best = known.unionByName(reached).groupBy("node").agg(least).select("node", "m.cost", "m.hops", "m.via", "m.fresh").checkpoint()
+    return best.select("node", "cost", "hops", "via")
+
+
+def path_to(paths: DataFrame, target: int) -> list[int]:
+    """The nodes of the way to ``target`` in order, from ``shortest_paths``; empty if there is none.
+
+    A way is as long as it has nodes, which is what comes to the driver.
+    """
+    way: list[int] = []
+    node: int | None = target
+    while node is not None:
+        row = paths.filter(F.col("node") == node).select("via").first()
+        if row is None:
+            return []
+        way.append(node)
+        node = row.via
+    return way[::-1]
 
 
 def severity_of_gates(gates: DataFrame, live: DataFrame, edge: str, gate: str) -> DataFrame:

@@ -93,25 +93,37 @@ def resolve(df: DataFrame, key: str, fields: list[str], created: str, id_col: st
     )
 
 
+def _newest_before(messages: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
+    """(key, other): the ``most`` newest messages of the ``seconds`` before each, in order of time and key.
+
+    Only keys and times are sorted, by stretches of ``seconds``; each stretch also
+    has the rows of the one before.  A frame holds ``most`` rows, so no pairs are
+    made beyond those that are asked for.
+    """
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
+    rows = messages.select(F.col(key).alias("k"), F.col(time).alias("t"), at.alias("s"))
+    bucket = F.floor(F.col("s") / seconds)
+    dealt = rows.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
+    frame = Window.partitionBy("b").orderBy("t", "k").rowsBetween(-most, -1)
+    held = dealt.withColumn("before", F.collect_list(F.struct("k", "s")).over(frame)).filter(F.col("b") == bucket)
+    pairs = held.select("k", "s", F.explode("before").alias("o"))
+    return pairs.filter(F.col("s") - F.col("o.s") <= seconds).select(F.col("k").alias(key), F.col("o.k").alias(f"r_{key}"))
+
+
 def near_duplicates(messages: DataFrame, key: str, text: str, time: str, seconds: int = 1800, most: int = 50, least_chars: int = 15, threshold: float = 0.6) -> DataFrame:
     """(key, other, similarity) of messages whose words overlap one of the newest before them.
 
     Only the ``most`` newest within ``seconds`` before a message are compared,
-    as the definition has it.  Messages of fewer characters never match.
+    as the definition has it.  Messages of fewer characters never match, and
+    texts are joined to those pairs alone that could.
     """
-    from .joins import interval_join, recent_partners
-
     prints = message_fingerprint(F.col(text))
-    base = messages.select(F.col(key), F.col(time), prints.alias("__f")).withColumn("__w", word_set(F.col("__f")))
-    base = base.withColumn("__all", F.lit(1))
-    pairs = interval_join(base, base, ["__all"], time, time, seconds)
-    earlier = (F.col(f"r_{time}") < F.col(time)) | ((F.col(f"r_{time}") == F.col(time)) & (F.col(f"r_{key}") < F.col(key)))
-    probed = recent_partners(pairs.filter(earlier), key, [F.desc(f"r_{time}"), F.desc(f"r_{key}")], most)
+    base = messages.select(F.col(key), prints.alias("__f")).filter(F.length("__f") >= least_chars)
+    base = base.select(key, word_set(F.col("__f")).alias("__w"))
+    far = base.select(*(F.col(c).alias(f"r_{c}") for c in base.columns))
+    probed = _newest_before(messages, key, time, seconds, most).join(base, key).join(far, f"r_{key}")
     similar = F.round(jaccard(F.col("__w"), F.col("r___w")), 4)
-    long_enough = (F.length("__f") >= least_chars) & (F.length("r___f") >= least_chars)
-    return probed.filter(long_enough).withColumn("similarity", similar).filter(F.col("similarity") > threshold).select(
-        key, F.col(f"r_{key}").alias("other"), "similarity"
-    )
+    return probed.withColumn("similarity", similar).filter(F.col("similarity") > threshold).select(key, F.col(f"r_{key}").alias("other"), "similarity")
 
 
 def coverage(used: DataFrame, registry: DataFrame, name: str) -> DataFrame:
@@ -135,17 +147,15 @@ def greedy_route_dedup(rows: DataFrame, route: str, least_m: float = 200.0) -> D
     import pandas as pd
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(__c=(group["status"] != "closed").astype(int)).sort_values(["__c", "metres", "name"])
-        kept: list[int] = []
-        for i, row in group.iterrows():
-            near = False
-            for j in kept:
-                other = group.loc[j]
-                y = (row["lat"] - other["lat"]) * 111_320.0
-                x = (row["lon"] - other["lon"]) * 111_320.0 * np.cos(np.radians(row["lat"]))
-                near = near or row["name"] == other["name"] or float(np.hypot(x, y)) <= least_m
-            if not near:
+        group = group.assign(__c=(group["status"] != "closed").astype(int)).sort_values(["__c", "metres", "name"]).drop(columns="__c")
+        lat, lon, names = group["lat"].to_numpy(), group["lon"].to_numpy(), group["name"].to_numpy()
+        free = np.ones(len(group), dtype=bool)
+        kept = []
+        for i in range(len(group)):
+            if free[i]:
                 kept.append(i)
-        return group.loc[kept].drop(columns="__c")
+                y, x = (lat - lat[i]) * 111_320.0, (lon - lon[i]) * 111_320.0 * np.cos(np.radians(lat))
+                free &= (np.hypot(x, y) > least_m) & (names != names[i])
+        return group.iloc[kept]
 
     return rows.groupBy(route).applyInPandas(keep, rows.schema)

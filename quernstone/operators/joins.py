@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_A_DEGREE, haversine_km, in_polygon, segment_distance_m
+from ..functions.geo import EARTH_KM, KM_A_DEGREE, haversine_km, in_polygon, segment_distance_m
+
+#: Rows of a small table that go to a task as one array, and such arrays at most.
+CHUNK, MOST_CHUNKS = 2_000, 16
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,58 +38,108 @@ def interval_join(
     return joined.filter((gap >= 0) & (gap <= back_seconds)).drop("__b")
 
 
+def _cells_of(band: Column, km: float) -> Column:
+    """Cells of longitude around the earth in a band of latitude: none is narrower than ``km`` near it."""
+    height = km / KM_A_DEGREE
+    farthest = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    # the largest difference of longitude at this distance; beyond a pole there is no bound
+    ratio = F.lit(math.sin(min(km / EARTH_KM, math.pi / 2))) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
+    width = F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
+    return F.when(ratio < 1.0, F.greatest(F.floor(F.lit(360.0) / (width * 1.000001)), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
+
+
+def _cell_of(lon: Column, cells: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / cells)), cells)
+
+
+def _near_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """(lat, lon, r_lat, r_lon, km) of different places of both sides within ``km``.
+
+    Bands of latitude are ``km`` high; in each, cells of longitude are at least as
+    wide there, and the last meets the first.  A left place looks at three bands
+    and three cells of each.
+    """
+    height = F.lit(km / KM_A_DEGREE)
+    far = right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct()
+    far = far.withColumn("__y", F.floor(F.col("r_lat") / height))
+    far = far.withColumn("__x", _cell_of(F.col("r_lon"), _cells_of(F.col("__y"), km)))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = left.select("lat", "lon").distinct()
+    near = near.withColumn("__y", F.explode(F.transform(around, lambda d: F.floor(F.col("lat") / height) + d)))
+    cells = _cells_of(F.col("__y"), km)
+    at = near.withColumns({"__n": cells, "__x0": _cell_of(F.col("lon"), cells)})
+    at = at.withColumn("__x", F.explode(F.array_distinct(F.transform(around, lambda d: F.pmod(F.col("__x0") + d, F.col("__n"))))))
+    apart = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    return at.join(far, ["__y", "__x"]).withColumn("km", apart).filter(F.col("km") <= km).select("lat", "lon", "r_lat", "r_lon", "km")
+
+
 def grid_join(left: DataFrame, right: DataFrame, km: float, prefix: str = "r_", days: int | None = None, date: str = "date") -> DataFrame:
     """Pairs (lat, lon) within ``km`` [and dates within ``days``], with ``km`` apart.
 
-    Cells are ``km`` high and as wide at the largest latitude; each left row
-    looks at the nine cells around it [and three stretches of days].
+    Different places meet first, so distances are taken once for rows that share
+    a place; rows then meet by their places [and three stretches of days].
+    Latitudes are from -90 to 90 and longitudes from -180 to 180.
     """
-    cell_lat = F.lit(km / KM_A_DEGREE)
-    # cells of longitude are wide enough up to 60 degrees of latitude
-    cell_lon = F.lit(2 * km / KM_A_DEGREE)
-    cell = lambda lat, lon: (F.floor(lat / cell_lat), F.floor(lon / cell_lon))
+    places = _near_places(left, right, km).withColumnsRenamed({"r_lat": prefix + "lat", "r_lon": prefix + "lon"})
     far = right.select(*(F.col(c).alias(prefix + c) for c in right.columns))
-    y, x = cell(F.col(prefix + "lat"), F.col(prefix + "lon"))
-    far = far.withColumns({"__y": y, "__x": x})
-    y, x = cell(F.col("lat"), F.col("lon"))
+    near = left.join(places, ["lat", "lon"])
+    keys = [prefix + "lat", prefix + "lon"]
+    if days is None:
+        return near.join(far, keys)
+    stretch = lambda c: F.floor(F.unix_date(F.col(c)) / days)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = left.withColumns({"__y0": y, "__x0": x})
-    near = near.withColumn("__y", F.explode(F.transform(around, lambda d: F.col("__y0") + d)))
-    near = near.withColumn("__x", F.explode(F.transform(around, lambda d: F.col("__x0") + d)))
-    keys = ["__y", "__x"]
-    if days is not None:
-        stretch = lambda c: F.floor(F.unix_date(F.col(c)) / days)
-        far = far.withColumn("__d", stretch(prefix + date))
-        near = near.withColumn("__d0", stretch(date))
-        near = near.withColumn("__d", F.explode(F.transform(around, lambda d: F.col("__d0") + d))).drop("__d0")
-        keys.append("__d")
-    apart = haversine_km(F.col("lat"), F.col("lon"), F.col(prefix + "lat"), F.col(prefix + "lon"))
-    joined = near.join(far, keys).withColumn("km", apart).filter(F.col("km") <= km)
-    if days is not None:
-        joined = joined.filter(F.abs(F.datediff(F.col(date), F.col(prefix + date))) <= days)
-    return joined.drop(*keys, "__y0", "__x0")
+    near = near.withColumn("__d", F.explode(F.transform(around, lambda d: stretch(date) + d)))
+    joined = near.join(far.withColumn("__d", stretch(prefix + date)), [*keys, "__d"]).drop("__d")
+    return joined.filter(F.abs(F.datediff(F.col(date), F.col(prefix + date))) <= days)
+
+
+def _chunks(table: DataFrame, order: list[str]) -> list[DataFrame]:
+    """A small table as arrays of at most ``CHUNK`` structs, each one row, which a row of the other side can hold."""
+    size = table.count()
+    parts = max(1, -(-size // CHUNK))
+    if parts > MOST_CHUNKS:
+        raise ValueError(f"a table of {size} places is too large to be gone through for each row; join by a grid")
+    cut = F.pmod(F.xxhash64(*order), F.lit(parts))
+    rows = F.collect_list(F.struct(*table.columns)).alias("__all")
+    return [table.filter(cut == i).agg(rows) for i in range(parts)]
+
+
+def _least(rows: DataFrame, chunks: list[DataFrame], value) -> DataFrame:
+    """``rows`` with ``__best``: the least struct that ``value`` makes of the chunks' structs; no shuffle."""
+    best = None
+    for i, chunk in enumerate(chunks):
+        rows = rows.crossJoin(F.broadcast(chunk.withColumnRenamed("__all", f"__all{i}")))
+        least = F.array_min(F.transform(f"__all{i}", value))
+        best = least if best is None else F.least(best, least)
+    return rows.withColumn("__best", best).drop(*(f"__all{i}" for i in range(len(chunks))))
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, name: str = "name", most_km: float | None = None) -> DataFrame:
     """For each point the nearest of a small table of places (name, p_lat, p_lon); ties by name.
 
-    ``places`` is a dimension of bounded size, so it goes to every task.
+    The size of ``places`` is checked before it goes to every task.  No places,
+    no rows.
     """
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    best = F.min(F.struct(km.alias("km"), F.col(name).alias("name"))).alias("best")
-    found = points.crossJoin(F.broadcast(places)).groupBy(key).agg(best).select(key, "best.name", "best.km")
+    def km(p: Column) -> Column:
+        return F.struct(haversine_km(F.col("lat"), F.col("lon"), p["p_lat"], p["p_lon"]).alias("km"), p[name].alias("name"))
+
+    chunks = _chunks(places.select(name, "p_lat", "p_lon"), [name])
+    found = _least(points, chunks, km).filter("__best is not null").select(key, "__best.name", "__best.km")
     return found if most_km is None else found.filter(F.col("km") <= most_km)
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     """(key, polygon) with the first polygon, by ``ord``, around each point; others drop out.
 
-    ``polygons``: ord, polygon, min_lat, min_lon, max_lat, max_lon, rings; a
-    dimension of bounded size.  The box is tested before the rings.
+    ``polygons``: ord, polygon, min_lat, min_lon, max_lat, max_lon, rings.  Both
+    sides meet in cells of a degree; the box is tested before the rings.
     """
     lat, lon = F.col("lat"), F.col("lon")
+    over = lambda low, high: F.explode(F.sequence(F.floor(low), F.floor(high)))
+    shapes = polygons.withColumn("__y", over("min_lat", "max_lat")).withColumn("__x", over("min_lon", "max_lon"))
+    placed = points.withColumns({"__y": F.floor(lat), "__x": F.floor(lon)})
     in_box = lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon"))
-    hits = points.join(F.broadcast(polygons), in_box & in_polygon(lat, lon, F.col("rings")))
+    hits = placed.join(shapes, ["__y", "__x"]).filter(in_box & in_polygon(lat, lon, F.col("rings")))
     return hits.groupBy(key).agg(F.min_by("polygon", "ord").alias("polygon"))
 
 
@@ -100,21 +155,22 @@ def first_match(rows: DataFrame, key: str, candidates: str, dictionary: DataFram
 def on_route(places: DataFrame, route: list[tuple[float, float]], most_m: float, key: str) -> DataFrame:
     """Places within ``most_m`` of a polyline of (lat, lon): key, metres, km along it, segment."""
     rows, along = [], 0.0
-    import math
-
     for i, ((a, b), (c, d)) in enumerate(zip(route, route[1:])):
         rows.append((i, a, b, c, d, along))
         x = math.radians(d - b) * math.cos(math.radians((a + c) / 2))
         along += 6371.0 * math.hypot(x, math.radians(c - a))
-    segments = places.sparkSession.createDataFrame(rows, "segment int, a double, b double, c double, d double, km_before double")
-    metres = segment_distance_m(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    beyond = haversine_km(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))
-    best = F.min(F.struct(metres.alias("m"), F.col("segment"), (F.col("km_before") + beyond).alias("km"))).alias("best")
-    return (
-        places.crossJoin(F.broadcast(segments)).groupBy(key).agg(best)
-        .select(key, F.col("best.m").alias("metres"), F.col("best.segment").alias("segment"), F.col("best.km").alias("km_along"))
-        .filter(F.col("metres") <= most_m)
+    kind = "segment int, a double, b double, c double, d double, km_before double"
+    segments = places.sparkSession.createDataFrame(rows, kind)
+
+    def metres(s: Column) -> Column:
+        m = segment_distance_m(F.col("lat"), F.col("lon"), s["a"], s["b"], s["c"], s["d"])
+        beyond = haversine_km(s["a"], s["b"], F.col("lat"), F.col("lon"))
+        return F.struct(m.alias("m"), s["segment"].alias("segment"), (s["km_before"] + beyond).alias("km"))
+
+    found = _least(places, _chunks(segments, ["segment"]), metres).select(
+        key, F.col("__best.m").alias("metres"), F.col("__best.segment").alias("segment"), F.col("__best.km").alias("km_along")
     )
+    return found.filter(F.col("metres") <= most_m)
 
 
 def lookup_or_fallback(rows: DataFrame, exact: DataFrame, exact_keys: list[str], coarse: DataFrame, coarse_keys: list[str], value: str) -> DataFrame:
@@ -131,6 +187,13 @@ def siblings(members: DataFrame, record: str = "record", cluster: str = "cluster
     return members.join(other, cluster).filter(F.col(record) != F.col("sibling")).select(record, "sibling", cluster)
 
 
+def sibling_counts(members: DataFrame, record: str = "record", cluster: str = "cluster") -> DataFrame:
+    """(record, n): the rows that ``siblings`` has for each record; pairs are not made."""
+    own = members.select(record, cluster).distinct()
+    sizes = own.groupBy(cluster).agg((F.count(F.lit(1)) - 1).alias("__n"))
+    return own.join(sizes, cluster).groupBy(record).agg(F.sum("__n").alias("n")).filter("n > 0")
+
+
 def recent_partners(pairs: DataFrame, key: str, order: list[Column], most: int = 20) -> DataFrame:
     """The first ``most`` partners of each probe."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -85,22 +85,25 @@ def search(docs: DataFrame, key: str, text: str, query: str, fuzzy: float = 0.2,
     """The best documents by BM25 over equal, prefixed and similar terms; ties by key.
 
     A term counts fully if equal, 0.75 as a prefix, 0.5 within the edit distance
-    round(fuzzy * length).  The vocabulary is matched once, then joined.
+    round(fuzzy * length).  Words that are not asked for are dropped where they
+    are read; only hits, with the length of their text, are counted over a shuffle.
     """
-    postings = tokens(docs, key, text)
-    lengths = postings.groupBy(key).agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    read = docs.select(key, words.alias("__words"))
+    stats = read.filter(F.size("__words") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__words")).alias("mean"))
     asked = sorted(set(query.lower().split()))
     weight = F.lit(0.0)
     for word in asked:
         edits = round(fuzzy * len(word))
         close = F.when(F.col("term") == word, 1.0).when(F.col("term").startswith(word), 0.75)
         if edits:
-            close = close.when(F.levenshtein(F.col("term"), F.lit(word), edits) >= 0, 0.5)
+            alike = F.length("term").between(len(word) - edits, len(word) + edits)
+            close = close.when(alike & (F.levenshtein(F.col("term"), F.lit(word), edits) >= 0), 0.5)
         weight = F.greatest(weight, close.otherwise(0.0))
-    hits = postings.withColumn("weight", weight).filter("weight > 0")
+    found = read.select(key, F.size("__words").alias("length"), F.explode("__words").alias("term")).withColumn("weight", weight)
+    hits = found.filter("weight > 0").groupBy(key, "term", "length", "weight").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))
+    scored = hits.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return (

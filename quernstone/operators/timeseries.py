@@ -6,6 +6,8 @@ each point in time.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,13 @@ def indexed(df: DataFrame, order: str, value: str, by: list[str] | None = None)
 
 
 def _ols(x: Column, y: Column) -> dict[str, Column]:
-    """Least squares from sums; slope and r2 are 0 without spread."""
-    n, sx, sy = F.count(y), F.sum(x), F.sum(y)
-    sxx, sxy, syy = F.sum(x * x), F.sum(x * y), F.sum(y * y)
-    dx = n * sxx - sx * sx
-    dy = n * syy - sy * sy
-    cov = n * sxy - sx * sy
-    slope = F.coalesce(F.try_divide(cov, F.nullif(dx, F.lit(0.0))), F.lit(0.0))
+    """Least squares from centred moments, which keep their digits; slope and r2 are 0 without spread."""
+    slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
+    spread = F.var_pop(y) > 0
     return {
         "slope": slope,
-        "intercept": F.coalesce(F.try_divide(sy - slope * sx, n), F.lit(0.0)),
-        "r2": F.coalesce(F.try_divide(cov * cov, F.nullif(dx * dy, F.lit(0.0))), F.lit(0.0)),
+        "intercept": F.coalesce(F.avg(y) - slope * F.avg(x), F.lit(0.0)),
+        "r2": F.coalesce(F.when(spread, F.regr_r2(y, x)), F.lit(0.0)),
     }
 
 
@@ -86,22 +84,26 @@ def moving_average(series: DataFrame, size: int = 7, by: list[str] | None = None
 def ema(series: DataFrame, alpha: float = 0.3, by: list[str] | None = None) -> DataFrame:
     """Exponential moving average that begins with the first value.
 
-    An ordered fold has no window form: each series becomes one sorted array,
-    as long as the series has points, and is folded there.
+    Weights fall by 1 - alpha with each step back, so a series is cut into
+    blocks over which they fall below what a double holds: a point needs its own
+    block's points up to it and the sum of the block before.  Only idx 0, whose
+    weight is not reduced by alpha, differs.
     """
-    points = F.sort_array(F.collect_list(F.struct("idx", "value")))
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
     keys = by or []
-    gathered = series.groupBy(*keys).agg(points.alias("p"))
-    first = F.struct(F.element_at("p", 1)["value"].alias("last"), F.array(F.element_at("p", 1)["value"]).alias("out"))
-
-    def step(state: Column, point: Column) -> Column:
-        value = point["value"] * alpha + state["last"] * (1 - alpha)
-        return F.struct(value.alias("last"), F.concat(state["out"], F.array(value)).alias("out"))
-
-    folded = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), first, step)["out"]
-    folded = F.when(F.size("p") > 1, folded).otherwise(F.array(F.element_at("p", 1)["value"]))
-    rows = gathered.select(*keys, F.inline(F.arrays_zip(F.col("p.idx").alias("idx"), F.col("p.value").alias("value"), folded.alias("ema"))))
-    return rows.select(*keys, "idx", "value", "ema")
+    keep = 1.0 - alpha
+    size = 1 if keep == 0 else max(1, math.ceil(math.log(1e-18) / math.log(keep)))
+    fall = F.pow(F.lit(keep), F.col("__at"))
+    first = F.when(F.col("idx") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    cut = series.withColumns({"__b": F.floor(F.col("idx") / size), "__at": (F.col("idx") % size).cast("double")})
+    # the point's weight at the block's start; it falls from there to the point that looks back
+    weighed = cut.withColumn("__x", first * F.col("value") / fall)
+    within = Window.partitionBy(*keys, "__b").orderBy("idx")
+    summed = weighed.withColumn("__sum", F.sum("__x").over(within) * fall)
+    ends = summed.groupBy(*keys, (F.col("__b") + 1).alias("__b")).agg(F.max_by("__sum", "idx").alias("__end"))
+    carried = F.coalesce(F.col("__end") * fall * keep, F.lit(0.0))
+    return summed.join(ends, [*keys, "__b"], "left").select(*keys, "idx", "value", (F.col("__sum") + carried).alias("ema"))
 
 
 def decompose(series: DataFrame, period: int = 7) -> DataFrame:

@@ -197,7 +197,7 @@ WITH m AS (SELECT DISTINCT id AS record, place || '|' || CAST(date AS VARCHAR) |
 SELECT a.record, count(*) AS n FROM m a JOIN m b ON a.cluster = b.cluster AND a.record <> b.record GROUP BY 1""")
 def siblings(spark, d):
     m = records(spark, d).select(F.col("id").alias("record"), F.concat_ws("|", "place", F.col("date").cast("string"), "event_type").alias("cluster"))
-    return j.siblings(m).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    return j.sibling_counts(m)
 
 
 @query("j19_corridor", f"""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,14 +14,14 @@ from ..operators import joins as j
 from ..operators import paging as pg
 from ..operators import statistics as st
 from ..operators import timeseries as ts
+from ..scratch import scratch_path
 from ..sources import files, snapshots
 from .base import alerts, daily, econ, orders, query, records, series, table, updates
 
 
 def _scratch(spark, name: str) -> str:
-    """A fresh folder below the shared one; a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quernstone-')).rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return scratch_path(spark, name)
 
 
 # --- scans and sinks: written, read back, compared with what was written
@@ -198,14 +195,20 @@ def _by_flag(spark, d, *columns: str, rename: bool = True):
     return full.select("flag", *(F.col(c).alias("v") if rename else F.col(c) for c in columns))
 
 
+def _percentile_by_flag(spark, d, share: float):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return st.percentiles(rows, "l_extendedprice", {"v": share}, ["flag"]).select("flag", F.round("v", 4).alias("v"))
+
+
 @query("d02_median", "SELECT l_returnflag AS flag, round(median(l_extendedprice), 4) AS v FROM lineitem GROUP BY 1")
 def median(spark, d):
-    return _by_flag(spark, d, "median")
+    return _percentile_by_flag(spark, d, 0.5)
 
 
 @query("d03_mode", "SELECT flag, q AS v FROM (SELECT l_returnflag AS flag, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_quantity) AS i FROM lineitem GROUP BY 1, 2) WHERE i = 1")
 def mode(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(st.mode_of("l_quantity").alias("v"))
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity")
+    return st.modes(rows, "l_quantity", ["flag"]).withColumnRenamed("mode", "v")
 
 
 @query("d04_spread", "SELECT l_returnflag AS flag, round(stddev_pop(l_quantity), 4) AS sd, round(var_pop(l_quantity), 4) AS variance FROM lineitem GROUP BY 1")
@@ -224,7 +227,7 @@ def iqr(spark, d):
 
 @query("d11_percentile", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.9), 4) AS v FROM lineitem GROUP BY 1")
 def percentile(spark, d):
-    return _by_flag(spark, d, "p90")
+    return _percentile_by_flag(spark, d, 0.9)
 
 
 @query("d14_correlation", "SELECT l_returnflag AS flag, round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem GROUP BY 1")
