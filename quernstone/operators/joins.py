@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, KM_A_DEGREE, haversine_km, in_polygon, segment_distance_m
 
-#: Rows of a small table that go to a task as one array, and such arrays at most.
-CHUNK, MOST_CHUNKS = 2_000, 16
+#: Rows of a small table that become one expression; that go to a task as one array; and such arrays at most.
+FEW, CHUNK, MOST_CHUNKS = 32, 2_000, 16
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -93,25 +93,31 @@ def grid_join(left: DataFrame, right: DataFrame, km: float, prefix: str = "r_",
     return joined.filter(F.abs(F.datediff(F.col(date), F.col(prefix + date))) <= days)
 
 
-def _chunks(table: DataFrame, order: list[str]) -> list[DataFrame]:
-    """A small table as arrays of at most ``CHUNK`` structs, each one row, which a row of the other side can hold."""
+def _least(rows: DataFrame, table: DataFrame, value) -> DataFrame:
+    """``rows`` with ``__best``: the least struct that ``value`` makes of the rows of a small table; no shuffle.
+
+    A few rows become one compiled expression, more of them arrays of at most
+    ``CHUNK`` structs; a table with more than ``MOST_CHUNKS`` of these is refused.
+    """
+    few = table.limit(FEW + 1).collect()
+    if not few:
+        return rows.withColumn("__best", F.lit(None)).limit(0)
+    if len(few) <= FEW:
+        lits = [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in table.schema)) for r in few]
+        made = [value(p) for p in lits]
+        return rows.withColumn("__best", F.least(*made) if len(made) > 1 else made[0])
     size = table.count()
-    parts = max(1, -(-size // CHUNK))
+    parts = -(-size // CHUNK)
     if parts > MOST_CHUNKS:
         raise ValueError(f"a table of {size} places is too large to be gone through for each row; join by a grid")
-    cut = F.pmod(F.xxhash64(*order), F.lit(parts))
-    rows = F.collect_list(F.struct(*table.columns)).alias("__all")
-    return [table.filter(cut == i).agg(rows) for i in range(parts)]
-
-
-def _least(rows: DataFrame, chunks: list[DataFrame], value) -> DataFrame:
-    """``rows`` with ``__best``: the least struct that ``value`` makes of the chunks' structs; no shuffle."""
-    best = None
-    for i, chunk in enumerate(chunks):
-        rows = rows.crossJoin(F.broadcast(chunk.withColumnRenamed("__all", f"__all{i}")))
+    cut = F.pmod(F.xxhash64(*table.columns), F.lit(parts))
+    best = F.lit(None)
+    for i in range(parts):
+        chunk = table.filter(cut == i).agg(F.collect_list(F.struct(*table.columns)).alias(f"__all{i}"))
+        rows = rows.crossJoin(F.broadcast(chunk))
         least = F.array_min(F.transform(f"__all{i}", value))
-        best = least if best is None else F.least(best, least)
-    return rows.withColumn("__best", best).drop(*(f"__all{i}" for i in range(len(chunks))))
+        best = least if i == 0 else F.least(best, least)
+    return rows.withColumn("__best", best).drop(*(f"__all{i}" for i in range(parts)))
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, name: str = "name", most_km: float | None = None) -> DataFrame:
@@ -123,8 +129,10 @@ def nearest(points: DataFrame, places: DataFrame, key: str, name: str = "name",
     def km(p: Column) -> Column:
         return F.struct(haversine_km(F.col("lat"), F.col("lon"), p["p_lat"], p["p_lon"]).alias("km"), p[name].alias("name"))
 
-    chunks = _chunks(places.select(name, "p_lat", "p_lon"), [name])
-    found = _least(points, chunks, km).filter("__best is not null").select(key, "__best.name", "__best.km")
+    found = _least(points, places.select(name, "p_lat", "p_lon"), km)
+    if dict(found.dtypes)["__best"] == "void":  # no places
+        return found.select(key, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("km"))
+    found = found.filter("__best is not null").select(key, "__best.name", "__best.km")
     return found if most_km is None else found.filter(F.col("km") <= most_km)
 
 
@@ -167,7 +175,7 @@ def on_route(places: DataFrame, route: list[tuple[float, float]], most_m: float,
         beyond = haversine_km(s["a"], s["b"], F.col("lat"), F.col("lon"))
         return F.struct(m.alias("m"), s["segment"].alias("segment"), (s["km_before"] + beyond).alias("km"))
 
-    found = _least(places, _chunks(segments, ["segment"]), metres).select(
+    found = _least(places, segments, metres).select(
         key, F.col("__best.m").alias("metres"), F.col("__best.segment").alias("segment"), F.col("__best.km").alias("km_along")
     )
     return found.filter(F.col("metres") <= most_m)

@@ -36,8 +36,10 @@ def test_grid_join_anywhere(spark, lat, lon, km):
     assert got.count() == len(want)
 
 
-def test_nearest_in_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [5, 50])
+def test_nearest_in_chunks(spark, monkeypatch, few):
     monkeypatch.setattr(joins, "CHUNK", 7)
+    monkeypatch.setattr(joins, "FEW", few)
     rnd = random.Random(2)
     points = [(i, rnd.uniform(30, 33), rnd.uniform(34, 36)) for i in range(60)]
     places = [(f"p{i}", rnd.uniform(30, 33), rnd.uniform(34, 36)) for i in range(40)] + [("twin", 31.0, 35.0), ("a twin", 31.0, 35.0)]
@@ -46,6 +48,7 @@ def test_nearest_in_chunks(spark, monkeypatch):
     assert got == {i: min((km_apart(a, b, c, d), n) for n, c, d in places)[1] for i, a, b in points}
     assert joins.nearest(df, small.limit(0), "id").count() == 0
     monkeypatch.setattr(joins, "MOST_CHUNKS", 2)
+    monkeypatch.setattr(joins, "FEW", 5)
     with pytest.raises(ValueError):
         joins.nearest(df, small, "id")
 
