@@ -35,7 +35,7 @@ PIVOTS, SAMPLE = 24, 1_024
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 8_192
 #: Blocks of queries whose ranges a task holds.
 MEETING = 256
-#: Candidates that a query evaluates before it looks at its bound again.
+#: Candidates that a query evaluates before it looks at its bound again; then twice as many.
 STEP = 64
 SCALE = 256
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -135,8 +135,10 @@ def best_of_block(
     """
     order = np.argsort(ids, kind="stable")
     ids, x, far = ids[order], x[order], far[order]
-    with np.errstate(over="ignore"):
-        q2, x2 = ((_integers(m) ** 2).sum(1) for m in (q, x))
+    whole_q, whole_x = _integers(q), _integers(x)
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2, x2 = ((m**2).sum(1) for m in (whole_q, whole_x))
+        plain = np.abs(whole_q).max(initial=0.0) * np.abs(whole_x).max(initial=0.0) * q.shape[1] < 2.0**53
     farthest = far.max(1, initial=0.0)
     out: list[tuple[int, int, int]] = []
     for i in range(len(q)):
@@ -149,11 +151,13 @@ def best_of_block(
         able = np.flatnonzero(bound >= _needed(least))
         able = able[np.argsort(-bound[able], kind="stable")]
         best: list[tuple[int, int]] = []  # (-score, candidate)
-        for start in range(0, len(able), STEP):
-            part = able[start : start + STEP]
+        start, step = 0, STEP
+        while start < len(able):
+            part = able[start : start + step]
             if bound[part[0]] < _needed(least):
                 break
-            score = _scores(q[i : i + 1], x[part])[0]
+            start, step = start + step, 2 * step
+            score = (whole_x[part] @ whole_q[i]).astype(np.int64) if plain else _scores(q[i : i + 1], x[part])[0]
             use = ids[part] != q_ids[i]
             if least is not None:
                 use &= (score >= least).astype(bool)
@@ -229,7 +233,13 @@ def top_k(
     table = staged(rows.mapInArrow(tabulate, kinds), "pivot-table")
 
     def dealt(members: DataFrame, size: int) -> DataFrame:
-        """``members`` with their block: a part of those with one nearest pivot, which are few cells."""
+        """``members`` with their block: a part of those with one nearest pivot, which are few cells.
+
+        Where all of them are fewer than a block for each cell, cells share blocks.
+        """
+        blocks = max(1, -(-members.count() // size))
+        if blocks <= len(pivots):
+            members = members.withColumn("cell", F.pmod("cell", F.lit(blocks)))
         cells = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
         # rows that repeat an id do not share a block for that
         at = F.concat_ws("-", "cell", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts")))
