@@ -33,7 +33,7 @@ STRETCH = 2_048
 #: The last words of a text, up to so many bytes, are measured more finely, as
 #: whole bytes are too coarse for a few words: also at a slower level, from
 #: several words on, and with parts of the dictionaries.
-TAIL, ENDINGS, PARTS = 256, 3, 4
+TAIL, ENDINGS, PARTS = 256, 2, 3
 #: A smaller relative margin rejects a text.  Measured on held-out texts: 0.5 % of
 #: those in a learned language are below 0.033, and of those in a language that
 #: was left out of the model half are below 0.003 to 0.009 and 90 % below 0.03.

@@ -60,12 +60,12 @@ def naive_sizes(data, dictionaries):
     if at and b" " in data[at:-1]:
         at = data.index(b" ", at) + 1
     words = data[at:].split(b" ")
-    step = -(-len(words) // 3)
+    step = -(-len(words) // 2)
     ends = [b" ".join(words[i:]) for i in range(0, len(words), step)]
     out = []
     for d in dictionaries:
-        quarter = -(-len(d) // 4)
-        bank = [(d, 7, 4), (d, 12, 3), *((d[i : i + quarter].ljust(8), 12, 3) for i in range(0, len(d), quarter))]
+        third = -(-len(d) // 3)
+        bank = [(d, 7, 4), (d, 12, 3), *((d[i : i + third].ljust(8), 12, 3) for i in range(0, len(d), third))]
         fine = [size(*b, e) / len(e) for b in bank for e in ends]
         weight = [len(e) for _ in bank for e in ends]
         tail = sum(f * w for f, w in zip(fine, weight)) / sum(weight) * (len(data) - at)
