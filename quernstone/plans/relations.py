@@ -518,19 +518,23 @@ def gateways(spark, d):
     return g.join(live, "key", "left").groupBy("city").agg(F.count(F.when(F.col("status") == "closed", 1)).alias("closed"), F.array_join(F.array_sort(F.collect_list(text)), ", ").alias("advisory"))
 
 
-@query("x16_parse_statuses")
+@query("x16_parse_statuses", """
+SELECT id, lower(key) AS name, CASE WHEN contains(r, 'inbound') THEN 'inbound' WHEN contains(r, 'outbound') THEN 'outbound' ELSE 'both' END AS direction,
+ CASE WHEN contains(r, 'open') THEN 'open' WHEN contains(r, 'closed') THEN 'closed' WHEN contains(r, 'congested') THEN 'congested' WHEN contains(r, 'idf') THEN 'idf' WHEN contains(r, 'inspection') THEN 'inspection' END AS status
+FROM (SELECT id, key, lower(status || ' ' || direction) AS r FROM v_updates) WHERE regexp_matches(r, 'open|closed|congested|idf|inspection')""")
 def parse_statuses(spark, d):
     messages = updates(spark, d).select("id", F.concat(F.col("key"), F.lit(": "), F.col("status"), F.lit(" "), F.col("direction"), F.lit("\n"), F.lit("hello there")).alias("text"))
     words = {"open": "open", "closed": "closed", "congested": "congested", "idf": "idf", "inspection": "inspection"}
     return ru.parse_statuses(messages, "id", "text", words, {"inbound": "inbound", "outbound": "outbound"})
 
 
-@query("x01_normalised_names")
+@query("x01_normalised_names", """
+SELECT DISTINCT trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(p_name)), '[''’‘`]', '', 'g'), '[-_/.,()]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM part""")
 def normalised_names(spark, d):
     return table(spark, d, "part").select(tx.normalised_name(F.col("p_name")).alias("name")).distinct()
 
 
-@query("x11_longest_matches")
+@query("x11_longest_matches", "SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:GNU General Public License|Apache License|MIT License|License|Apache)\\b')) AS name FROM documents")
 def longest_matches(spark, d):
     found = ru.longest_matches(F.col("text"), ["Apache License", "Apache", "MIT License", "GNU General Public License", "License"])
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("name"))
@@ -544,7 +548,7 @@ def route_dedup(spark, d):
     return idn.greedy_route_dedup(rows, "route").select("route", "id", "name")
 
 
-@query("g09_polyline")
+@query("g09_polyline", "SELECT * FROM (VALUES ('_izlhA~rlgdF_{geC~ywl@_kwzCn`{nI', 3), ('', 0), (NULL, NULL)) v(p, points)")
 def polyline(spark, d):
     from ..functions.geo import decoded_polyline
 

@@ -36,10 +36,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release_scratch(keep: int = 0) -> None:
-    """Delete all paths handed out in this driver after the first ``keep``."""
-    while len(_used) > keep:
-        spark, path = _used.pop()
+def scratch_count() -> int:
+    return len(_used)
+
+
+def release_scratch(first: int = 0, last: int | None = None) -> None:
+    """Delete the paths handed out in this driver, or those from ``first`` up to before ``last``."""
+    gone = _used[first:last]
+    del _used[first:last]
+    for spark, path in reversed(gone):
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
