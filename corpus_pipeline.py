@@ -13,7 +13,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import bpe_codec, exact_dedup, language_id, mixing, near_dedup
-from quernstone.llm.base import staged
+from quernstone.llm.base import staged_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,8 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each but the last written and read again."""
+    """All stages over the documents of ``sf_dir``, each but the last written and read again.
+
+    What a stage wrote for itself is deleted when its output is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = staged_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

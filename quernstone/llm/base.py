@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is set.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path
+from ..scratch import release_scratch, scratch_count, scratch_path
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -35,26 +18,22 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     until ``release_stages`` or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_stages() -> None:
     """Delete all tables written by ``staged`` in this driver."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = spark.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the session may be gone already
-            return
-
-
-atexit.register(release_stages)
+    release_scratch()
+
+
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``staged`` of what ``make`` returns, without the tables that were written for it."""
+    first = scratch_count()
+    made = staged(make(), name)
+    release_scratch(first, scratch_count() - 1)
+    return made
 
 
 def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:

@@ -14,7 +14,6 @@ document's end, unless one document alone is larger than a block should be.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .base import bounded_batches, shared_dir, staged
+from ..scratch import scratch_path
+from .base import bounded_batches, staged
 from .piece_table import JoinedEncoder, PieceTable, slices
 from .token_counts import _load_json
 
@@ -232,6 +232,6 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None
     """Write the file set (into the shared folder, if ``path`` is None) and read it."""
     spark = docs.sparkSession
     if path is None:
-        path = f"{shared_dir(spark).rstrip('/')}/quernstone/token-files-{uuid.uuid4().hex}"
+        path = scratch_path(spark, "token-files")  # deleted at the end of the driver
     write(docs, tokenizer_path, path, **options)
     return read(spark, path)
