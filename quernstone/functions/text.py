@@ -95,6 +95,12 @@ def plausible_count(text: Column, words: str, most: int = 500) -> Column:
     return F.array_max(F.filter(numbers_before(western_digits(text), words), lambda x: x.between(1, most)))
 
 
+def csv_line(*fields: Column) -> Column:
+    """A line of quoted fields: quotes doubled, line feeds as blanks, NULL as the empty text."""
+    plain = (F.replace(F.replace(F.coalesce(f.cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')) for f in fields)
+    return F.concat(F.lit('"'), F.concat_ws('","', *plain), F.lit('"'))
+
+
 def fold_arabic(text: Column) -> Column:
     """Without diacritics and tatweel; variants of alef, ta marbuta and alef maqsura folded."""
     bare = F.regexp_replace(text, "[\\x{064B}-\\x{0652}\\x{0670}\\x{0640}]", "")

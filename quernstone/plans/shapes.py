@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ..operators import paging as pg
 from ..operators import statistics as st
 from ..operators import timeseries as ts
 from ..scratch import scratch_path
-from ..sources import files, snapshots
+from ..sources import files, snapshots, workbooks
 from .base import alerts, daily, econ, orders, query, records, series, table, updates
 
 
@@ -68,6 +69,26 @@ def csv_source(spark, d):
     return files.read_csv(spark, path, table(spark, d, "documents").select("doc_id", "text").schema).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
+@query("s07_workbook_source", """
+SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 2) AS price, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority || ' & <' || o_orderstatus || '>' END AS note FROM orders""")
+def workbook_source(spark, d):
+    note = F.when(F.col("o_orderkey") % 7 > 0, F.concat("o_orderpriority", F.lit(" & <"), "o_orderstatus", F.lit(">")))
+    serial = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), serial.alias("date"), F.col("o_totalprice").cast("double").alias("price"), note.alias("note"))
+
+    def book(group: pd.DataFrame) -> pd.DataFrame:
+        found = [(int(k), int(day), float(p), n) for k, day, p, n in zip(group["k"], group["date"], group["price"], group["note"])]
+        return pd.DataFrame({"path": [f"{group['k'].iloc[0]}.xlsx"], "content": [workbooks.workbook(["k", "date", "price", "note"], found)]})
+
+    # a workbook for each thousand keys
+    books = rows.groupBy(F.floor(F.col("k") / 1000).alias("book")).applyInPandas(book, "path string, content binary")
+    cell = lambda c: F.col("cells").getItem(c)
+    return workbooks.sheets_of(books).select(
+        cell("k").cast("bigint").alias("k"), dates.excel_date(cell("date").cast("double")).alias("date"),
+        F.round(cell("price").cast("double"), 2).alias("price"), cell("note").alias("note"),
+    )
+
+
 @query("s08_geojson_source", "SELECT round(lat, 4) AS lat, round(lon, 4) AS lon FROM (SELECT DISTINCT lat, lon FROM v_records)")
 def geojson_source(spark, d):
     path = _scratch(spark, "geojson")
@@ -373,9 +394,14 @@ def set_difference(spark, d):
 # --- text
 
 
-@query("x02_fold_arabic", "SELECT 'احمد' AS folded, count(*) AS n FROM region")
+#: Spellings and what they fold to.
+SPELLINGS = [("أَحْمَد", "احمد"), ("إبراهيم", "ابراهيم"), ("آمنة", "امنه"), ("مصطفى", "مصطفي"), ("مدرســـة", "مدرسه"), ("ٱلقدس", "القدس"), ("هٰذا", "هذا"), ("حاجز", "حاجز")]
+
+
+@query("x02_fold_arabic", f"SELECT c_custkey AS k, ([{', '.join(f"'{y}'" for _, y in SPELLINGS)}])[c_custkey % {len(SPELLINGS)} + 1] || ' ' || c_name AS folded FROM customer")
 def fold_arabic(spark, d):
-    return table(spark, d, "region").select(text.fold_arabic(F.lit("أَحْمَد")).alias("folded")).groupBy("folded").agg(F.count(F.lit(1)).alias("n"))
+    written = F.element_at(F.array(*(F.lit(x) for x, _ in SPELLINGS)), (F.col("c_custkey") % len(SPELLINGS) + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), text.fold_arabic(F.concat_ws(" ", written, "c_name")).alias("folded"))
 
 
 @query("x03_name_candidates", """
@@ -391,9 +417,9 @@ def topic_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(labels, ",").alias("topics"))
 
 
-@query("x19_csv_quoting", "SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) || ',' || n_name AS line FROM nation")
+@query("x19_csv_quoting", """SELECT doc_id, '"' || doc_id || '","' || replace(replace(coalesce(source, ''), chr(10), ' '), '"', '""') || '","' || replace(replace(coalesce(text, ''), chr(10), ' '), '"', '""') || '"' AS line FROM documents""")
 def csv_quoting(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.to_csv(F.struct("n_nationkey", "n_name")).alias("line"))
+    return table(spark, d, "documents").select("doc_id", text.csv_line(F.col("doc_id"), F.col("source"), F.col("text")).alias("line"))
 
 
 @query("x20_simple_hash", "SELECT count(DISTINCT n_name) AS n FROM nation")

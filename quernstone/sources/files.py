@@ -1,8 +1,7 @@
-"""File sources and sinks: JSON, CSV, sheets, GeoJSON, feeds, chunks, exports."""
+"""File sources and sinks: JSON, CSV, GeoJSON, feeds, chunks, exports."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +31,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet of a workbook as text columns; needs pandas' reader for the format."""
-    frame = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
-
-
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(properties as JSON text, kind, lat, lon): points as they are, lines at their
     middle vertex, polygons at the mean of their outer ring."""

@@ -1,11 +1,14 @@
 """Files in and out."""
 
+import io
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.sources import files, normalise, snapshots
+from quernstone.functions import text as tx
+from quernstone.sources import files, normalise, snapshots, workbooks
 
 
 def test_json_shapes(spark, tmp_path):
@@ -74,3 +77,39 @@ def test_normalise(spark):
     df = spark.createDataFrame([("", "5,000", "2024"), ("b", "n/a", "x")], "alt string, n string, d string")
     got = normalise.normalised(df, {"name": ("name", "alt"), "count": ("n",), "date": ("d",), "none": ("zz",)}, ("count",), ("date",)).collect()
     assert [(r.name, r["count"], str(r.date), r.none) for r in got] == [(None, 5000.0, "2024-01-01", None), ("b", None, "None", None)]
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [("x & <y>", 45292, 1.5), (None, None, None), (" two\nlines", None, -2)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xlsx").write_bytes(workbooks.workbook(["note", "date", "note", None, "last"], [(*r, "unnamed", name) for r in rows]))
+    (tmp_path / "other.txt").write_text("no workbook")
+    got = workbooks.read_workbooks(spark, str(tmp_path)).orderBy("path", "row").collect()
+    assert [r.row for r in got] == [1, 2, 3] * 2
+    assert got[0].cells == {"note": "x & <y>", "date": "45292", "note_1": "1.5", "__EMPTY": "unnamed", "last": "a"}
+    assert got[1].cells == {"note": None, "date": None, "note_1": None, "__EMPTY": "unnamed", "last": "a"}
+    assert got[5].cells["note"] == " two\nlines" and got[5].cells["date"] is None
+    assert workbooks.read_workbooks(spark, str(tmp_path), "Sheet1").count() == 6
+
+
+def test_workbook_cells():
+    book = workbooks.workbook(["a", "b"], [("1", 2)])
+    parts = {}
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = (
+        '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row/>'
+        '<row><c t="inlineStr"><is><r><t>na</t></r><r><t>me</t></r></is></c><c r="AB2" t="str"><v>far</v></c></row><row/>'
+        '<row><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c><c r="AB4"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>'
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, content in parts.items():
+            z.writestr(n, content)
+    (row,) = workbooks.sheet_records(out.getvalue())
+    assert (row["name"], row["__EMPTY"], row["far"], len(row)) == ("true", None, "2", 28)
+
+
+def test_csv_line(spark):
+    df = spark.createDataFrame([('a "b",\nc', None)], "x string, y int")
+    assert df.select(tx.csv_line(F.col("x"), F.col("y")).alias("l")).first().l == '"a ""b"", c",""'
