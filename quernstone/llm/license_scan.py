@@ -3,8 +3,8 @@
 Words that occur once in a template and once in a text anchor an alignment: the
 longest run of anchors that rise in both is kept, and the gaps between
 neighbouring anchors are aligned in the same way, with what is unique inside
-them.  Where a gap has no such words, its equal words from either end are
-matched.  The coverage is the share of a template's words that are aligned.
+them.  Equal words at either end of a gap are matched first; a gap without such
+anchors is aligned by its longest common subsequence.  The coverage is the share of a template's words that are aligned.
 
 Words that tell licenses apart (names, versions, variants such as NC or Lesser)
 must agree: a short template is found only where all of its own are aligned and
@@ -112,6 +112,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         anchors = rising([(i, place[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in place])
         if not anchors:
+            # no word is unique to both: the longest common run, as the longest that rises among all equal pairs
+            places: dict[str, list[int]] = {}
+            for j in range(b1 - 1, b0 - 1, -1):
+                places.setdefault(b[j], []).append(j)
+            done += rising([(i, j) for i in range(a0, a1) for j in places.get(a[i], ())])
             continue
         done += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]

@@ -303,6 +303,52 @@ def test_rising():
         assert len(license_scan.rising(list(enumerate(bs)))) == brute_longest(list(enumerate(bs)))
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def edited(rnd, words, vocabulary):
+    copy = [w for w in words if rnd.random() > 0.08]
+    for _ in range(rnd.randrange(3)):
+        copy.insert(rnd.randrange(len(copy) + 1), rnd.choice(vocabulary))
+    return copy
+
+
+def test_license_finds_equal_longest_common_subsequences():
+    """Few and many repeated words: what is found reaches the coverage, and what reaches it is found."""
+    rnd = random.Random(11)
+    found = missed = 0
+    for size in (4, 10, 26) * 200:
+        vocabulary = [f"w{chr(97 + i)}" for i in range(size)]
+        template = [rnd.choice(vocabulary) for _ in range(rnd.randrange(1, license_scan.LINE + 1))]
+        text = [rnd.choice(vocabulary) for _ in range(rnd.randrange(30))]
+        for _ in range(rnd.randrange(3)):
+            at = rnd.randrange(len(text) + 1)
+            text[at:at] = edited(rnd, template, vocabulary)
+        got = license_scan.Scanner((("T", " ".join(template)),)).scan(" ".join(text))
+        window = int(len(template) * license_scan.SLACK)
+        best = max((longest_common(template, text[i : i + window]) for i in range(len(text))), default=0) / len(template)
+        assert all(f[1] <= longest_common(template, text) / len(template) + 1e-4 for f in got)
+        if best >= license_scan.COVERAGE:
+            found, missed = found + bool(got), missed + (not got)
+    assert found > 300 and missed <= found / 100
+
+
+def test_license_scan_equals_plain_scanner(spark):
+    """The query's rows are those of every document scanned on its own, whole and in order of the templates."""
+    rows = [(i, f"Chapter {i}. {notice}\n" * (i % 3 + 1)) for i, (_, notice) in enumerate(license_scan.default_templates()[::40])]
+    scanner = license_scan.Scanner(license_scan.default_templates())
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        want = scanner.scan(rows[r.doc_id][1])
+        assert [(s.license, s.start, s.end) for s in r.spans] == [(n, a, b) for n, _, a, b in want]
+        assert r.n_finds == len(want) and set(r.licenses) == {f[0] for f in want}
+
+
 def test_license_scan(spark):
     gpl = license_scan.TEMPLATES["GPL-3.0"]
     rows = [
