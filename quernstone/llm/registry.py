@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, bpe_heap, chat_format, exact_dedup, language_id, license_scan, mixing, pivot_search, simhash, token_counts, token_files
+from . import bpe_codec, bpe_heap, chat_format, exact_dedup, language_id, license_scan, mixing, pivot_search, simhash, token_counts, token_files, whitening
 from .base import table
 
 
@@ -54,6 +54,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_heap.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op11_whitening": op11_whitening,
     "op13_bpe": op13_bpe,
 }
 
