@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe_codec, bpe_heap, chat_format, exact_dedup, language_id, license_scan, mixing, pivot_search, simhash, token_counts, token_files, whitening
+from . import bpe_codec, bpe_heap, chat_format, collocations, exact_dedup, language_id, license_scan, mixing, pivot_search, simhash, token_counts, token_files, whitening
 from .base import table
 
 
@@ -58,6 +58,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_heap.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
 
@@ -82,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_pivot_search": pivot_search.OP3_SQL,
     "op4_perspectives": chat_format.OP4_SQL,
     "op10_source_mix": mixing.OP10_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
