@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
-_used: list[tuple[SparkSession, str]] = []
+Owned = list[tuple[SparkSession, str]]
+_driver: Owned = []
+#: What the current thread or task of the driver has asked for; other threads do not see it.
+_owner: ContextVar[Owned | None] = ContextVar("scratch_owner", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,26 +36,51 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below it of its own, which is deleted at the end of the driver."""
+    """A path below it of its own, deleted with its scope or at the end of the driver."""
     path = f"{shared_folder(spark).rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
-    _used.append((spark, path))
+    owner = _owner.get()
+    (_driver if owner is None else owner).append((spark, path))
     return path
 
 
-def scratch_count() -> int:
-    return len(_used)
-
-
-def release_scratch(first: int = 0, last: int | None = None) -> None:
-    """Delete the paths handed out in this driver, or those from ``first`` up to before ``last``."""
-    gone = _used[first:last]
-    del _used[first:last]
-    for spark, path in reversed(gone):
+def _release(owned: Owned) -> None:
+    """Delete these paths; one that cannot be deleted keeps none of the others."""
+    while owned:
+        spark, path = owned.pop()
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may be gone already
-            return
+            continue
+
+
+@contextmanager
+def _owned_by(owned: Owned | None) -> Iterator[None]:
+    token = _owner.set(owned)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[Callable]:
+    """Paths asked for inside, by this thread, are deleted at the end, also after an error.
+
+    It gives a context in which paths belong to whatever is around the scope.
+    """
+    owned: Owned = []
+    outside = _owner.get()
+    try:
+        with _owned_by(owned):
+            yield lambda: _owned_by(outside)
+    finally:
+        _release(owned)
+
+
+def release_scratch() -> None:
+    """Delete the paths that belong to the driver."""
+    _release(_driver)
 
 
 atexit.register(release_scratch)
