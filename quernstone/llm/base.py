@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import release_scratch, scratch_count, scratch_path
+from ..scratch import release_scratch, scratch_path, scratch_scope
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -30,10 +30,10 @@ def release_stages() -> None:
 
 def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``staged`` of what ``make`` returns, without the tables that were written for it."""
-    first = scratch_count()
-    made = staged(make(), name)
-    release_scratch(first, scratch_count() - 1)
-    return made
+    with scratch_scope() as outside:
+        df = make()
+        with outside():
+            return staged(df, name)
 
 
 def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:
