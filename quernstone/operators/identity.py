@@ -114,20 +114,28 @@ def near_duplicates(messages: DataFrame, key: str, text: str, time: str, seconds
     """(key, other, similarity) of messages whose words overlap one of the newest before them.
 
     Only the ``most`` newest within ``seconds`` before a message are compared,
-    as the definition has it.  Messages of fewer characters never match.  Pairs
-    carry sizes at first, and words, as 64-bit hashes, only where these allow for
-    the similarity.
+    as the definition has it.  Messages of fewer characters never match.
+    """
+    pairs = _newest_before(messages, key, time, seconds, most).withColumnRenamed(f"r_{key}", "other")
+    return similar_pairs(pairs, messages, key, text, least_chars, threshold)
+
+
+def similar_pairs(pairs: DataFrame, messages: DataFrame, key: str, text: str, least_chars: int = 15, threshold: float = 0.6) -> DataFrame:
+    """(key, other, similarity) of those of ``pairs`` (key, other) whose messages' words overlap by more than ``threshold``.
+
+    Pairs carry sizes at first, and words, as 64-bit hashes, only where these allow
+    for the similarity.
     """
     prints = message_fingerprint(F.col(text))
     words = F.transform(word_set(F.col("__f")), lambda w: F.xxhash64(w))
     base = messages.select(F.col(key), prints.alias("__f")).filter(F.length("__f") >= least_chars).select(key, words.alias("__w"))
     sizes = base.select(key, F.size("__w").alias("__n"))
-    other = lambda df: df.select(*(F.col(c).alias(f"r_{c}") for c in df.columns))
-    probed = _newest_before(messages, key, time, seconds, most).join(sizes, key).join(other(sizes), f"r_{key}")
+    other = lambda df: df.select(*(F.col(c).alias("other" if c == key else f"r_{c}") for c in df.columns))
+    probed = pairs.join(sizes, key).join(other(sizes), "other")
     able = F.least("__n", "r___n") > threshold * F.greatest("__n", "r___n") - 1e-4
-    probed = probed.filter(able).select(key, f"r_{key}").join(base, key).join(other(base), f"r_{key}")
+    probed = probed.filter(able).select(key, "other").join(base, key).join(other(base), "other")
     similar = F.round(jaccard(F.col("__w"), F.col("r___w")), 4)
-    return probed.withColumn("similarity", similar).filter(F.col("similarity") > threshold).select(key, F.col(f"r_{key}").alias("other"), "similarity")
+    return probed.withColumn("similarity", similar).filter(F.col("similarity") > threshold).select(key, "other", "similarity")
 
 
 def coverage(used: DataFrame, registry: DataFrame, name: str) -> DataFrame:
