@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import bounded_batches, staged
@@ -38,8 +38,8 @@ COUNTERS = 1 << 20
 HOT = 500
 #: Bytes of text that are cut at once.
 SLICE_BYTES = 8_000_000
-#: Parts of a language that are ranked before the language is.
-RANK_PARTS = 64
+#: Scores, from 0 to 1,000,000, are ranked in stretches of so many: 201 at most.
+STRETCH = 5_000
 
 _break = "."
 _pieces = r"[.,;:!?\n\x0b\x0c\r]"
@@ -333,12 +333,24 @@ def collocations(
     often = frequent.filter(F.col("f") * HOT > everything).limit(HOT).collect()
     hot = {(r.lang, r.word): -(-r.f * HOT // everything) for r in often}
     candidates = staged(mined(bundles(rows, counters(frequent), hot), min_count), "collocation-candidates")
-    best = not_absorbed(scored(candidates, frequent), candidates)
-    order = "order by score desc, a desc, phrase"
-    part = f"row_number() over (partition by lang, pmod(xxhash64(phrase), {RANK_PARTS}) {order})"
-    best = best.withColumn("rank", F.expr(part)).filter(F.col("rank") <= top)
-    best = best.withColumn("rank", F.expr(f"row_number() over (partition by lang {order})")).filter(F.col("rank") <= top)
-    return best.join(sizes, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = staged(not_absorbed(scored(candidates, frequent), candidates), "collocation-scored")
+    return _top(best, top).join(sizes, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _top(best: DataFrame, top: int) -> DataFrame:
+    """Each language's ``top`` rows of ``best`` with their rank.
+
+    A language is ranked in stretches of scores: how many rows the better ones
+    have is known from their counts, and those beyond ``top`` are left out first.
+    """
+    best = best.withColumn("stretch", F.expr(f"score div {STRETCH}"))
+    better = Window.partitionBy("lang").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = best.groupBy("lang", "stretch").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(better), F.lit(0))).filter(F.col("before") < top)
+    order = Window.partitionBy("lang", "stretch").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    near = best.join(counts.select("lang", "stretch", "before"), ["lang", "stretch"])
+    near = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top)
+    return near.withColumn("rank", F.col("before") + F.col("nth")).filter(F.col("rank") <= top)
 
 
 OP12_SQL = rf"""
