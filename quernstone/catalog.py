@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, analytics, read_api, relations, shapes, streams
+from .plans import aggregates, analytics, keyed, read_api, relations, shapes, streams
 from .plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "analytics", "read_api", "relations", "shapes", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "analytics", "keyed", "read_api", "relations", "shapes", "streams"]

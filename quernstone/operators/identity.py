@@ -83,13 +83,17 @@ def collisions(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def resolve(df: DataFrame, key: str, fields: list[str], created: str, id_col: str) -> DataFrame:
-    """Keeper of each key: the most complete row, then the earliest, then the smallest id."""
+def resolve(df: DataFrame, key: str, fields: list[str], created: str, id_col: str, attributions: str | None = None) -> DataFrame:
+    """Keeper of each key: the most complete row, then the earliest, then the smallest id.
+
+    ``attributions`` names a column of datasets; the keeper gets those of all its rows, each once.
+    """
     complete = sum((F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), 1).otherwise(0) for f in fields), F.lit(0))
     scored = df.filter(F.col(key).isNotNull()).withColumn("__score", complete)
     best = F.min_by(F.struct(id_col, "__score"), F.struct(-F.col("__score"), F.col(created), F.col(id_col))).alias("__b")
-    return scored.groupBy(key).agg(best, F.count(F.lit(1)).alias("merged")).select(
-        key, F.col(f"__b.{id_col}").alias("keeper"), F.col("__b.__score").alias("completeness"), "merged"
+    merged = [F.array_sort(F.collect_set(attributions)).alias(attributions)] if attributions else []
+    return scored.groupBy(key).agg(best, F.count(F.lit(1)).alias("merged"), *merged).select(
+        key, F.col(f"__b.{id_col}").alias("keeper"), F.col("__b.__score").alias("completeness"), "merged", *([attributions] if attributions else [])
     )
 
 

@@ -311,17 +311,13 @@ _SCORE = "1 + CASE WHEN age IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN segment IS
 
 
 @query("u13_resolution", f"""
-WITH s AS (SELECT name AS key, id, created, {_SCORE} AS score FROM v_entities), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, created, id) AS i, count(*) OVER (PARTITION BY key) AS merged FROM s)
-SELECT key, id AS keeper, CAST(score AS INTEGER) AS completeness, merged FROM r WHERE i = 1""")
+WITH s AS (SELECT name AS key, id, created, {_SCORE} AS score FROM v_entities), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, created, id) AS i, count(*) OVER (PARTITION BY key) AS merged FROM s),
+a AS (SELECT name AS key, string_agg(DISTINCT 'ds' || CAST(id % 3 AS VARCHAR), ',' ORDER BY 'ds' || CAST(id % 3 AS VARCHAR)) AS attributions FROM v_entities GROUP BY 1)
+SELECT key, id AS keeper, CAST(score AS INTEGER) AS completeness, merged, attributions FROM r JOIN a USING (key) WHERE i = 1""")
 def resolution(spark, d):
-    rows = entities(spark, d).withColumn("key", F.col("name"))
-    return idn.resolve(rows, "key", ["name", "age", "segment", "sex"], "created", "id")
-
-
-@query("u12_entity_upsert", """
-SELECT name, max(age) AS age, array_to_string(list_sort(list(DISTINCT segment)), ',') AS attributions, count(*) AS n FROM v_entities WHERE name IS NOT NULL GROUP BY name""")
-def entity_upsert(spark, d):
-    return entities(spark, d).groupBy("name").agg(F.max("age").alias("age"), F.nullif(F.array_join(F.array_sort(F.collect_set("segment")), ","), F.lit("")).alias("attributions"), F.count(F.lit(1)).alias("n"))
+    rows = entities(spark, d).withColumns({"key": F.col("name"), "attributions": F.concat(F.lit("ds"), (F.col("id") % 3).cast("string"))})
+    kept = idn.resolve(rows, "key", ["name", "age", "segment", "sex"], "created", "id", "attributions")
+    return kept.withColumn("attributions", F.array_join("attributions", ","))
 
 
 @query("u14_message_dedupe", "SELECT conv_id, turn, count(*) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY 1, 2")
@@ -350,13 +346,6 @@ def coverage(spark, d):
     return idn.coverage(used, known, "source")
 
 
-@query("u19_canonical_merge", """
-WITH m AS (SELECT CASE WHEN key = 'cp1' THEN 'cp2' ELSE key END AS key, direction, status, ts, id FROM v_updates) SELECT key, direction, count(*) AS n, max(ts) AS latest FROM m GROUP BY 1, 2""")
-def canonical_merge(spark, d):
-    renamed = updates(spark, d).withColumn("key", ru.mapped(F.col("key"), {"cp1": "cp2"}))
-    return renamed.groupBy("key", "direction").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
-
-
 @query("u20_archive", """
 WITH e AS (SELECT doc_id, source, n_chars FROM documents WHERE source = 'src0'), f AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS i FROM documents)
 SELECT doc_id, source FROM e UNION ALL SELECT doc_id, source FROM f WHERE i = 1 AND n_chars NOT IN (SELECT n_chars FROM e)""")
@@ -415,14 +404,6 @@ def tumbling(spark, d):
     return alerts(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "type", "n")
 
 
-@query("r16_corrections", """
-WITH c AS (SELECT id, status, ts FROM v_alerts UNION ALL SELECT id, 'corrected', ts + INTERVAL 1 HOUR FROM v_alerts WHERE k = 9) SELECT id, arg_max(status, ts) AS status FROM c GROUP BY id""")
-def corrections(spark, d):
-    a = alerts(spark, d)
-    c = a.filter("k = 9").select("id", F.lit("corrected").alias("status"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"))
-    return a.select("id", "status", "ts").unionAll(c).groupBy("id").agg(F.max_by("status", "ts").alias("status"))
-
-
 @query("r19_entities", """
 SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN type = 'error' THEN 'killed' END, CASE WHEN type = 'click' THEN 'injured' END, CASE WHEN severity = 'critical' THEN 'structure' END], lambda x: x IS NOT NULL)) AS kind FROM v_alerts) GROUP BY 1""")
 def extracted_entities(spark, d):

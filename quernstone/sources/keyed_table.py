@@ -138,6 +138,19 @@ class KeyedTable:
                     old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n:012d}")
                     old.getFileSystem(conf).delete(old, True)
 
+    def rename(self, batch: int, names: DataFrame, order: str | Column) -> bool:
+        """Apply as batch ``batch``: the rows of old keys go to new ones, whose rows they are folded into.
+
+        ``names`` has the keys and, as ``to_<key>``, the new ones.  Columns should
+        fold alike in any order, as ``max`` of (time, value) does.
+        """
+        moved = self.read(batch - 1).join(names, self.keys)
+        op = F.explode(F.array(F.lit(REMOVE), F.lit(PUT))).alias("__op")
+        both = moved.select(*self.keys, *(f"to_{k}" for k in self.keys), *self.rules, op)
+        put = F.col("__op") == PUT
+        keys = {k: F.when(put, F.col(f"to_{k}")).otherwise(F.col(k)) for k in self.keys}
+        return self.apply(batch, both.withColumns(keys), order, "__op")
+
     def feed(self, before: int | None, after: int | None = None) -> DataFrame:
         """(keys, change, old, new) of the keys that differ between two batches; None is before all."""
         now = self.read(after)
