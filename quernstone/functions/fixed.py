@@ -102,3 +102,50 @@ STATUS_PENALTIES = {
 STATUS_SEVERITY = (
     "open", "clear", "partial", "unknown", "inspection", "police", "slow", "congested", "idf", "crisis", "closed",
 )
+
+# How road statuses are written in messages.
+STATUS_WORDS = {
+    "سالك": "open", "سالكه": "open", "سالكة": "open", "سالكين": "open", "مفتوح": "open", "مفتوحه": "open",
+    "مفتوحة": "open", "مفتوحين": "open", "فاتح": "open", "فاتحه": "open", "فاتحة": "open", "فتح": "open",
+    "مغلق": "closed", "مغلقه": "closed", "مغلقة": "closed", "مغلقين": "closed", "مقفل": "closed", "مقفله": "closed",
+    "مسكر": "closed", "مسكره": "closed", "موقوف": "closed", "موقف": "closed", "مسدود": "closed", "مسدوده": "closed",
+    "زحمه": "congested", "زحمة": "congested", "ازمه": "congested", "ازمة": "congested", "أزمة": "congested", "مزحوم": "congested",
+    "ضاغط": "congested", "ضغط": "congested", "مزدحم": "congested", "مزدحمه": "congested", "ازدحام": "congested",
+    "بطيء": "slow", "بطئ": "slow", "بطيئ": "slow",
+    "جيش": "idf", "الجيش": "idf", "عسكر": "idf", "مداهمه": "idf", "مداهمة": "idf", "تواجد": "idf", "حاجز": "idf", "سيارات": "idf",
+    "شرطه": "police", "شرطة": "police", "دوريه": "police", "دورية": "police",
+    "تفتيش": "inspection",
+}
+STATUS_PHRASES = {
+    "فيه جيش": "idf", "عليه جيش": "idf", "معهم جيش": "idf", "فيه عسكر": "idf", "حاجز طيار": "idf", "نصب حاجز": "idf", "عمل حاجز": "idf",
+    "فيه شرطه": "police", "عليه شرطه": "police", "سياره شرطه": "police", "سيارة شرطة": "police", "دوريه شرطه": "police", "دورية شرطة": "police",
+    "تفتيش هويات": "inspection", "تفتيش دقيق": "inspection",
+    "فيه ضغط": "congested", "فيه زحمه": "congested", "فيه زحمة": "congested",
+    "مش سالك": "closed", "مش فاتح": "closed", "غير سالك": "closed",
+}
+STATUS_EMOJIS = {
+    "✅": "open", "🟢": "open", "🔴": "closed", "🚫": "closed", "⛔": "closed", "❌": "closed", "🛑": "closed",
+    "🟠": "congested", "🟡": "slow", "🟣": "idf", "🚔": "police",
+}
+DIRECTION_WORDS = {
+    "الداخل": "inbound", "للداخل": "inbound", "لداخل": "inbound", "داخل": "inbound", "دخول": "inbound", "للدخول": "inbound",
+    "الخارج": "outbound", "للخارج": "outbound", "لخارج": "outbound", "خارج": "outbound", "خروج": "outbound", "للخروج": "outbound",
+    "بالاتجاهين": "both", "اتجاهين": "both", "الاتجاهين": "both", "باتجاهين": "both", "بالإتجاهين": "both",
+}
+
+# Words in messages that are no part of a place's name.
+FILLER_WORDS = (
+    "الحمدلله", "الحمد", "لله", "الله", "يعينكم", "يعطيكم", "العافيه", "العافية", "شباب", "يا", "اخوان", "اخواني", "ياشباب", "ياجماعه",
+    "ياجماعة", "جماعه", "جماعة", "مشكورين", "شكرا", "يسلمو", "كيف", "شو", "هل", "وين", "ايش", "حاجز", "الحاجز", "حالياً", "حاليا",
+    "هلا", "هلأ", "الان", "الآن", "تقريبا", "تقريباً", "اليوم", "صباح", "الخير", "مساء", "في", "على", "من", "عند", "الى", "إلى",
+    "الفندق", "فندق", "نظيف", "نظيفه", "نظيفة", "نظيفين", "هادئ", "هادئه", "هادئة", "هادئين", "طبيعي", "طبيعيه", "طبيعية",
+    "ومفتوح", "ومفتوحه", "ومفتوحة",
+)
+GREETINGS = ("صباح الخير", "يسعد صباحك", "يسعد اوقاتك", "يسعد مساك", "السلام عليكم", "الله يسعد صباحك", "اخوي", "اخي", "مشرفنا")
+PLACE_KINDS = ("بوابه", "بوابات", "شرطه", "اشارات", "اشاره", "دوار", "جسر", "مدخل", "التفافي", "نفق", "حاجز", "معبر")
+
+# Lines that are headers or speak of all places.
+HEADER_PATTERNS = (
+    r"^[#\-_=*]+", "^الضفة", "^منطقة", "^محافظة", "^جنوب", "^شمال", "^وسط", "^أولاً", "^ثانياً", "^ملاحظة",
+    r"كافه\s+حواجز", r"كافة\s+حواجز", r"جميع\s+حواجز", r"باقي\s+حواجز", r"كامل\s+خط", r"^احوال\s+طرق", r"^احوال\s+الطرق",
+)

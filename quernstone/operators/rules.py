@@ -41,7 +41,9 @@ def mapped(value: Column, synonyms: dict[str, str]) -> Column:
 def parse_statuses(messages: DataFrame, key: str, text: str, statuses: dict[str, str], directions: dict[str, str], known: DataFrame | None = None) -> DataFrame:
     """(key, name, status, direction) from lines like ``name: status``; one per name and direction.
 
-    ``known`` (name) keeps names of a knowledge base only.
+    A line may have several statuses, parted by commas, semicolons or dashes.  The
+    last line counts.  ``known`` (name) keeps names of a knowledge base only.
+    Lines without a colon, emojis and folded words are for ``messages``.
     """
     lines = messages.select(key, F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
 
@@ -52,10 +54,11 @@ def parse_statuses(messages: DataFrame, key: str, text: str, statuses: dict[str,
         return found
 
     name = F.regexp_replace(F.trim(F.substring_index("line", ":", 1)), "\\s+", "_")
-    rest = F.expr("substr(line, instr(line, ':') + 1)")
-    parsed = lines.filter(F.contains("line", F.lit(":"))).select(
-        key, "line_no", name.alias("name"), first_of(statuses, rest).alias("status"),
-        F.coalesce(first_of(directions, rest), F.lit("both")).alias("direction"),
+    said = F.split(F.expr("substr(line, instr(line, ':') + 1)"), "[,;،–—]|(?:^| )-(?= |$)")
+    named = lines.filter(F.contains("line", F.lit(":"))).select(key, "line_no", name.alias("name"), F.explode(said).alias("said"))
+    parsed = named.select(
+        key, "line_no", "name", first_of(statuses, F.col("said")).alias("status"),
+        F.coalesce(first_of(directions, F.col("said")), F.lit("both")).alias("direction"),
     ).filter("status is not null and name <> ''")
     if known is not None:
         parsed = parsed.join(known.select("name").distinct(), "name", "left_semi")

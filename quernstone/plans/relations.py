@@ -509,6 +509,38 @@ def parse_statuses(spark, d):
     return ru.parse_statuses(messages, "id", "text", words, {"inbound": "inbound", "outbound": "outbound"})
 
 
+@query("x16_message_lines", """
+WITH w AS (SELECT id, key, direction, id % 8 AS form, CASE status WHEN 'open' THEN 'سالكه' WHEN 'closed' THEN 'مُغلق' WHEN 'congested' THEN 'أزمة' WHEN 'idf' THEN 'فيه جيش' ELSE 'تفتيش' END AS word, status,
+ CASE status WHEN 'open' THEN '✅' WHEN 'closed' THEN '🔴' WHEN 'congested' THEN '🟠' WHEN 'idf' THEN '🟣' END AS emoji FROM v_updates),
+r AS (SELECT id, key, 0 AS line_no, status, direction FROM w WHERE form = 0 UNION ALL
+ SELECT id, key, 0, status, 'both' FROM w WHERE form = 1 UNION ALL
+ SELECT id, key, 0, status, 'both' FROM w WHERE form IN (2, 3) AND emoji IS NOT NULL UNION ALL
+ SELECT id, key, 1, 'open', 'inbound' FROM w WHERE form = 4 UNION ALL SELECT id, key, 1, status, 'outbound' FROM w WHERE form = 4 UNION ALL
+ SELECT id, key, 0, status, 'both' FROM w WHERE form = 6 UNION ALL SELECT id, key || '_غرب', 1, 'slow', direction FROM w WHERE form = 6)
+SELECT id, line_no, lower(key) AS name, status, direction FROM r""")
+def message_lines(spark, d):
+    """Lines as they are written: with a colon, words, emojis, two directions, greetings, and none at all."""
+    from ..operators.messages import message_statuses
+
+    either = lambda c, pairs: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in pairs.items()))
+    word = F.coalesce(either("status", {"open": "سالكه", "closed": "مُغلق", "congested": "أزمة", "idf": "فيه جيش"}), F.lit("تفتيش"))
+    emoji = F.coalesce(either("status", {"open": "✅", "closed": "🔴", "congested": "🟠", "idf": "🟣"}), F.lit("⭐"))
+    way = either("direction", {"inbound": "للداخل", "outbound": "الخارج", "both": "بالاتجاهين"})
+    rows = updates(spark, d).select("id", "key", word.alias("word"), emoji.alias("emoji"), way.alias("way"))
+    forms = [
+        F.concat("key", F.lit(": "), "word", F.lit(" "), "way"),
+        F.concat(F.lit("صباح الخير "), "key", F.lit(" "), "word"),
+        F.concat("emoji", F.lit(" حاجز "), "key", F.lit(" الحمدلله")),
+        F.concat("key", F.lit(" "), "emoji"),
+        F.concat(F.lit("احوال الطرق\n"), "key", F.lit(" (مدخل): الداخل: سالك - الخارج "), "word"),
+        F.concat(F.lit("صباح الخير يا شباب "), "emoji"),
+        F.concat("key", F.lit(" "), "word", F.lit("\n"), "key", F.lit(" غرب: بطيء "), "way", F.lit("\n"), "key", F.lit(" سالك")),
+        F.lit(None).cast("string"),
+    ]
+    text = F.coalesce(*(F.when(F.col("id") % len(forms) == i, form) for i, form in enumerate(forms)))
+    return message_statuses(rows.select("id", text.alias("text"))).select("id", "line_no", "name", "status", "direction")
+
+
 @query("x01_normalised_names", """
 SELECT DISTINCT trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(p_name)), '[''’‘`]', '', 'g'), '[-_/.,()]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM part""")
 def normalised_names(spark, d):
