@@ -38,8 +38,8 @@ COUNTERS = 1 << 20
 HOT = 500
 #: Bytes of text that are cut at once.
 SLICE_BYTES = 8_000_000
-#: Scores, from 0 to 1,000,000, are ranked in stretches of so many: 201 at most.
-STRETCH = 5_000
+#: Scores, from 0 to 1,000,000, are ranked in stretches, so many for a doubling: 320 at most.
+STRETCHES = 16
 
 _break = "."
 _pieces = r"[.,;:!?\n\x0b\x0c\r]"
@@ -343,7 +343,7 @@ def _top(best: DataFrame, top: int) -> DataFrame:
     A language is ranked in stretches of scores: how many rows the better ones
     have is known from their counts, and those beyond ``top`` are left out first.
     """
-    best = best.withColumn("stretch", F.expr(f"score div {STRETCH}"))
+    best = best.withColumn("stretch", F.floor(F.log2(F.col("score") + 1) * STRETCHES).cast("int"))
     better = Window.partitionBy("lang").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = best.groupBy("lang", "stretch").agg(F.count(F.lit(1)).alias("m"))
     counts = counts.withColumn("before", F.coalesce(F.sum("m").over(better), F.lit(0))).filter(F.col("before") < top)
