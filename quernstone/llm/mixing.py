@@ -133,11 +133,13 @@ def allotments(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            # rows without an id, or with one id, are dealt by their texts
+            F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("mark"),
         ),
         "mix-sizes",
     )
     shards = F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.lit(sizes.count()) / DOCS_A_SHARD)).cast("bigint")
-    placed = sizes.withColumn("shard", _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))) % shards)
+    placed = sizes.withColumn("shard", _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "mark")) % shards)
     cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     cells = cells.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("bigint"))
     sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("blocks").alias("source_blocks"))
@@ -167,7 +169,7 @@ def allotments(
         ),
         "mix-plan",
     )
-    in_shard = Window.partitionBy("source", "shard").orderBy(F.col("id").asc_nulls_first(), "size")
+    in_shard = Window.partitionBy("source", "shard").orderBy(F.col("id").asc_nulls_first(), "size", "mark")
     laid = placed.withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         laid.alias("d")
@@ -193,8 +195,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Returns ``id_col``, size, source, source_size, target, taken.  ``taken`` is
     at most ``most`` times ``size``.  Words are runs of characters other than
     space and U+0009 to U+000D; null text has none.  A null source is a source.
-    Rows with one id are told apart by size only, so equal rows fare alike or
-    share what one place gets.  No rows, or no words, take nothing.
+    Rows with one id, or none, are told apart by their texts, so equal rows fare
+    alike or share what one place gets.  No rows, or no words, take nothing.
     """
     taken = f"""
         case when size = 0 then 0 else aggregate(
@@ -278,10 +280,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 OP10_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS mark
   FROM documents
 ), placed AS (
-  SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+  SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || mark), 1, 8) AS BIGINT)
          % (SELECT greatest({LEAST_SHARDS}, CAST(ceil(count(*) / {DOCS_A_SHARD}) AS BIGINT)) FROM sizes) AS shard
   FROM sizes
 ), cells AS (
@@ -330,7 +332,7 @@ WITH sizes AS (
          CAST('0x' || substr(md5('{SEED}/' || coalesce(i.source, '') || '/' || CAST(i.shard AS VARCHAR)), 1, 8) AS BIGINT) AS turn
   FROM inside i LEFT JOIN cell_quotas q ON i.source IS NOT DISTINCT FROM q.source AND i.shard = q.shard
 ), laid AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id NULLS FIRST, size, mark ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM placed
 )
 SELECT l.doc_id, l.size, l.source, p.source_size, p.target,

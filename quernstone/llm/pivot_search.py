@@ -127,7 +127,7 @@ def best_of_block(
     q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floors: list,
     ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int,
 ) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's best in one block of candidates.
+    """(place of the query, candidate, score) of each query's best in one block of candidates.
 
     ``floors`` are scores that k other candidates of the query are known to reach,
     so lower ones need not be found; None if there is no such score.  ``q_far``
@@ -164,7 +164,7 @@ def best_of_block(
             best = sorted([*best, *zip((-score[use]).tolist(), ids[part][use].tolist())])[:k]
             if len(best) == k:
                 least = -best[-1][0] if least is None else max(least, -best[-1][0])
-        out += [(int(q_ids[i]), c, -s) for s, c in best]
+        out += [(i, c, -s) for s, c in best]
     return out
 
 
@@ -188,7 +188,9 @@ def top_k(
     as the end of their range.  A vector that is null, or has a null or non-finite
     component, is neither query nor candidate; nor is a row without id.  A row is
     no candidate of a query with its id, so repeated ids do not find each other;
-    repeated rows of a query answer once.  An empty table gives no rows.
+    repeated rows of a query answer once, and different vectors of one query id
+    answer each for itself, so that there are k rows for every such vector.  An
+    empty table gives no rows.
     """
     value = F.col("v").cast("array<double>")
     usable = F.col("v").isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -246,22 +248,24 @@ def top_k(
         return members.join(F.broadcast(cells.limit(PIVOTS + 1)), "cell").withColumn("block", at).drop("cell", "parts")
 
     candidates = staged(dealt(table.select("id", "v", "far", "length", "cell"), CANDIDATE_BLOCK), "pivot-candidates")
-    queries = staged(dealt(table.filter("q").drop("q").dropDuplicates(["id", "v"]), QUERY_BLOCK), "pivot-queries")
+    asking = dealt(table.filter("q").drop("q").dropDuplicates(["id", "v"]), QUERY_BLOCK)
+    queries = staged(asking.withColumn("nth", F.monotonically_increasing_id()), "pivot-queries")
     meetings = staged(_meetings(queries, candidates, len(pivots)), "pivot-meetings")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"nth": [], "query_id": [], "id": [], "score": []})
         floors = [None if f is None else int(f) for f in left["floor"]]
         found = best_of_block(
             left["id"].to_numpy(), _matrix(left["v"].tolist(), width), np.array(left["far"].tolist()).reshape(len(left), -1), floors,
             right["id"].to_numpy(), _matrix(right["v"].tolist(), width), np.array(right["far"].tolist()).reshape(len(right), -1), k,
         )
-        return pd.DataFrame([(q, c, str(s)) for q, c, s in found], columns=["query_id", "id", "score"])
+        nth, ids = left["nth"].tolist(), left["id"].tolist()
+        return pd.DataFrame([(nth[i], ids[i], c, str(s)) for i, c, s in found], columns=["nth", "query_id", "id", "score"])
 
-    asked = queries.withColumnRenamed("block", "qb").join(meetings, "qb").select("qb", "cb", "id", "v", "far", "floor")
+    asked = queries.withColumnRenamed("block", "qb").join(meetings, "qb").select("qb", "cb", "nth", "id", "v", "far", "floor")
     given = candidates.withColumnRenamed("block", "cb").join(meetings, "cb").select("qb", "cb", "id", "v", "far")
-    found = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInPandas(meet, "query_id bigint, id bigint, score string")
+    found = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInPandas(meet, "nth bigint, query_id bigint, id bigint, score string")
     # as text, scores beyond 64 bits keep their order: by sign, digits, then digit by digit
     negative, digits = F.col("score").startswith("-"), F.length("score")
     order = [
@@ -270,7 +274,7 @@ def top_k(
         F.when(negative, F.col("score")).asc(),
         F.col("id"),
     ]
-    best = Window.partitionBy("query_id").orderBy(*order)
+    best = Window.partitionBy("query_id", "nth").orderBy(*order)
     ends = F.when(negative, F.lit(LEAST)).otherwise(F.lit(MOST))
     return (
         found.withColumn("rank", F.row_number().over(best))
