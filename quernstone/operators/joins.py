@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, KM_A_DEGREE, haversine_km, in_polygon, segment_distance_m
+from .nearest import nearest_of_many
 
 #: Rows of a small table that become one expression; that go to a task as one array; and such arrays at most.
 FEW, CHUNK, MOST_CHUNKS = 32, 2_000, 16
@@ -93,6 +94,10 @@ def grid_join(left: DataFrame, right: DataFrame, km: float, prefix: str = "r_",
     return joined.filter(F.abs(F.datediff(F.col(date), F.col(prefix + date))) <= days)
 
 
+#: Places that each row is compared with.
+FEW_PLACES = 256
+
+
 def _least(rows: DataFrame, table: DataFrame, value) -> DataFrame:
     """``rows`` with ``__best``: the least struct that ``value`` makes of the rows of a small table; no shuffle.
 
@@ -121,11 +126,14 @@ def _least(rows: DataFrame, table: DataFrame, value) -> DataFrame:
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, name: str = "name", most_km: float | None = None) -> DataFrame:
-    """For each point the nearest of a small table of places (name, p_lat, p_lon); ties by name.
+    """For each point the nearest of the places (name, p_lat, p_lon); ties by name.
 
-    The size of ``places`` is checked before it goes to every task.  No places,
-    no rows.
+    A few hundred places are gone through for each row; of more, leaves
+    of such that lie together are (``nearest_of_many``), so any number will do.  No places, no rows.
     """
+    if len(places.select(name).limit(FEW_PLACES + 1).collect()) > FEW_PLACES:
+        return nearest_of_many(points, places, key, name, most_km)
+
     def km(p: Column) -> Column:
         return F.struct(haversine_km(F.col("lat"), F.col("lon"), p["p_lat"], p["p_lon"]).alias("km"), p[name].alias("name"))
 

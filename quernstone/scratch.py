@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 Owned = list[tuple[SparkSession, str]]
 _driver: Owned = []
@@ -54,6 +54,13 @@ def _release(owned: Owned) -> None:
             continue
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def _owned_by(owned: Owned | None) -> Iterator[None]:
     token = _owner.set(owned)
