@@ -149,3 +149,6 @@ HEADER_PATTERNS = (
     r"^[#\-_=*]+", "^الضفة", "^منطقة", "^محافظة", "^جنوب", "^شمال", "^وسط", "^أولاً", "^ثانياً", "^ملاحظة",
     r"كافه\s+حواجز", r"كافة\s+حواجز", r"جميع\s+حواجز", r"باقي\s+حواجز", r"كامل\s+خط", r"^احوال\s+طرق", r"^احوال\s+الطرق",
 )
+
+# Base of an area's score by its status.
+AREA_BASE = {"calm": 0, "restricted": 2, "military_presence": 5, "lockdown": 8}

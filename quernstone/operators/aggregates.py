@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import period_key
+from ..functions.dates import iso_week, period_key
+from ..functions.fixed import AREA_BASE
 from ..functions.scores import percent_change
 
 
@@ -179,6 +180,41 @@ def area_status(closed: Column, restricted: Column, forces: Column, total: Colum
     )
 
 
+def area_score(status: Column, closed: Column, forces: Column, police: Column) -> Column:
+    """0 to 10: a base by status, one for each closed place up to five, two for each with forces, one with police."""
+    base = F.coalesce(*(F.when(status == s, n) for s, n in AREA_BASE.items()), F.lit(0))
+    return F.least(F.lit(10).cast("bigint"), base + F.least(closed, F.lit(5)) + 2 * forces + police)
+
+
+def cluster_members(records: DataFrame, place: str, admin: str, date: str) -> DataFrame:
+    """A row for each cluster that a record is in: its place's week and its district's week.
+
+    Adds cluster_key, place_kind and place_name to the columns; records without a
+    date, or without both places, drop out.
+    """
+    week = iso_week(F.col(date))
+    grains = F.array(
+        F.when(F.col(place).isNotNull(), F.struct(F.concat_ws("|", F.col(place), week).alias("cluster_key"), F.lit("gazetteer").alias("place_kind"), F.col(place).alias("place_name"))),
+        F.when(F.col(admin).isNotNull(), F.struct(F.concat(F.lit("admin2:"), F.lower(admin), F.lit("|"), week).alias("cluster_key"), F.lit("admin2").alias("place_kind"), F.col(admin).alias("place_name"))),
+    )
+    kept = records.filter(F.col(date).isNotNull())
+    return kept.withColumn("__g", F.explode(F.filter(grains, lambda g: g.isNotNull()))).select(*records.columns, "__g.*")
+
+
+def event_clusters(members: DataFrame, order: str, category: str, metrics: list[str], admins: list[str]) -> DataFrame:
+    """One row for each cluster of ``cluster_members``: id, kind, categories, counts, sums and the first known admins.
+
+    Members themselves are the rows of ``members`` with this ``cluster_key``; they
+    are not gathered into one row, as a place may have very many.
+    """
+    first = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in admins]
+    sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics]
+    found = members.groupBy("cluster_key", "place_kind").agg(
+        F.min_by("place_name", order).alias("place_name"), F.count(F.lit(1)).alias("record_count"), F.array_sort(F.collect_set(category)).alias("categories"), *first, *sums
+    )
+    return found.withColumn("cluster_id", F.concat(F.lit("ev-"), F.substring(F.sha2("cluster_key", 256), 1, 16)))
+
+
 def threat_level(critical: Column, high: Column, medium: Column) -> Column:
     return (
         F.when(critical > 0, "critical").when(high > 2, "high").when((high > 0) | (medium > 3), "elevated").otherwise("normal")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import record_id
 from ..functions.text import jaccard, message_fingerprint, word_set
 
 
@@ -18,9 +19,8 @@ def stable_id(parts: list[Column], size: int = 32) -> Column:
 
 
 def content_id(df: DataFrame, volatile: set[str] = frozenset(), size: int = 32) -> Column:
-    """SHA-256 of the JSON of all columns but volatile ones, in order of name."""
-    names = sorted(c for c in df.columns if c not in volatile)
-    return F.substring(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256), 1, size)
+    """SHA-256 of the JSON of all columns but volatile ones, names in order at every depth."""
+    return record_id(df, tuple(volatile), size)
 
 
 def incident_id(parts: list[Column]) -> Column:

@@ -42,6 +42,19 @@ def newest(df: DataFrame, keep: int, order: list[Column], by: list[str] | None =
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= keep).drop("__rank")
 
 
+def merged_top(frames: list[DataFrame], order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows of all frames together, and whether there were more (``truncated``)."""
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame, allowMissingColumns=True)
+    # one row more than asked for tells; the windows see no others
+    first = merged.orderBy(*order).limit(limit + 1)
+    every = Window.partitionBy()
+    nth = F.row_number().over(Window.orderBy(*order))
+    rows = first.withColumns({"truncated": F.count(F.lit(1)).over(every) > limit, "__nth": nth})
+    return rows.filter(F.col("__nth") <= limit).drop("__nth")
+
+
 def capped_list(value: Column, keep: int) -> Column:
     """At most ``keep`` smallest values of a group, sorted."""
     return F.slice(F.sort_array(F.collect_list(value)), 1, keep)

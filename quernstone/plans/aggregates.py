@@ -250,16 +250,17 @@ def today_counts(spark, d):
 
 
 @query("a30_area_status", """
-WITH c AS (SELECT key, count(*) AS total, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) FILTER (WHERE status IN ('inspection')) AS restricted, count(*) FILTER (WHERE status = 'idf') AS forces
+WITH c AS (SELECT key, count(*) AS total, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) FILTER (WHERE status IN ('inspection')) AS restricted, count(*) FILTER (WHERE status = 'idf') AS forces, count(*) FILTER (WHERE status = 'congested') AS police
  FROM v_updates WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY key)
-SELECT key, total, CASE WHEN closed::DOUBLE / total >= 0.5 OR forces >= 3 THEN 'lockdown' WHEN forces >= 1 THEN 'military_presence' WHEN closed + restricted > 0 THEN 'restricted' ELSE 'calm' END AS status,
- least(10, least(closed, 5) + 2 * forces) AS score FROM c""")
+, s AS (SELECT *, CASE WHEN closed::DOUBLE / total >= 0.5 OR forces >= 3 THEN 'lockdown' WHEN forces >= 1 THEN 'military_presence' WHEN closed + restricted + police > 0 THEN 'restricted' ELSE 'calm' END AS status FROM c)
+SELECT key, total, status, least(10, CASE status WHEN 'restricted' THEN 2 WHEN 'military_presence' THEN 5 WHEN 'lockdown' THEN 8 ELSE 0 END + least(closed, 5) + 2 * forces + police) AS score FROM s""")
 def area_status(spark, d):
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
     recent = updates(spark, d).filter(F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz"))
-    c = recent.groupBy("key").agg(F.count(F.lit(1)).alias("total"), n("closed").alias("closed"), n("inspection").alias("restricted"), n("idf").alias("forces"))
-    status = a.area_status(F.col("closed"), F.col("restricted"), F.col("forces"), F.col("total"))
-    return c.select("key", "total", status.alias("status"), F.least(F.lit(10).cast("bigint"), F.least(F.col("closed"), F.lit(5)) + 2 * F.col("forces")).alias("score"))
+    c = recent.groupBy("key").agg(F.count(F.lit(1)).alias("total"), n("closed").alias("closed"), n("inspection").alias("restricted"), n("idf").alias("forces"), n("congested").alias("police"))
+    # congested stands for police here, as the reports have none
+    status = a.area_status(F.col("closed"), F.col("restricted") + F.col("police"), F.col("forces"), F.col("total"))
+    return c.withColumn("status", status).select("key", "total", "status", a.area_score(F.col("status"), F.col("closed"), F.col("forces"), F.col("police")).alias("score"))
 
 
 @query("a31_status_summary", """
@@ -429,13 +430,21 @@ def top_regions(spark, d):
     return orders(spark, d).groupBy("nation").agg(F.round(F.sum("value"), 2).alias("total")).orderBy(F.desc("total"), "nation").limit(5)
 
 
-@query("q08_clusters", """
-WITH c AS (SELECT place || '|' || CAST(isoyear(date) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(date) AS VARCHAR), 2, '0') AS cluster, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories, CAST(sum(fatalities) AS BIGINT) AS fatalities, count(DISTINCT event_type) AS kinds FROM v_records GROUP BY 1)
-SELECT cluster, n, categories, fatalities FROM c WHERE kinds >= 2""")
-def clusters(spark, d):
-    key = F.concat_ws("|", "place", dates.iso_week(F.col("date")))
-    c = records(spark, d).groupBy(key.alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("event_type")).alias("c"), F.sum("fatalities").alias("fatalities"))
-    return c.filter("size(c) >= 2").select("cluster", "n", F.array_join("c", ",").alias("categories"), "fatalities")
+_MEMBERS = """r AS (SELECT *, CAST(isoyear(date) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(date) AS VARCHAR), 2, '0') AS week FROM v_records),
+m AS (SELECT *, place || '|' || week AS cluster_key, 'gazetteer' AS place_kind, place AS place_name FROM r UNION ALL SELECT *, 'admin2:' || lower(governorate) || '|' || week, 'admin2', governorate FROM r)"""
+
 
+@query("q08_clusters", f"""WITH {_MEMBERS}
+SELECT 'ev-' || substr(sha256(cluster_key), 1, 16) AS cluster_id, cluster_key, place_kind, min(place_name) AS place_name, count(*) AS record_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories,
+ arg_min(region, id) FILTER (WHERE region IS NOT NULL) AS region, CAST(sum(fatalities) AS BIGINT) AS fatalities, CAST(sum(injuries) AS BIGINT) AS injuries FROM m GROUP BY cluster_key, place_kind""")
+def clusters(spark, d):
+    """Clusters of a place's week and of a district's week."""
+    members = a.cluster_members(records(spark, d), "place", "governorate", "date")
+    found = a.event_clusters(members, "id", "event_type", ["fatalities", "injuries"], ["region"])
+    return found.withColumn("categories", F.array_join("categories", ","))
 
 
+@query("q08_members", f"""WITH {_MEMBERS} SELECT cluster_key, event_type AS category, id, date FROM m""")
+def members(spark, d):
+    found = a.cluster_members(records(spark, d), "place", "governorate", "date")
+    return found.select("cluster_key", F.col("event_type").alias("category"), "id", "date")

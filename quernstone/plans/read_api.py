@@ -251,14 +251,12 @@ def severity_then_newest(spark, d):
 
 
 @query("l09_merged_timeline", """
-SELECT * FROM (SELECT 'record' AS origin, id, ts FROM v_records WHERE category = 'conflict' UNION ALL SELECT 'alert', id, ts FROM v_alerts WHERE severity = 'critical')
-ORDER BY ts DESC, origin, id LIMIT 60""")
+WITH m AS (SELECT 'record' AS origin, id, ts FROM v_records WHERE category = 'conflict' UNION ALL SELECT 'alert', id, ts FROM v_alerts WHERE severity = 'critical')
+SELECT *, (SELECT count(*) FROM m) > 60 AS truncated FROM m ORDER BY ts DESC, origin, id LIMIT 60""")
 def merged_timeline(spark, d):
-    from ..operators.identity import union_all
-
     a = records(spark, d).filter("category = 'conflict'").select(F.lit("record").alias("origin"), "id", "ts")
     b = alerts(spark, d).filter("severity = 'critical'").select(F.lit("alert").alias("origin"), "id", "ts")
-    return union_all(a, b).orderBy(F.desc("ts"), "origin", "id").limit(60)
+    return p.merged_top([a, b], [F.desc("ts"), F.col("origin"), F.col("id")], 60)
 
 
 @query("l10_retention", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -285,6 +285,31 @@ def stable_id(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), idn.stable_id([F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")]).alias("stable_id"))
 
 
+_NESTED = """'{"metrics":{"acct":' || CAST(c_nationkey AS VARCHAR) || ',"zone":null},"name":"' || c_name || '","sources":[{"name":"a' || CAST(c_custkey % 3 AS VARCHAR) || '","url":null},{"name":"b","url":"u"}],"temporal_context":{"season":"' || lower(c_mktsegment) || '"}}'"""
+
+
+@query("u05_record_id", f"SELECT c_custkey AS id, substr(sha256({_NESTED}), 1, 32) AS stable_id, {_NESTED} AS json, true AS same FROM customer")
+def record_id(spark, d):
+    """A nested record has one id however its fields are ordered, and whatever its volatile ones hold."""
+    from ..functions import canonical
+
+    def record(turned: bool) -> DataFrame:
+        way = (lambda *c: reversed(c)) if turned else (lambda *c: c)
+        source = lambda name, url: F.struct(*way(name.alias("name"), F.lit(url).cast("string").alias("url"), F.lit(int(turned)).alias("fetched_at")))
+        sources = F.array(source(F.concat(F.lit("a"), (F.col("c_custkey") % 3).cast("string")), None), source(F.lit("b"), "u"))
+        context = F.struct(*way(F.lower("c_mktsegment").alias("season"), F.lit(int(turned)).alias("days_since_baseline"), F.lit("x").alias("baseline_period")))
+        metrics = F.create_map(*(x for pair in way((F.lit("zone"), F.lit(None).cast("int")), (F.lit("acct"), F.col("c_nationkey").cast("int"))) for x in pair))
+        t = table(spark, d, "customer")
+        return t.select(*way(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), sources.alias("sources"), context.alias("temporal_context"), metrics.alias("metrics")))
+
+    both = []
+    for df in (record(False), record(True)):
+        json = canonical.canonical_json(F.struct(*df.columns), df.schema, canonical.VOLATILE)
+        both.append(df.select("id", canonical.record_id(df).alias("stable_id"), json.alias("json")))
+    turned = both[1].withColumnRenamed("stable_id", "other")
+    return both[0].join(turned.select("id", "other"), "id").select("id", "stable_id", "json", (F.col("stable_id") == F.col("other")).alias("same"))
+
+
 @query("u06_dedupe_merge_sources", """
 SELECT place || '|' || CAST(date AS VARCHAR) AS sid, min(id) AS id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM v_records GROUP BY 1""")
 def dedupe_merge_sources(spark, d):
@@ -384,12 +409,12 @@ def incident_sessions(spark, d):
 
 @query("r11_consensus", """
 WITH r AS (SELECT *, (epoch(TIMESTAMP '2024-01-29 12:00:00') - floor(epoch(ts))) / 60.0::DOUBLE AS age FROM v_updates), w AS (SELECT *, CASE WHEN source_type = 'admin' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END * pow(0.5, age / 30) AS w FROM r WHERE age BETWEEN 0 AND 360),
-v AS (SELECT key, status, round(sum(w), 9) AS w, count(*) AS n, max(CASE WHEN source_type = 'admin' THEN 1 ELSE 0 END) AS a FROM w GROUP BY 1, 2), t AS (SELECT *, sum(w) OVER (PARTITION BY key) AS total, row_number() OVER (PARTITION BY key ORDER BY w DESC, status) AS i FROM v),
-c AS (SELECT t.*, (SELECT min(struct_pack(m := -o.n, s := o.status, w := o.w, a := o.a)) FROM t o WHERE o.key = t.key AND o.status <> t.status AND o.n >= 4 AND o.n >= 3 * t.n AND t.a = 0) AS o FROM t WHERE i = 1),
-f AS (SELECT key, coalesce(o.s, status) AS status, round(coalesce(coalesce(o.w, w) / nullif(total, 0), 0), 4) AS ratio, coalesce(o.a, a) AS a FROM c)
-SELECT key, status, ratio, CASE WHEN ratio >= 0.75 AND a = 1 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM f""")
+v AS (SELECT key, direction, status, round(sum(w), 9) AS w, count(*) AS n, max(CASE WHEN source_type = 'admin' THEN 1 ELSE 0 END) AS a FROM w GROUP BY 1, 2, 3), t AS (SELECT *, sum(w) OVER (PARTITION BY key, direction) AS total, row_number() OVER (PARTITION BY key, direction ORDER BY w DESC, status) AS i FROM v),
+c AS (SELECT t.*, (SELECT min(struct_pack(m := -o.n, s := o.status, w := o.w, a := o.a)) FROM t o WHERE o.key = t.key AND o.direction = t.direction AND o.status <> t.status AND o.n >= 4 AND o.n >= 3 * t.n AND t.a = 0) AS o FROM t WHERE i = 1),
+f AS (SELECT key, direction, coalesce(o.s, status) AS status, round(coalesce(coalesce(o.w, w) / nullif(total, 0), 0), 4) AS ratio, coalesce(o.a, a) AS a FROM c)
+SELECT key, direction, status, ratio, CASE WHEN ratio >= 0.75 AND a = 1 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM f""")
 def consensus(spark, d):
-    return fa.consensus(updates(spark, d), ["key"], F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))
+    return fa.consensus(updates(spark, d), ["key", "direction"], F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))
 
 
 @query("r13_last_write_wins", """

@@ -422,9 +422,15 @@ def csv_quoting(spark, d):
     return table(spark, d, "documents").select("doc_id", text.csv_line(F.col("doc_id"), F.col("source"), F.col("text")).alias("line"))
 
 
-@query("x20_simple_hash", "SELECT count(DISTINCT n_name) AS n FROM nation")
+@query("x20_simple_hash", """
+SELECT n_name AS name, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS h FROM (
+ SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, u: (h * 31 + u) % 4294967296) AS h FROM nation)""")
 def simple_hash(spark, d):
-    return table(spark, d, "nation").select(F.lower(F.hex(F.xxhash64("n_name"))).alias("h")).agg(F.countDistinct("h").alias("n"))
+    from ..functions.canonical import simple_hash as hashed
+
+    rows = table(spark, d, "nation")
+    # base 36 back to a number, as the other side has no base 36
+    return rows.select(F.col("n_name").alias("name"), F.conv(hashed(F.col("n_name")), 36, 10).cast("bigint").alias("h"))
 
 
 # --- dates
@@ -546,10 +552,15 @@ def inverted_index(spark, d):
     return inverted.select("source", F.size("places").cast("bigint").alias("clusters"))
 
 
-@query("m04_canonical_json", """SELECT r_regionkey AS k, '{"r_name":"' || r_name || '","r_regionkey":' || CAST(r_regionkey AS VARCHAR) || '}' AS json FROM region""")
+@query("m04_canonical_json", """
+SELECT doc_id, '{"a":{"k":[1,{"x":"' || source || '","y":null}],"z":' || CAST(n_chars AS VARCHAR) || '},"lang":"' || coalesce(lang, '') || '"}' AS json FROM documents WHERE source IS NOT NULL""")
 def canonical_json(spark, d):
-    t = table(spark, d, "region")
-    return t.select(F.col("r_regionkey").alias("k"), F.to_json(F.struct(*sorted(t.columns))).alias("json"))
+    """Free JSON with its names in any order, two levels deep and in arrays."""
+    from ..functions.canonical import canonical_text
+
+    t = table(spark, d, "documents").filter("source is not null")
+    free = F.format_string('{"lang": "%s", "a": {"z": %d, "k": [1, {"y": null, "x": "%s"}]}}', F.coalesce("lang", F.lit("")), F.col("n_chars"), F.col("source"))
+    return t.select("doc_id", canonical_text(free).alias("json"))
 
 
 @query("m06_source_names", "SELECT DISTINCT source AS name FROM v_records")
