@@ -152,3 +152,6 @@ HEADER_PATTERNS = (
 
 # Base of an area's score by its status.
 AREA_BASE = {"calm": 0, "restricted": 2, "military_presence": 5, "lockdown": 8}
+
+# Gate statuses of a route from the least to the most severe.
+ROUTE_SEVERITY = ("open", "partial", "unknown", "inspection", "slow", "congested", "idf", "crisis")

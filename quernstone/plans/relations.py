@@ -524,10 +524,56 @@ def shortest(spark, d):
     return fa.shortest_paths(e, 0).select("node", "cost")
 
 
-@query("q06_safety", "SELECT src, dst FROM v_edges WHERE src % 9 = 8")
+_ROADS = """e AS (SELECT src, dst, CASE WHEN src % 9 <> 8 THEN cost + src * 0.0137::DOUBLE + dst * 0.00291::DOUBLE END AS cost,
+ CASE (src + dst) % 5 WHEN 2 THEN 'slow' WHEN 4 THEN 'odd' ELSE 'open' END AS gate, dst % 7 = 0 AS verify FROM v_edges)"""
+_WALKS = f"""WITH RECURSIVE {_ROADS},
+w AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS cost, 0 AS hops, 1 AS worst, false AS verify UNION ALL
+ SELECT e.dst, w.cost + e.cost, w.hops + 1, greatest(w.worst, CASE e.gate WHEN 'slow' THEN 5 ELSE 1 END), w.verify OR e.verify FROM w JOIN e ON e.src = w.node WHERE w.hops < 9 AND e.cost IS NOT NULL),
+b AS (SELECT node, min(struct_pack(c := cost, h := hops, w := worst, v := verify)) AS m FROM w GROUP BY node)"""
+
+
+def _roads(spark, d):
+    s, t = F.col("src"), F.col("dst")
+    gate = F.when((s + t) % 5 == 2, "slow").when((s + t) % 5 == 4, "odd").otherwise("open")
+    cost = F.when(s % 9 != 8, F.col("cost") + s * F.lit(0.0137) + t * F.lit(0.00291))
+    return edges(spark, d).select(F.concat_ws("-", s.cast("string"), t.cast("string")).alias("edge"), "src", "dst", cost.alias("cost"), gate.alias("gate_status"), (t % 7 == 0).alias("verify"))
+
+
+def _routed(spark, d):
+    """(roads, target, places, legs) of the ways from 0 to some places."""
+    from ..operators import routes
+
+    roads = _roads(spark, d)
+    open_ = routes.open_edges(roads)
+    marks = routes.landmark_distances(open_, [5, 20])
+    for target in (7, 24):
+        places = routes.cheapest(open_, 0, target, marks)
+        yield roads, target, places, routes.legs(places, target, roads)
+
+
+@query("q05_route_verdict", f"""{_WALKS}
+SELECT 0::BIGINT AS source, t.target, m IS NOT NULL AS found, CASE WHEN m IS NULL THEN 'hold' WHEN m.w = 1 AND NOT m.v THEN 'clear' ELSE 'caution' END AS verdict, coalesce(m.v, false) AS needs_verification,
+ CASE WHEN m.w = 5 THEN 'slow' WHEN m.w = 1 THEN 'open' END AS worst_gate, round(m.c, 1) AS minutes, coalesce(m.h, 0)::BIGINT AS legs FROM (VALUES (7::BIGINT), (24::BIGINT)) t(target) LEFT JOIN b ON b.node = t.target""")
+def route_verdict(spark, d):
+    from ..operators import routes
+
+    found = [routes.verdict(places, 0, target, taken) for _, target, places, taken in _routed(spark, d)]
+    return idn.union_all(*found)
+
+
+@query("q06_safety", f"""{_WALKS}
+SELECT t.target, count(m)::BIGINT AS found, 0::BIGINT AS unsafe, 1::BIGINT AS planted FROM (VALUES (7::BIGINT), (24::BIGINT)) t(target) LEFT JOIN b ON b.node = t.target GROUP BY 1""")
 def safety(spark, d):
-    e = edges(spark, d).withColumn("forbidden", F.col("src") % 9 == 8)
-    return fa.safety_violations(e.select("src", "dst"), e)
+    """No way found uses a closed edge; a way that is made to, is caught."""
+    from ..operators import routes
+
+    rows = []
+    for roads, target, places, taken in _routed(spark, d):
+        closed = roads.filter("cost is null").limit(1).select(F.lit(99).alias("leg"), "src", "dst", "edge", F.lit(1.0).alias("minutes"), "gate_status", "verify")
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+        one = count(places.filter(F.col("node") == target), "found").crossJoin(count(routes.unsafe_legs(taken, roads), "unsafe"))
+        rows.append(one.crossJoin(count(routes.unsafe_legs(taken.unionByName(closed), roads), "planted")).withColumn("target", F.lit(target).cast("bigint")))
+    return idn.union_all(*rows).select("target", "found", "unsafe", "planted")
 
 
 @query("q07_gateways", """
