@@ -153,10 +153,8 @@ def weighted_rollup(df: DataFrame, fine: list[str], coarse: list[str], value: st
 
 def trailing_streak(df: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
     """Rows after the last good one of each key, and its share of good rows."""
-    last_ok = F.max(F.when(ok, F.col(order)))
     flagged = df.withColumn("__ok", ok)
     last = flagged.groupBy(key).agg(F.max(F.when(F.col("__ok"), F.col(order))).alias("__last"))
-    del last_ok
     return flagged.join(last, key).groupBy(key).agg(
         F.count(F.lit(1)).alias("runs"),
         F.max(order).alias("latest"),

@@ -130,7 +130,7 @@ def nearest_of_many(points: DataFrame, places: DataFrame, key: str, name: str =
             yield pd.DataFrame({"lat": lat[at], "lon": lon[at], "leaf": ids[leaf]})
 
     asked = written(where.mapInPandas(able, "lat double, lon double, leaf string"), "nearest-asked")
-    # a leaf that many points ask goes to several tasks
+    # a leaf that many points ask goes to several tasks; there are a few times LEAVES of them at most
     parts = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     asked = asked.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("lat", "lon"), F.col("parts")).cast("int"))
     given = spots.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -194,7 +194,7 @@ SELECT type, source, count(*) AS n, CAST(-0.1 AS DOUBLE) AS delta FROM v_alerts
 def having_overrides(spark, d):
     known = spark.createDataFrame([("ch1",)], "source string")
     mined = alerts(spark, d).filter("status = 'retracted'").groupBy("type", "source").agg(F.count(F.lit(1)).alias("n")).filter("n >= 7")
-    return mined.join(F.broadcast(known), "source", "left_anti").withColumn("delta", F.lit(-0.1))
+    return mined.join(known, "source", "left_anti").withColumn("delta", F.lit(-0.1))
 
 
 @query("a24_reliability", """

@@ -153,7 +153,7 @@ WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = (SELECT
 def known_keys(spark, d):
     c = table(spark, d, "customer")
     first = c.agg(F.min("c_mktsegment").alias("s"))
-    known = c.join(F.broadcast(first), F.col("c_mktsegment") == F.col("s")).select(F.col("c_custkey").alias("o_custkey"))
+    known = c.join(first, F.col("c_mktsegment") == F.col("s")).select(F.col("c_custkey").alias("o_custkey"))
     return table(spark, d, "orders").join(known, "o_custkey", "left_semi").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -74,7 +74,7 @@ def subscriptions(spark, d):
     rules = spark.createDataFrame(rows, "rule string, r_types array<string>, r_severity string, r_area string, r_conf double")
     alert = {c: F.col(c) for c in ("type", "severity", "area", "confidence")}
     rule = {"types": F.col("r_types"), "min_severity": F.col("r_severity"), "area": F.col("r_area"), "min_confidence": F.col("r_conf")}
-    return alerts(spark, d).join(F.broadcast(rules), fl.matches_rule(alert, rule)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return alerts(spark, d).join(rules, fl.matches_rule(alert, rule)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CORR = """
@@ -168,7 +168,7 @@ SELECT id, value FROM (SELECT id, value, row_number() OVER (PARTITION BY id ORDE
 def first_match(spark, d):
     dictionary = spark.createDataFrame([("p1", 2, "one"), ("p2", 1, "two"), ("g3", 1, "three"), ("p1", 1, "uno")], "name string, priority int, value string")
     rows = records(spark, d).select("id", F.array(F.lower("place"), F.lower("governorate")).alias("candidates"))
-    return j.first_match(rows, "id", "candidates", F.broadcast(dictionary))
+    return j.first_match(rows, "id", "candidates", dictionary)
 
 
 @query("j16_baseline_fallback", """
@@ -640,6 +640,25 @@ def longest_matches(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("name"))
 
 
+@query("x11_names_in_texts", """
+WITH RECURSIVE k AS (SELECT DISTINCT array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+')[1:(item_id % 4 + 2)], ' ') AS name FROM benchmark),
+n AS (SELECT name, len(string_split(name, ' ')) AS m FROM k WHERE name <> ''),
+t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM documents),
+p AS (SELECT doc_id, u.pos AS pos, u.v AS v FROM (SELECT doc_id, unnest(list_transform(range(0, len(w)), lambda i: struct_pack(pos := i, v := w[i + 1:i + 5]))) AS u FROM t)),
+f AS (SELECT doc_id, pos, max(struct_pack(m := n.m, name := n.name)) AS b FROM (SELECT doc_id, pos, s.m AS m, array_to_string(v[1:s.m], ' ') AS name FROM p JOIN (SELECT DISTINCT m FROM n) s ON s.m <= len(v)) c JOIN n ON n.m = c.m AND n.name = c.name GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f),
+g AS (SELECT doc_id, r, pos, b, true AS kept, pos + b.m AS stop FROM i WHERE r = 1 UNION ALL
+ SELECT i.doc_id, i.r, i.pos, i.b, i.pos >= g.stop, CASE WHEN i.pos >= g.stop THEN i.pos + i.b.m ELSE g.stop END FROM g JOIN i ON i.doc_id = g.doc_id AND i.r = g.r + 1)
+SELECT doc_id, CAST(pos AS INTEGER) AS "at", CAST(b.m AS INTEGER) AS words, b.name AS name FROM g WHERE kept""")
+def names_in_texts(spark, d):
+    """The first words of benchmark items, two to five of them, found in all documents."""
+    from ..operators import names
+
+    w = names.words_of(F.col("text"))
+    dictionary = table(spark, d, "benchmark").select(F.concat_ws(" ", F.slice(w, F.lit(1), (F.col("item_id") % 4 + 2).cast("int"))).alias("name")).distinct()
+    return names.names_in_texts(table(spark, d, "documents"), "doc_id", "text", dictionary)
+
+
 @query("u18_route_dedup")
 def route_dedup(spark, d):
     places = records(spark, d).groupBy(F.col("place").alias("name"), "lat", "lon").agg(F.min("id").alias("id"), F.max("severity").alias("severity"))

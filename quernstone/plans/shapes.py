@@ -633,7 +633,7 @@ def feedback(spark, d):
 @query("r17_fan_out", "SELECT rule, count(*) AS n FROM v_alerts JOIN (VALUES ('x', 'click'), ('y', 'error')) r(rule, kind) ON type = kind GROUP BY rule")
 def fan_out(spark, d):
     rules = spark.createDataFrame([("x", "click"), ("y", "error")], "rule string, kind string")
-    return alerts(spark, d).join(F.broadcast(rules), F.col("type") == F.col("kind")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return alerts(spark, d).join(rules, F.col("type") == F.col("kind")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r18_rate_windows", "SELECT channel, date_trunc('minute', ts) AS start, count(*) AS n FROM v_updates GROUP BY 1, 2")
