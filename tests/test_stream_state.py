@@ -25,3 +25,35 @@ def test_review_items_share_keys_of_the_state(spark, folder):
     query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert spark.read.parquet(f"{folder}/out").count() == 3000 and 0 < max(held) <= 4 * stateful.SLOTS
+
+
+def alerts(seed, n=400):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(4 * 3600), i, rnd.choice("xy"), rnd.choice("ab"), rnd.choice(["s1", "s2", "s3", None])) for i in range(n)]
+    late = sorted(rows, key=lambda r: r[0] + (2400 if rnd.random() < 0.1 else 0))
+    return rows, [late[i : i + 80] for i in range(0, n, 80)] + [[(40 * 3600, None, None, None, None)]]
+
+
+def test_corroboration_equals_all_pairs(spark, folder, monkeypatch):
+    monkeypatch.setattr(stateful, "PAIRS", 50)
+    rows, cuts = alerts(1)
+    stream = stream_of(spark, folder, cuts, "ts id type area source")
+    got = jobs.run_available(jobs.corroborated(stream, 1200), folder).collect()
+    want = [(i, j, t) for t, i, k, a, s in rows for u, j, l, b, o in rows if k == l and a == b and s and o and s != o and 0 <= t - u <= 1200]
+    assert sorted((r.id, r.other, int(r.ts.timestamp()) - START) for r in got) == sorted(want)
+    # a key's rows are one value of the state, and no join holds both sides
+    assert "StreamingSymmetricHashJoin" not in jobs.corroborated(stream, 1200)._jdf.queryExecution().toString()
+
+
+def test_boost_batches_have_a_row_for_an_alert(spark, folder):
+    rows, cuts = alerts(2)
+    boosts = KeyedTable(spark, f"{folder}/boosts", ["id"], {"sources": "union"})
+    jobs.raise_both(stream_of(spark, folder, cuts, "ts id type area source"), boosts, folder, 1200)
+    want = {}
+    for t, i, k, a, s in rows:
+        met = {o for u, _, l, b, o in rows if k == l and a == b and s and o and s != o and abs(t - u) <= 1200}
+        if met:
+            want[i] = met
+    assert {r.id: set(r.sources) for r in boosts.read().collect()} == want
+    per_alert = boosts.changes().groupBy("__batch", "id").count()
+    assert per_alert.filter("count > 1").count() == 0
