@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import record_id
 from ..functions.text import jaccard, message_fingerprint, word_set
+from ..scratch import written
 
 
 def _text(c: Column) -> Column:
@@ -97,42 +98,88 @@ def resolve(df: DataFrame, key: str, fields: list[str], created: str, id_col: st
     )
 
 
-def _newest_before(messages: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
-    """(key, other): the ``most`` newest messages of the ``seconds`` before each, in order of time and key.
+#: Messages of a block of ``near_duplicates``.
+BLOCK = 1000
 
-    Only keys and times are sorted, by stretches of ``seconds``; each stretch also
-    has the rows of the one before.  A frame holds ``most`` rows, so no pairs are
-    made beyond those that are asked for.
+
+def _blocks(messages: DataFrame, key: str, time: str, most: int) -> DataFrame:
+    """(key, s, block, pos): blocks of messages in order of time and key, each also with the ``most`` before it.
+
+    Only keys and times are sorted, over all tasks; a place in the order is that in
+    its range and the rows of the ranges before.
     """
-    at = F.unix_seconds(F.col(time).cast("timestamp"))
-    rows = messages.select(F.col(key).alias("k"), F.col(time).alias("t"), at.alias("s"))
-    bucket = F.floor(F.col("s") / seconds)
-    dealt = rows.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
-    frame = Window.partitionBy("b").orderBy("t", "k").rowsBetween(-most, -1)
-    held = dealt.withColumn("before", F.collect_list(F.struct("k", "s")).over(frame)).filter(F.col("b") == bucket)
-    pairs = held.select("k", "s", F.explode("before").alias("o"))
-    return pairs.filter(F.col("s") - F.col("o.s") <= seconds).select(F.col("k").alias(key), F.col("o.k").alias(f"r_{key}"))
+    at = F.unix_seconds(F.col(time).cast("timestamp")).alias("s")
+    rows = messages.filter(F.col(time).isNotNull() & F.col(key).isNotNull()).select(key, F.col(time).alias("__t"), at)
+    ranges = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 2, "__t", key).withColumn("__part", F.spark_partition_id())
+    ranges = written(ranges, "order")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__t", key)) - 1
+    placed = ranges.withColumn("__nth", nth).join(starts, "__part").withColumn("pos", F.col("__start") + F.col("__nth"))
+    size = max(BLOCK, most)
+    block = F.floor(F.col("pos") / size)
+    both = F.when(F.col("pos") % size >= size - most, F.array(block, block + 1)).otherwise(F.array(block))
+    return placed.select(key, "s", "pos", F.explode(both).alias("block"))
 
 
 def near_duplicates(messages: DataFrame, key: str, text: str, time: str, seconds: int = 1800, most: int = 50, least_chars: int = 15, threshold: float = 0.6) -> DataFrame:
     """(key, other, similarity) of messages whose words overlap one of the newest before them.
 
     Only the ``most`` newest within ``seconds`` before a message are compared,
-    as the definition has it.  Messages of fewer characters never match.
+    as the definition has it.  Messages of fewer characters never match.  Words, as
+    64-bit hashes, go to the block of their message and at most one more, once each.
     """
-    pairs = _newest_before(messages, key, time, seconds, most).withColumnRenamed(f"r_{key}", "other")
-    return similar_pairs(pairs, messages, key, text, least_chars, threshold)
+    import numpy as np
+    import pandas as pd
+
+    size = max(BLOCK, most)
+    base = messages.select(F.col(key), message_fingerprint(F.col(text)).alias("__f")).filter(F.length("__f") >= least_chars)
+    base = base.select(key, F.transform(word_set(F.col("__f")), lambda w: F.xxhash64(w)).alias("__w"))
+    dealt = _blocks(messages, key, time, most).join(base, key, "left")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        words = [np.zeros(0, np.int64) if w is None else np.asarray(w, np.int64) for w in rows["__w"]]
+        n = np.array([len(w) for w in words])
+        ends = np.cumsum(n)
+        codes, names = pd.factorize(np.concatenate(words))
+        marked = np.zeros(len(names) + 1, bool)
+        s, keys = rows["s"].to_numpy(), rows[key].to_numpy()
+        own = (rows["pos"] // size == rows["block"]).to_numpy()
+        found = []
+        for i in np.flatnonzero(own & (n > 0)):
+            low = max(0, i - most)
+            near = (s[i] - s[low:i] <= seconds) & (n[low:i] > 0)
+            near &= np.minimum(n[low:i], n[i]) > threshold * np.maximum(n[low:i], n[i]) - 1e-4
+            if not near.any():
+                continue
+            first = low + int(near.argmax())
+            begin = ends[first] - n[first]
+            mine = codes[ends[i] - n[i] : ends[i]]
+            marked[mine] = True
+            sums = np.append(0, np.cumsum(marked[codes[begin : ends[i - 1]]]))
+            marked[mine] = False
+            both = sums[ends[first:i] - begin] - sums[ends[first:i] - n[first:i] - begin]
+            # rounded as SQL rounds doubles
+            similar = np.floor(both / (n[i] + n[first:i] - both).clip(1) * 1e4 + 0.5) / 1e4
+            for j in np.flatnonzero(near[first - low :] & (similar > threshold)):
+                found.append((keys[i], keys[first + j], similar[j]))
+        return pd.DataFrame(found, columns=[key, "other", "similarity"])
+
+    kind = messages.schema[key].dataType.simpleString()
+    return dealt.groupBy("block").applyInPandas(compared, f"`{key}` {kind}, other {kind}, similarity double")
 
 
 def similar_pairs(pairs: DataFrame, messages: DataFrame, key: str, text: str, least_chars: int = 15, threshold: float = 0.6) -> DataFrame:
     """(key, other, similarity) of those of ``pairs`` (key, other) whose messages' words overlap by more than ``threshold``.
 
     Pairs carry sizes at first, and words, as 64-bit hashes, only where these allow
-    for the similarity.
+    for the similarity.  Words are made once, as a scratch table.
     """
     prints = message_fingerprint(F.col(text))
     words = F.transform(word_set(F.col("__f")), lambda w: F.xxhash64(w))
     base = messages.select(F.col(key), prints.alias("__f")).filter(F.length("__f") >= least_chars).select(key, words.alias("__w"))
+    base = written(base, "words")
     sizes = base.select(key, F.size("__w").alias("__n"))
     other = lambda df: df.select(*(F.col(c).alias("other" if c == key else f"r_{c}") for c in df.columns))
     probed = pairs.join(sizes, key).join(other(sizes), "other")

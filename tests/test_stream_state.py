@@ -57,3 +57,21 @@ def test_boost_batches_have_a_row_for_an_alert(spark, folder):
     assert {r.id: set(r.sources) for r in boosts.read().collect()} == want
     per_alert = boosts.changes().groupBy("__batch", "id").count()
     assert per_alert.filter("count > 1").count() == 0
+
+
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """Blocks of a few messages, many at one time: the same rows as from all pairs of the newest."""
+    monkeypatch.setattr(identity, "BLOCK", 7)
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(40) * 60, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randrange(1, 6)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, s bigint, text string").withColumn("ts", F.timestamp_seconds("s"))
+    got = identity.near_duplicates(df, "id", "text", "ts", 600, most=5)
+    want = []
+    for i, s, text in rows:
+        for _, j, other in sorted(((u, j, x) for j, u, x in rows if (u, j) < (s, i)), reverse=True)[:5]:
+            a, b = set(text.split()), set(other.split())
+            u = dict((j, u) for j, u, _ in rows)[j]
+            if s - u <= 600 and min(len(text), len(other)) >= 15 and len(a & b) / len(a | b) > 0.6:
+                want.append((i, j, round(len(a & b) / len(a | b), 4)))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 30
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # places and words, no pairs
