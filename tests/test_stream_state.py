@@ -75,3 +75,23 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
                 want.append((i, j, round(len(a & b) / len(a | b), 4)))
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 30
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # places and words, no pairs
+
+
+def test_votes_of_many_reports_at_once():
+    """Sums over the window give what counting each report's window gives; before, each report was a step in Python."""
+    import pandas as pd
+
+    rnd = random.Random(6)
+    minute = 60_000_000
+    t = sorted(rnd.randrange(3000) * minute for _ in range(400))
+    rows = [(u, i, rnd.choice(["open", "open", "closed", "slow"]), rnd.random() < 0.1) for i, u in enumerate(t)]
+    processor = stateful.ConsensusProcessor(30.0, 6.0, 5.0, 36.0)
+    got = processor._decided(pd.DataFrame(rows, columns=["t", "id", "status", "admin"]), 50)
+    for k in range(50, len(rows)):
+        window = [r for r in rows[: k + 1] if rows[k][0] - r[0] <= 360 * minute]
+        w = {s: round(sum((5.0 if a else 1.0) * 0.5 ** ((rows[k][0] - u) / 30 / minute) for u, _, x, a in window if x == s), 9) for s in {r[2] for r in window}}
+        n = {s: sum(r[2] == s for r in window) for s in w}
+        top = min(w, key=lambda s: (-w[s], s))
+        if not any(r[3] for r in window if r[2] == top):
+            top = min((s for s in w if s != top and n[s] >= 4 and n[s] >= 3 * n[top]), key=lambda s: (-n[s], s), default=top)
+        assert got["status"][k - 50] == top and abs(got["ratio"][k - 50] - w[top] / sum(w.values())) < 6e-5
