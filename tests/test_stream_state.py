@@ -95,3 +95,17 @@ def test_votes_of_many_reports_at_once():
         if not any(r[3] for r in window if r[2] == top):
             top = min((s for s in w if s != top and n[s] >= 4 and n[s] >= 3 * n[top]), key=lambda s: (-n[s], s), default=top)
         assert got["status"][k - 50] == top and abs(got["ratio"][k - 50] - w[top] / sum(w.values())) < 6e-5
+
+
+def test_a_micro_batch_has_a_file_for_each_core(spark, folder):
+    """Before, a tenth of the rows was one file, and its texts were read in one task."""
+    from quernstone.plans import streams
+
+    rows = spark.range(4000).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    seen = []
+    stream = streams._as_stream(rows, folder, "rows")
+    query = stream.writeStream.trigger(availableNow=True).foreachBatch(lambda batch, n: seen.append((batch.count(), len(batch.inputFiles())))).start()
+    query.awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(n for n, _ in seen) == 4000 and len(seen) == streams.BATCHES
+    assert len(list(spark.read.parquet(f"{folder}/rows-*").inputFiles())) == streams.BATCHES * cores
