@@ -45,6 +45,44 @@ def test_corroboration_equals_all_pairs(spark, folder, monkeypatch):
     assert "StreamingSymmetricHashJoin" not in jobs.corroborated(stream, 1200)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("tile, sources", [(1, 2), (3, 3), (16, 12), (2048, 3)])
+def test_tiles_hold_all_pairs(spark, folder, tile, sources):
+    """Tiles that cut a window many times, and sources that are large or small in their type and area."""
+    rnd = random.Random(tile)
+    rows = [(rnd.randrange(3 * 3600), i, rnd.choice("xy"), rnd.choice("ab"), f"s{min(rnd.randrange(sources), rnd.randrange(sources))}") for i in range(300)]
+    late = sorted(rows, key=lambda r: r[0] + (2400 if rnd.random() < 0.1 else 0))
+    stream = stream_of(spark, folder, [late[i : i + 100] for i in range(0, 300, 100)], "ts id type area source")
+    tiles = jobs.run_available(stateful.corroboration_tiles(stream, 1200, tile=tile), folder)
+    want = [(i, j, t) for t, i, k, a, s in rows for u, j, l, b, o in rows if k == l and a == b and s != o and 0 <= t - u <= 1200]
+    assert sorted((r.id, r.other, int(r.ts.timestamp()) - START) for r in stateful.pairs_of(tiles).collect()) == sorted(want)
+    assert tiles.filter(F.greatest(F.size("ids"), F.size("others")) > tile).count() == 0
+
+
+def test_corroboration_stream_writes_no_pairs(spark, folder, monkeypatch):
+    """2000 alerts of one type and area in an hour have a million pairs: before, the stream wrote and read each."""
+    from quernstone.plans import streams
+
+    monkeypatch.setattr(streams, "_folder", lambda s: f"{folder}/streams")
+    n = 2000
+    at = F.timestamp_micros(F.lit(START * 1_000_000) + F.col("event_id") * 1_800_000)
+    rows = spark.range(n).withColumnRenamed("id", "event_id").withColumns({
+        "ts": at.cast("timestamp_ntz"), "user_id": 1 + F.col("event_id") % 2 * 15, "event_type": F.lit("view"), "value": F.lit(1.0), "props": F.lit('{"k": 1}'),
+    })
+    rows.write.parquet(f"{folder}/events.parquet")
+    got = streams.corroboration(spark, folder)
+    assert got.agg(F.count("*"), F.countDistinct("id", "other"), F.min(F.col("id") - F.col("other"))).first()[:] == (n * n // 4, n * n // 4, 1)
+    outs = [f.getPath().toString() for f in _files(spark, f"{folder}/streams") if "/out/" in f.getPath().toString() and f.getPath().getName().endswith(".parquet")]
+    assert spark.read.parquet(*outs).count() < n
+
+
+def _files(spark, path):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while found.hasNext():
+        yield found.next()
+
+
 def test_boost_batches_have_a_row_for_an_alert(spark, folder):
     rows, cuts = alerts(2)
     boosts = KeyedTable(spark, f"{folder}/boosts", ["id"], {"sources": "union"})
